@@ -73,7 +73,8 @@ def _(t):
 @query("best_of_families")
 def _(t):
     train, test = halves(t)
-    _, table, _ = tr.train_best(train, test, "auto", cols=FEATURE_COLUMNS, overrides={"n_estimators": 5, "max_depth": 4})
+    _, table, _ = tr.train_best(train, test, "auto", cols=FEATURE_COLUMNS, overrides={"n_estimators": 5, "max_depth": 4},
+                              refit_trees=10)
     return table
 
 

@@ -22,6 +22,8 @@ from defectscope.session import cut_lineage
 GROUP_LIMIT = 20_000
 BLOCK_ROWS = 20_000
 MAX_PIVOTS = 4_096
+# Copies of one row made by one task at a time.
+COPIES_BLOCK = 10_000
 
 # Neighbours used for oversampling and the size it needs.
 NEIGHBOURS = 5
@@ -38,7 +40,7 @@ def minority_knn(df: DataFrame, cols: Sequence[str], k: int, group_limit: int =
     rows = df.select("repo_id", "id", vec.alias("vec"))
     members = top_rows(rows, ["repo_id", "vec"], [F.asc("id")], k + 1)
     small, large, _ = split_hot(members, ["repo_id"], group_limit)
-    near = small.groupBy("repo_id").applyInPandas(_all_in_one_task(k, block_rows), _NEAR)
+    near = small.groupBy("repo_id").applyInPandas(_all_in_one_task(k), _NEAR)
     if large is not None:
         near = near.unionByName(_by_cells(cut_lineage(large), k, block_rows))
     # `near` answers for the smallest id of each vector; every copy shares that answer.
@@ -82,7 +84,7 @@ def _frame():
     return frame
 
 
-def _all_in_one_task(k: int, block_rows: int):
+def _all_in_one_task(k: int):
     nearest, frame = _nearest(), _frame()
 
     def search(pdf):
@@ -108,20 +110,20 @@ def _by_cells(members: DataFrame, k: int, block_rows: int) -> DataFrame:
     placed = top_rows(vecs, ["repo_id"], [F.md5(F.col("vec").cast("string")), F.asc("q")], MAX_PIVOTS, rank="pivot")
     pivots = cut_lineage(
         placed.join(sizes, "repo_id").where(F.col("pivot") <= wanted).select("repo_id", "pivot", F.col("vec").alias("at")))
-    blocks = sizes.select("repo_id", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    blocks = sizes.select("repo_id", F.ceil(F.col("n") / block_rows).alias("blocks"))
 
     def with_block(df: DataFrame, identity: str) -> DataFrame:
         joined = df.join(blocks, "repo_id")
-        return joined.withColumn("block", F.pmod(F.xxhash64(identity), F.col("blocks").cast("bigint"))).drop("blocks")
+        return joined.withColumn("block", F.pmod(F.xxhash64(identity), F.col("blocks"))).drop("blocks")
 
     def for_every_block(df: DataFrame) -> DataFrame:
         return df.join(blocks, "repo_id").withColumn(
-            "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("bigint")).drop("blocks")
+            "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
 
     celled = cut_lineage(
         with_block(members, "id").groupBy("repo_id", "block")
-        .cogroup(for_every_block(pivots).groupBy("repo_id", "block"))
-        .applyInPandas(_assign, "repo_id bigint, id bigint, vec array<double>, cell bigint, d double"))
+        .cogroup(_renewed(for_every_block(pivots)).groupBy("repo_id", "block"))
+        .applyInPandas(_assign(), "repo_id bigint, id bigint, vec array<double>, cell bigint, d double"))
     kth = (
         top_rows(celled, ["repo_id", "cell"], [F.asc("d"), F.asc("id")], k + 1, rank="i")
         .where(F.col("i") == k + 1).select("repo_id", "cell", F.col("d").alias("kth")))
@@ -133,7 +135,7 @@ def _by_cells(members: DataFrame, k: int, block_rows: int) -> DataFrame:
         .select("repo_id", "cell", "at", "radius", "kth", F.ceil(F.col("n") / block_rows).alias("parts")))
     visits = cut_lineage(
         with_block(vecs, "q").groupBy("repo_id", "block")
-        .cogroup(for_every_block(summary).groupBy("repo_id", "block"))
+        .cogroup(_renewed(for_every_block(summary)).groupBy("repo_id", "block"))
         .applyInPandas(_visits(), "repo_id bigint, q bigint, vec array<double>, cell bigint, parts bigint"))
     # A crowded cell is cut into parts; each visiting query meets every part, in blocks.
     busy = visits.groupBy("repo_id", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("q_parts"))
@@ -149,26 +151,34 @@ def _by_cells(members: DataFrame, k: int, block_rows: int) -> DataFrame:
         .withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_parts") - 1))))
     found = (
         left.select(*meet, "q", "vec").groupBy(*meet)
-        .cogroup(right.select(*meet, "id", "vec").groupBy(*meet))
+        .cogroup(_renewed(right.select(*meet, "id", "vec")).groupBy(*meet))
         .applyInPandas(_meet(k), _NEAR))
     return top_rows(found, ["repo_id", "q"], [F.asc("d2"), F.asc("id")], k + 1)
 
 
-def _assign(rows, pivots):
-    import numpy as np
+def _renewed(df: DataFrame) -> DataFrame:
+    """Same columns under new ids: both sides of a cogroup stem from one frame."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _assign():
+    def assign(rows, pivots):
+        import numpy as np
+
+        at = np.array(pivots["at"].tolist(), dtype=float)
+        vecs = np.array(rows["vec"].tolist(), dtype=float)
+        cell, d = np.empty(len(rows), dtype="int64"), np.empty(len(rows))
+        for start in range(0, len(rows), 256):
+            part = vecs[start:start + 256]
+            d2 = np.zeros((len(part), len(at)))
+            for c in range(at.shape[1]):
+                d2 += (part[:, c, None] - at[None, :, c]) ** 2
+            best = d2.argmin(axis=1)
+            cell[start:start + 256] = pivots["pivot"].to_numpy()[best]
+            d[start:start + 256] = np.sqrt(d2[np.arange(len(part)), best])
+        return rows[["repo_id", "id", "vec"]].assign(cell=cell, d=d)
 
-    at = np.array(pivots["at"].tolist(), dtype=float)
-    vecs = np.array(rows["vec"].tolist(), dtype=float)
-    cell, d = np.empty(len(rows), dtype="int64"), np.empty(len(rows))
-    for start in range(0, len(rows), 256):
-        part = vecs[start:start + 256]
-        d2 = np.zeros((len(part), len(at)))
-        for c in range(at.shape[1]):
-            d2 += (part[:, c, None] - at[None, :, c]) ** 2
-        best = d2.argmin(axis=1)
-        cell[start:start + 256] = pivots["pivot"].to_numpy()[best]
-        d[start:start + 256] = np.sqrt(d2[np.arange(len(part)), best])
-    return rows[["repo_id", "id", "vec"]].assign(cell=cell, d=d)
+    return assign
 
 
 def _visits():
@@ -257,10 +267,15 @@ def synthetic_rows(df: DataFrame, cols: Sequence[str], label: str = "is_buggy",
                     [F.asc("__h"), F.asc("id")], rank="__rn")
     extra = F.when(F.col("__rn") <= F.col("lacking") % F.col("m"), 1).otherwise(0)
     copies = F.floor(F.col("lacking") / F.col("m")) + extra
+    shares = placed.withColumn("copies", copies).where("copies > 0").join(listed, ["repo_id", "id"])
+    # A class of a few rows may need very many copies of each: blocks of copies are spread
+    # over the cluster before they are unrolled.
+    blocks = shares.withColumn(
+        "first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"), F.lit(COPIES_BLOCK).cast("bigint"))))
     bases = (
-        placed.withColumn("copies", copies).where("copies > 0")
-        .join(listed, ["repo_id", "id"])
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+        blocks.repartition("repo_id", "id", "first")
+        .withColumn("copy", F.explode(F.sequence(
+            F.col("first"), F.least(F.col("copies"), F.col("first") + (COPIES_BLOCK - 1)))))
         .withColumn("pick", F.try_element_at(
             "near", (_draw(F.col("id"), F.col("copy"), F.lit(f"{seed}n")) % F.col("k") + 1).cast("int"))["neighbour"])
         .withColumn("gap", _draw(F.col("id"), F.col("copy"), F.lit(f"{seed}g")) / F.lit(4294967296.0)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from defectscope.functions.scoring import ratio_or_zero
 from defectscope.operators.ranking import ranked
+from defectscope.session import cut_lineage
 
 # The threshold grid and the fallback threshold.
 GRID_START, GRID_STOP, GRID_POINTS = 0.1, 0.9, 50
@@ -20,8 +21,9 @@ TOP_SHARE = 0.2
 
 def score_table(preds: DataFrame, key: str = "model_id", **limits) -> DataFrame:
     """Rows and positives per distinct probability, with sums from the highest one down."""
-    grouped = preds.groupBy(key, "probability").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos"))
+    # Measured and then ranked: written once, so predictions are grouped once.
+    grouped = cut_lineage(preds.groupBy(key, "probability").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("bigint")).alias("pos")))
     return ranked(
         grouped, [key], [F.desc("probability")], rank="place",
         running={"cum_n": F.col("n"), "cum_pos": F.col("pos")},
@@ -151,8 +153,8 @@ def classification_metrics(matrix: DataFrame) -> DataFrame:
 
 def evaluate_models(preds: DataFrame, metric: str = "f1", k: float = TOP_SHARE,
                     key: str = "model_id", one_class: float = 0.0) -> DataFrame:
-    """All metrics of every model; the grouped frame is built once and kept for all of them."""
-    table = score_table(preds, key).persist()
+    """All metrics of every model; the ranked frame is built once for all of them."""
+    table = cut_lineage(score_table(preds, key))
     chosen = optimal_threshold(table, metric, key).drop("best_score")
     counted = classification_metrics(confusion(table.join(chosen, key), F.col("threshold"), key))
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from defectscope.functions.scoring import (
     DEFAULT_COVERAGE_GAP, DEFAULT_CRITICITE, priority_score, ratio_or_zero)
-from defectscope.operators.ranking import ranked, split_hot
+from defectscope.operators.ranking import ranked, split_hot, top_rows
 from defectscope.session import cut_lineage
 
 # A group up to this many items is walked item by item inside one task.
@@ -29,11 +29,10 @@ def with_priority_score(items: DataFrame, weights: Mapping[str, float] | None =
         F.col("risk"), F.col("effort"), F.col("criticite"), F.col("coverage_gap"), weights))
 
 
-def predictions_to_items(preds: DataFrame, limit: int = FIRST_ITEMS) -> DataFrame:
-    """First `limit` predictions of each repository (by `pos`) as items."""
-    from defectscope.operators.ranking import top_rows
-
-    first = top_rows(preds, ["repo_id"], [F.asc("pos")], limit)
+def predictions_to_items(preds: DataFrame, limit: int = FIRST_ITEMS, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """First `limit` predictions of each repository as items; `pos` is their place in `order`."""
+    first = top_rows(preds, ["repo_id"], [F.asc_nulls_last(c) for c in order], limit, rank="__place")
+    first = first.drop("pos").withColumnRenamed("__place", "pos")
     return first.select(
         "repo_id", "pos", "id",
         F.coalesce("probability", "risk_score", F.lit(DEFAULT_RISK)).alias("risk"),
