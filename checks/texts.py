@@ -20,14 +20,17 @@ def lines_like(pattern: str) -> str:
     return f"len(list_filter(string_split(content, chr(10)), lambda l: regexp_matches(l, '{pattern}')))"
 
 
+BLANK = rf"^{tx.S}*$"
+PYTHON_COMMENT = rf"^{tx.S}*#"
+JAVA_COMMENT = rf"^{tx.S}*(?://|/\*|\*)"
 LOC = "len(string_split(content, chr(10)))"
 BRANCHES = """(len(list_filter(regexp_split_to_array(content, '[^\\p{L}\\p{N}_]+'),
     lambda w: w IN ('if', 'elif', 'for', 'while', 'except', 'case', 'catch', 'and', 'or')))
   + len(regexp_extract_all(content, '&&|\\|\\|')) + 1)"""
 
 COUNTED = f"""
-counted AS (SELECT repo_id, file_id, filepath, content, {LANGUAGE} AS language, {LOC} AS loc, {lines_like(tx.BLANK)} AS blank_lines,
-  CASE file_id % 3 WHEN 0 THEN {lines_like(tx.PYTHON_COMMENT)} WHEN 1 THEN {lines_like(tx.JAVA_COMMENT)} ELSE 0 END AS comments,
+counted AS (SELECT repo_id, file_id, filepath, content, {LANGUAGE} AS language, {LOC} AS loc, {lines_like(BLANK)} AS blank_lines,
+  CASE file_id % 3 WHEN 0 THEN {lines_like(PYTHON_COMMENT)} WHEN 1 THEN {lines_like(JAVA_COMMENT)} ELSE 0 END AS comments,
   CASE file_id % 3 WHEN 0 THEN {found(tx.PYTHON_IMPORT)} WHEN 1 THEN {found(tx.JAVA_IMPORT)} ELSE 0 END AS fan_out,
   CASE file_id % 3 WHEN 1 THEN {found(tx.JAVA_CLASS)} ELSE 0 END AS num_classes,
   CASE file_id % 3 WHEN 1 THEN {found(tx.JAVA_METHOD)} ELSE 0 END AS num_methods

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
 
+INLINE_SPACE = f"[{SPACE}&&[^\\n]]"
 S, NOT_S, W, NOT_W = f"[{SPACE}]", f"[^{SPACE}]", f"[{WORD}]", f"[^{WORD}]"
 
 # What counts as an import, a declaration, a parameter list and a body.
@@ -24,9 +25,6 @@ JAVA_CLASS = rf"(?:^|{NOT_W})(?:class|interface|enum){S}+{W}+"
 JAVA_METHOD = rf"(?:public|private|protected){S}+{W}+{S}+{W}+{S}*\([^)]*\){S}*\{{"
 PYTHON_DEF = rf"def{S}+{W}+{S}*\(([^)]+)\)"
 BRACE_BODY = r"\{[^{}]*\}"
-BLANK = rf"^{S}*$"
-PYTHON_COMMENT = rf"^{S}*#"
-JAVA_COMMENT = rf"^{S}*(?://|/\*|\*)"
 
 # Smell limits.
 LARGE_FILE_LINES = 500
@@ -64,19 +62,21 @@ def line_count(content: Column) -> Column:
     return newlines(content) + 1
 
 
-def _lines_like(content: Column, regex: str) -> Column:
-    return F.size(F.filter(F.split(content, "\n"), lambda line: line.rlike("(?d)" + regex)))
+def _lines_starting(content: Column, what: str) -> Column:
+    """Lines with `what` after leading white space, counted in one pass without cutting lines."""
+    return occurrences(content, rf"(?m)^{INLINE_SPACE}*+{what}")
 
 
 def blank_lines(content: Column) -> Column:
-    return _lines_like(content, BLANK)
+    # `^` does not match behind a final newline, yet the empty piece there is a blank line.
+    return _lines_starting(content, "$") + F.when(content.endswith("\n"), 1).otherwise(0)
 
 
 def comment_lines(content: Column, language: Column) -> Column:
     """Python `#` lines, Java `//`, `/*` and `*` lines, none for other languages."""
     return (
-        F.when(language == "python", _lines_like(content, PYTHON_COMMENT))
-        .when(language == "java", _lines_like(content, JAVA_COMMENT))
+        F.when(language == "python", _lines_starting(content, "#"))
+        .when(language == "java", _lines_starting(content, r"(?://|/\*|\*)"))
         .otherwise(F.lit(0))
     )
 

@@ -40,7 +40,7 @@ def minority_knn(df: DataFrame, cols: Sequence[str], k: int, group_limit: int =
     rows = df.select("repo_id", "id", vec.alias("vec"))
     members = top_rows(rows, ["repo_id", "vec"], [F.asc("id")], k + 1)
     small, large, _ = split_hot(members, ["repo_id"], group_limit)
-    near = small.groupBy("repo_id").applyInPandas(_all_in_one_task(k), _NEAR)
+    near = _spread(small, "repo_id").groupBy("repo_id").applyInPandas(_all_in_one_task(k), _NEAR)
     if large is not None:
         near = near.unionByName(_by_cells(cut_lineage(large), k, block_rows))
     # `near` answers for the smallest id of each vector; every copy shares that answer.
@@ -57,17 +57,21 @@ def _nearest():
     import numpy as np
 
     def nearest(q, members, ids, n):
-        order = np.argsort(ids, kind="stable")
-        members, ids = members[order], ids[order]
+        """(row of q, id, squared distance) of the n nearest members of every row."""
         n = min(n, len(ids))
         for start in range(0, len(q), 256):
             part = q[start:start + 256]
             d2 = np.zeros((len(part), len(ids)))
             for c in range(members.shape[1]):
                 d2 += (part[:, c, None] - members[None, :, c]) ** 2
-            # Stable sort over ids in ascending order breaks ties by id.
-            best = np.argsort(d2, axis=1, kind="stable")[:, :n]
-            yield start, ids[best], np.take_along_axis(d2, best, axis=1)
+            # Everything up to the n-th distance, equal ones included; then ties by id.
+            i, j = np.nonzero(d2 <= np.partition(d2, n - 1, axis=1)[:, n - 1, None])
+            d, near = d2[i, j], ids[j]
+            order = np.lexsort((near, d, i))
+            i, d, near = i[order], d[order], near[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+            keep = place < n
+            yield start + i[keep], near[keep], d[keep]
 
     return nearest
 
@@ -76,10 +80,8 @@ def _frame():
     import numpy as np
     import pandas as pd
 
-    def frame(repo, q_ids, start, ids, d2):
-        n, k = ids.shape
-        return pd.DataFrame({"repo_id": np.full(n * k, repo), "q": np.repeat(q_ids[start:start + n], k),
-                             "id": ids.ravel(), "d2": d2.ravel()})
+    def frame(repo, q_ids, rows, ids, d2):
+        return pd.DataFrame({"repo_id": np.full(len(rows), repo), "q": q_ids[rows], "id": ids, "d2": d2})
 
     return frame
 
@@ -121,8 +123,8 @@ def _by_cells(members: DataFrame, k: int, block_rows: int) -> DataFrame:
             "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).drop("blocks")
 
     celled = cut_lineage(
-        with_block(members, "id").groupBy("repo_id", "block")
-        .cogroup(_renewed(for_every_block(pivots)).groupBy("repo_id", "block"))
+        _spread(with_block(members, "id"), "repo_id", "block").groupBy("repo_id", "block")
+        .cogroup(_spread(_renewed(for_every_block(pivots)), "repo_id", "block").groupBy("repo_id", "block"))
         .applyInPandas(_assign(), "repo_id bigint, id bigint, vec array<double>, cell bigint, d double"))
     kth = (
         top_rows(celled, ["repo_id", "cell"], [F.asc("d"), F.asc("id")], k + 1, rank="i")
@@ -134,8 +136,8 @@ def _by_cells(members: DataFrame, k: int, block_rows: int) -> DataFrame:
         pivots.withColumnRenamed("pivot", "cell").join(cells, ["repo_id", "cell"])
         .select("repo_id", "cell", "at", "radius", "kth", F.ceil(F.col("n") / block_rows).alias("parts")))
     visits = cut_lineage(
-        with_block(vecs, "q").groupBy("repo_id", "block")
-        .cogroup(_renewed(for_every_block(summary)).groupBy("repo_id", "block"))
+        _spread(with_block(vecs, "q"), "repo_id", "block").groupBy("repo_id", "block")
+        .cogroup(_spread(_renewed(for_every_block(summary)), "repo_id", "block").groupBy("repo_id", "block"))
         .applyInPandas(_visits(), "repo_id bigint, q bigint, vec array<double>, cell bigint, parts bigint"))
     # A crowded cell is cut into parts; each visiting query meets every part, in blocks.
     busy = visits.groupBy("repo_id", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("q_parts"))
@@ -150,12 +152,17 @@ def _by_cells(members: DataFrame, k: int, block_rows: int) -> DataFrame:
         .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
         .withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("q_parts") - 1))))
     found = (
-        left.select(*meet, "q", "vec").groupBy(*meet)
-        .cogroup(_renewed(right.select(*meet, "id", "vec")).groupBy(*meet))
+        _spread(left.select(*meet, "q", "vec"), *meet).groupBy(*meet)
+        .cogroup(_spread(_renewed(right.select(*meet, "id", "vec")), *meet).groupBy(*meet))
         .applyInPandas(_meet(k), _NEAR))
     return top_rows(found, ["repo_id", "q"], [F.asc("d2"), F.asc("id")], k + 1)
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitioning that AQE does not coalesce: few bytes here mean a lot of arithmetic."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _renewed(df: DataFrame) -> DataFrame:
     """Same columns under new ids: both sides of a cogroup stem from one frame."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
