@@ -10,6 +10,8 @@ from defectscope.plans import dataset as dp
 from defectscope.plans import flow as fl
 from defectscope.plans import training as tr
 from defectscope.schemas import FEATURE_COLUMNS
+from defectscope.session import scratch_path
+from defectscope.sources import registry
 
 # Small forests keep a check run short; rows are never cut.
 SMALL = {"n_estimators": 10, "max_depth": 5}
@@ -92,6 +94,16 @@ def _(t):
     return tr.feature_importance(t.spark, model, FEATURE_COLUMNS)
 
 
+@query("reloaded_model_scores")
+def _(t):
+    train, test = halves(t)
+    model, metrics, chosen = tr.train_auto(train, test, tr.TrainConfig(family="rf", n_trials=0, params=SMALL), FEATURE_COLUMNS)
+    path = scratch_path(t.spark, "model")
+    registry.save_model(model, path, chosen["cols"], metrics.first()["threshold"])
+    loaded, cols, threshold = registry.load_model(t.spark, path)
+    return tr.score(test, loaded, threshold, cols)
+
+
 def flow(t) -> fl.FlowResult:
     cfg = fl.FlowConfig(training=tr.TrainConfig(family="rf", n_trials=0, params=SMALL))
     return fl.run_flow(t.spark, t.fx_file_metrics, t.fx_files, commits(t), cfg)

@@ -106,13 +106,13 @@ def _(t):
 
 
 @query("bug_history_before_row", f"""
-WITH {CHANGES} SELECT m.repo_id, m.id, count(*) AS bug_history
-FROM (SELECT repo_id, filepath, id, TIMESTAMP '1996-06-01 00:00:00' AS at FROM fx_file_metrics) m
-JOIN changes c ON c.repo_id = m.repo_id AND c.filepath = m.filepath AND c.is_bugfix AND c.committed_at < m.at
+WITH {CHANGES} SELECT m.repo_id, m.id, count(c.commit_id) AS bug_history
+FROM fx_file_metrics m LEFT JOIN changes c ON c.repo_id = m.repo_id AND c.filepath = m.filepath AND c.is_bugfix
+  AND c.committed_at < m.created_at + INTERVAL 1000 DAY
 GROUP BY m.repo_id, m.id""")
 def _(t):
-    at = F.lit("1996-06-01 00:00:00").cast("timestamp_ntz")
-    return ch.bug_history_before(t.fx_file_metrics.withColumn("created_at", at), changes(t))
+    later = t.fx_file_metrics.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1000 DAYS"))
+    return ch.bug_history_before(later, changes(t))
 
 
 @query("recent_changes", f"""

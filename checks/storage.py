@@ -137,6 +137,15 @@ def _(t):
     return ds.read_split(t.spark, saved, 1, "test").select(F.col("repo_id").cast("bigint").alias("repo_id"), "id", "is_buggy", "wmc", "loc")
 
 
+@query("dataset_csv_round_trip", f"WITH {SPLIT} SELECT id AS file_id, filepath, split, is_buggy, wmc, cbo, CAST(loc AS DOUBLE) AS loc FROM s")
+def _(t):
+    rows = ft.temporal_split(ch.with_bug_labels(t.fx_file_metrics, changes(t)))
+    path = scratch_path(t.spark, "csv")
+    ds.save_csv(rows.select(F.col("id").alias("file_id"), "filepath", "wmc", "cbo", "loc", "is_buggy", "split"), path, 1)
+    train, test = ds.load_dataset(t.spark, path, 1)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
 def _saved_dataset(t):
     labeled = ch.with_bug_labels(t.fx_file_metrics, changes(t))
     split = ft.temporal_split(labeled)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectscope.functions.commits import is_analyzable, is_bugfix
-from defectscope.operators.ranking import top_rows
+from defectscope.operators.ranking import ranked, top_rows
 
 
 def with_is_bugfix(commits: DataFrame) -> DataFrame:
@@ -73,16 +73,21 @@ def file_history(changes: DataFrame, as_of: Column | None = None, days: int = 30
     )
 
 
-def bug_history_before(metrics: DataFrame, changes: DataFrame) -> DataFrame:
-    """Bug-fix changes of each file before the metric row was taken, so the label does not leak."""
-    fixes = changes.where("is_bugfix").select("repo_id", "filepath", "committed_at")
-    rows = metrics.select("repo_id", "filepath", "id", "created_at")
-    return (
-        rows.join(fixes, ["repo_id", "filepath"])
-        .where(F.col("committed_at") < F.col("created_at"))
-        .groupBy("repo_id", "id")
-        .agg(F.count(F.lit(1)).alias("bug_history"))
-    )
+def bug_history_before(metrics: DataFrame, changes: DataFrame, **limits) -> DataFrame:
+    """Bug-fix changes of each file before the metric row was taken, so the label does not leak.
+
+    Rows and fixes of a file are put on one time line and the fixes counted along it; a file
+    with many of both never pairs them. A fix at the very time of a row does not count.
+    """
+    fixes = (
+        changes.where("is_bugfix").groupBy("repo_id", "filepath", F.col("committed_at").alias("at"))
+        .agg(F.count(F.lit(1)).alias("fixes")).withColumn("id", F.lit(None).cast("bigint")))
+    rows = metrics.select("repo_id", "filepath", F.col("created_at").alias("at"),
+                          F.lit(0).cast("bigint").alias("fixes"), F.col("id").cast("bigint").alias("id"))
+    order = [F.asc_nulls_first("at"), F.col("id").isNull().asc(), F.asc("id")]
+    counted = ranked(rows.unionByName(fixes), ["repo_id", "filepath"], order, rank="__rn",
+                     running={"bug_history": F.col("fixes")}, **limits)
+    return counted.where(F.col("id").isNotNull()).select("repo_id", "id", "bug_history")
 
 
 def with_change_features(metrics: DataFrame, stats: DataFrame) -> DataFrame:

@@ -157,7 +157,8 @@ def rank_items(items: DataFrame, score: str = "priority_score", **limits) -> Dat
 def with_reason(plan: DataFrame, budget: float, score: str = "priority_score", **limits) -> DataFrame:
     """Rank and reason of every item, from the effort selected up to it in rank order."""
     effort = F.when(F.col("selected"), F.col("effort")).otherwise(F.lit(0.0))
-    out = ranked(plan, ["repo_id"], [F.desc(score), F.asc("pos")], running={"__used": effort}, **limits)
+    # Measured, then ranked: written once, so the selection is not walked again.
+    out = ranked(cut_lineage(plan), ["repo_id"], [F.desc(score), F.asc("pos")], running={"__used": effort}, **limits)
     must, never = F.coalesce("mandatory", F.lit(False)), F.coalesce("excluded", F.lit(False))
     reason = (
         F.when(F.col("selected") & must, MANDATORY).when(F.col("selected"), SELECTED)

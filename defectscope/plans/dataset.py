@@ -47,7 +47,8 @@ def build_dataset(metrics: DataFrame, files: DataFrame, commits: DataFrame, cfg:
     """Train and test rows (`split`) of every repository; only train rows are balanced."""
     cfg = cfg or DatasetConfig()
     keep = ["repo_id", "id", "filepath", "created_at", *FEATURE_COLUMNS, "is_buggy"]
-    table = feature_table(metrics, files, commits, cfg.as_of).select(*keep)
+    # Measured, then split: written once, so the changes are joined once.
+    table = cut_lineage(feature_table(metrics, files, commits, cfg.as_of).select(*keep))
     split = ft.split_dataset(table, cfg.test_ratio, cfg.temporal, cfg.seed)
     doubles = {c: F.col(c).cast("double") for c in FEATURE_COLUMNS}
     if cfg.balancing != "smote":

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from defectscope.operators import balance as bal
+from defectscope.operators import changes as ch
 from defectscope.operators import evaluate as ev
 from defectscope.operators import features as ft
 from defectscope.operators import selection as sel
@@ -120,6 +121,16 @@ def test_top_share_cuts_through_ties_in_id_order(spark):
     assert got.recall_top == pytest.approx(want) and got.popt == pytest.approx(want)
 
 
+def test_fixes_before_a_row_of_a_hot_file(spark):
+    rng = random.Random(4)
+    rows = [(1, "hot" if i % 3 else f"f{i % 5}", i, rng.randint(0, 40)) for i in range(300)] + [(1, "hot", 999, None)]
+    fixes = [(1, "hot" if i % 2 else f"f{i % 5}", rng.randint(0, 40), rng.random() < .6) for i in range(300)]
+    metrics = spark.createDataFrame(rows, "repo_id int, filepath string, id bigint, created_at int")
+    changed = spark.createDataFrame(fixes, "repo_id int, filepath string, committed_at int, is_bugfix boolean")
+    got = {r.id: r.bug_history for r in ch.bug_history_before(metrics, changed, limit=50).collect()}
+    assert got == {i: sum(b and g == f and at is not None and c < at for _, g, c, b in fixes) for _, f, i, at in rows}
+
+
 def test_splits_of_a_hot_repository(spark):
     rows = [(1 if i % 4 else 2, i, i % 3 % 2) for i in range(400)]
     df = spark.createDataFrame(rows, "repo_id int, id int, is_buggy int").withColumn("created_at", (F.col("id") % 50))
