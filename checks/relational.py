@@ -126,6 +126,14 @@ def _(t):
     return ch.recent_changes(changes(t), F.lit(str(as_of)).cast("timestamp_ntz"), days=400)
 
 
+@query("rolling_changes", f"""
+WITH {CHANGES}, times AS (SELECT DISTINCT repo_id, filepath, committed_at FROM changes)
+SELECT t.repo_id, t.filepath, t.committed_at, count(*) AS changes FROM times t JOIN changes c ON c.repo_id = t.repo_id AND c.filepath = t.filepath
+  AND c.committed_at > t.committed_at - INTERVAL 400 DAY AND c.committed_at <= t.committed_at GROUP BY 1, 2, 3""")
+def _(t):
+    return ch.rolling_changes(changes(t), days=400)
+
+
 @query("change_features", f"""
 WITH {CHANGES}, fixes AS (SELECT repo_id, filepath, count(*) AS change_frequency, count(DISTINCT author_name) AS author_count
                    FROM changes WHERE is_bugfix GROUP BY repo_id, filepath)

@@ -99,8 +99,8 @@ def _(t):
 @query("parameter_smells", f"WITH {DEFS} SELECT file_id, CAST(line AS INT) AS line_start, CAST(params AS BIGINT) AS params FROM defs WHERE params > 5")
 def _(t):
     python = mt.with_language(t.fx_sources).where("language = 'python'")
-    rows = python.select("file_id", F.inline(tx.smells_too_many_parameters(F.col("content"))))
-    return rows.select("file_id", "line_start", F.regexp_extract("message", r"has (\d+)", 1).cast("bigint").alias("params"))
+    rows = python.select("file_id", F.inline_outer(tx.smells_too_many_parameters(F.col("content"))))
+    return rows.where("smell_type IS NOT NULL").select("file_id", "line_start", F.regexp_extract("message", r"has (\d+)", 1).cast("bigint").alias("params"))
 
 
 @query("smells_by_severity", f"""

@@ -53,6 +53,21 @@ def recent_changes(changes: DataFrame, as_of: Column, days: int = 30) -> DataFra
     )
 
 
+def rolling_changes(changes: DataFrame, days: int = 30, **limits) -> DataFrame:
+    """Changes of a file in the `days` up to each time it changed, one row per file and time.
+
+    Every change enters the count at its time and leaves it `days` later, so one running sum
+    along the time line replaces a range window over the whole file.
+    """
+    at = changes.groupBy("repo_id", "filepath", F.col("committed_at").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    steps = at.withColumn("leaves", F.lit(0)).unionByName(
+        at.select("repo_id", "filepath", (F.col("at") + F.expr(f"INTERVAL {int(days)} DAYS")).alias("at"),
+                  (-F.col("n")).alias("n"), F.lit(1).alias("leaves")))
+    counted = ranked(steps, ["repo_id", "filepath"], [F.asc("at"), F.desc("leaves")], rank="__rn",
+                     running={"changes": F.col("n")}, **limits)
+    return counted.where("leaves = 0").select("repo_id", "filepath", F.col("at").alias("committed_at"), "changes")
+
+
 def file_history(changes: DataFrame, as_of: Column | None = None, days: int = 30) -> DataFrame:
     """Everything the feature table needs from the changes, in one aggregation.
 

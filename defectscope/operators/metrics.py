@@ -60,8 +60,9 @@ def file_metrics(sources: DataFrame) -> DataFrame:
 def import_edges(sources: DataFrame) -> DataFrame:
     """(repo_id, source file, target module) for every import found."""
     names = tx.imported_names(F.col("content"), F.col("language"))
-    return with_language(sources).select(
-        "repo_id", F.col("filepath").alias("source"), F.explode(names).alias("target"))
+    edges = with_language(sources).select(
+        "repo_id", F.col("filepath").alias("source"), F.explode_outer(names).alias("target"))
+    return edges.where(F.col("target").isNotNull())
 
 
 def rollup_complexity(functions: DataFrame) -> DataFrame:
@@ -111,7 +112,10 @@ def smells_from_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def explode_smells(metrics: DataFrame) -> DataFrame:
-    return metrics.select("repo_id", "filepath", F.inline("code_smells"))
+    # The outer form: an inner one gets an inferred `size > 0` filter, which would evaluate
+    # the text expressions behind the array a second time.
+    rows = metrics.select("repo_id", "filepath", F.inline_outer("code_smells"))
+    return rows.where(F.col("smell_type").isNotNull())
 
 
 def smells_by_severity(smells: DataFrame) -> DataFrame:

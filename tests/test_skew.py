@@ -131,6 +131,19 @@ def test_fixes_before_a_row_of_a_hot_file(spark):
     assert got == {i: sum(b and g == f and at is not None and c < at for _, g, c, b in fixes) for _, f, i, at in rows}
 
 
+def test_small_repositories_are_split_at_random(spark):
+    rows = [(1, i) for i in range(10)] + [(2, i) for i in range(11)] + [(3, 0)]
+    df = spark.createDataFrame(rows, "repo_id int, id int").withColumn("created_at", F.col("id"))
+    got = {}
+    for r in ft.split_dataset(df, 0.2).collect():
+        got.setdefault(r.repo_id, {"train": [], "test": []})[r.split].append(r.id)
+    assert sorted(got[2]["train"]) == list(range(8)) and sorted(got[2]["test"]) == [8, 9, 10]
+    assert (len(got[1]["train"]), len(got[1]["test"])) == (8, 2)
+    assert (len(got[3]["train"]), len(got[3]["test"])) == (0, 1)
+    random_cut = {(r.repo_id, r.id, r.split) for r in ft.split_dataset(df, 0.2, temporal=False).collect()}
+    assert {(r.repo_id, r.id, r.split) for r in ft.random_split(df, 0.2).collect()} == random_cut
+
+
 def test_splits_of_a_hot_repository(spark):
     rows = [(1 if i % 4 else 2, i, i % 3 % 2) for i in range(400)]
     df = spark.createDataFrame(rows, "repo_id int, id int, is_buggy int").withColumn("created_at", (F.col("id") % 50))
