@@ -100,7 +100,10 @@ def java_methods(content: Column) -> Column:
 def decision_points(content: Column) -> Column:
     """1 + branch tokens; a corpus-wide estimate, not a parser's cyclomatic complexity."""
     words = rf"(?<!{W})(?:{'|'.join(BRANCH_WORDS)})(?!{W})"
-    return 1 + occurrences(content, words + r"|&&|\|\|")
+    signs = "|".join(s.replace("|", r"\|") for s in BRANCH_SIGNS)
+    # Most positions start no token: a look at the first character settles them.
+    first = "".join(sorted({w[0] for w in BRANCH_WORDS + BRANCH_SIGNS}))
+    return 1 + occurrences(content, rf"(?=[{first}])(?:{words}|{signs})")
 
 
 def imported_names(content: Column, language: Column) -> Column:
