@@ -43,14 +43,24 @@ def test_training_without_a_test_frame(spark, split):
 
 def test_tuning_is_repeatable_and_survives_bad_trials(spark, split):
     train = tr.prepared(split[0], FEATURE_COLUMNS)
-    best, trials = tr.tune(train, FEATURE_COLUMNS, "logreg", n_trials=1, folds=2)
-    again, _ = tr.tune(train, FEATURE_COLUMNS, "logreg", n_trials=1, folds=2)
-    assert best == again and 0.01 <= best["C"] <= 10
+    best, trials = tr.tune(train, FEATURE_COLUMNS, "rf", n_trials=2, folds=2, fixed={"n_estimators": 3, "max_depth": 3})
+    again, same = tr.tune(train, FEATURE_COLUMNS, "rf", n_trials=2, folds=2, fixed={"n_estimators": 3, "max_depth": 3})
+    assert best == again and trials == same and all(0 < t["score"] <= 1 for t in trials)
     _, bad = tr.tune(train, FEATURE_COLUMNS, "rf", n_trials=1, folds=3, fixed={"max_depth": 99})
     assert bad[0]["score"] == 0.0
     assert tr.tune(train, FEATURE_COLUMNS, "rf", n_trials=0) == ({}, [])
 
 
+def test_search_ranges():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        boosted, forest, linear = (tr.sample_params(f, rng) for f in ("xgb", "rf", "logreg"))
+        assert 50 <= boosted["n_estimators"] <= 300 and 3 <= boosted["max_depth"] <= 10 and .01 <= boosted["learning_rate"] <= .3
+        assert 50 <= forest["n_estimators"] <= 300 and 3 <= forest["max_depth"] <= 20 and 0.01 <= linear["C"] <= 10
+
+
 def test_scores_and_uncertainty(spark, split, model):
     out = tr.score(split[1], model, 0.3, FEATURE_COLUMNS, uncertainty=True).collect()
     assert len(out) == split[1].count()
