@@ -19,8 +19,8 @@ from defectscope.operators.ranking import ranked, split_hot, top_rows
 from defectscope.session import cut_lineage
 
 # Distinct vectors of one group compared inside one task, and rows of one block of a cell.
-GROUP_LIMIT = 20_000
-BLOCK_ROWS = 20_000
+GROUP_LIMIT = 5_000
+BLOCK_ROWS = 10_000
 MAX_PIVOTS = 4_096
 # Copies of one row made by one task at a time.
 COPIES_BLOCK = 10_000
