@@ -10,7 +10,7 @@ from defectscope.plans import dataset as dp
 from defectscope.plans import flow as fl
 from defectscope.plans import training as tr
 from defectscope.schemas import FEATURE_COLUMNS
-from defectscope.session import scratch_path
+from defectscope.session import scratch_path, written
 from defectscope.sources import registry
 
 # Small forests keep a check run short; rows are never cut.
@@ -34,7 +34,7 @@ def dataset(t, balancing: str = "none"):
 
 
 def halves(t, balancing: str = "none"):
-    rows = fl._written(dataset(t, balancing), "dataset")
+    rows = written(dataset(t, balancing), "dataset")
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 

@@ -11,7 +11,7 @@ from defectscope.operators import balance as bal
 from defectscope.operators import changes as ch
 from defectscope.operators import features as ft
 from defectscope.schemas import FEATURE_COLUMNS
-from defectscope.session import cut_lineage
+from defectscope.session import written
 
 
 @dataclass
@@ -48,13 +48,13 @@ def build_dataset(metrics: DataFrame, files: DataFrame, commits: DataFrame, cfg:
     cfg = cfg or DatasetConfig()
     keep = ["repo_id", "id", "filepath", "created_at", *FEATURE_COLUMNS, "is_buggy"]
     # Measured, then split: written once, so the changes are joined once.
-    table = cut_lineage(feature_table(metrics, files, commits, cfg.as_of).select(*keep))
+    table = written(feature_table(metrics, files, commits, cfg.as_of).select(*keep), "features")
     split = ft.split_dataset(table, cfg.test_ratio, cfg.temporal, cfg.seed)
     doubles = {c: F.col(c).cast("double") for c in FEATURE_COLUMNS}
     if cfg.balancing != "smote":
         return split.withColumns(doubles)
     # Read several times by the balancing: written once.
-    split = cut_lineage(split.withColumns(doubles))
+    split = written(split.withColumns(doubles), "split")
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     balanced = bal.smote(train, FEATURE_COLUMNS, seed=cfg.seed, renumber=True).drop("copy", "id")
     balanced = balanced.withColumnRenamed("file_id", "id").withColumn("split", F.lit("train"))
