@@ -49,7 +49,7 @@ def _grams(tokens: Column, size: Column) -> Column:
     """(position, gram) of each run of `size` tokens."""
     runs = F.transform(
         F.sequence(F.lit(0), F.size(tokens) - size),
-        lambda i: F.struct(i.cast("bigint").alias("position"), F.array_join(F.slice(tokens, i + 1, size), " ").alias("gram")))
+        lambda i: F.struct(size.alias("size"), i.cast("bigint").alias("position"), F.array_join(F.slice(tokens, i + 1, size), " ").alias("gram")))
     return F.when(F.size(tokens) >= size, runs)
 
 
@@ -88,9 +88,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, i
         possible = scanned.select("doc_id", F.explode("blocks").alias("block")).join(bounded(known, known.count()), "block", "left_semi")
         possible = written(possible.select(F.col("doc_id").alias("possible_id")).distinct(), "possible")
         rows = rows.join(bounded(possible, possible.count()), F.col("doc_id").eqNullSafe(F.col("possible_id")), "left_semi")
-    found = F.array_compact(F.flatten(F.array(*(
-        F.coalesce(F.transform(_grams(F.col("tokens"), F.lit(s)), lambda r, s=s: F.struct(F.lit(s).alias("size"), r["position"].alias("position"), r["gram"].alias("gram"))), F.array())
-        for s in sizes)))) if sizes else None
+    found = F.flatten(F.array(*(F.coalesce(_grams(F.col("tokens"), F.lit(s)), F.array()) for s in sizes))) if sizes else None
     if found is None:
         hits = rows.where(F.lit(False)).select("doc_id", "text_md5", F.lit(None).cast("array<struct<position:bigint,size:int>>").alias("starts"),
                                                F.lit(None).cast("array<string>").alias("items"))
