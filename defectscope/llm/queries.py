@@ -46,7 +46,7 @@ def op5(spark, sf_dir):
 
 @query("op6_simhash_groups")
 def op6(spark, sf_dir):
-    return simhash.near_groups(read(spark, sf_dir, "documents"))
+    return simhash.near_groups(read(spark, sf_dir, "documents")).drop("text_md5", "group")
 
 
 @query("op7_merkle_audit", fixity.SQL)

@@ -64,6 +64,11 @@ def fingerprint(text: Column, words_in_shingle: int = 4) -> Column:
     return fingerprints(text)
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows of one id apart by their texts; null is empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def shown(bits: Column) -> Column:
     """16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
@@ -188,20 +193,39 @@ def linked(distinct: DataFrame, count: int, radius: int = RADIUS, shard: int = S
 
 def near_groups(docs: DataFrame, *, words_in_shingle: int = 4, radius: int = RADIUS, shard: int = SHARD,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of `docs`.
+    """(doc_id, text_md5, fingerprint, group, component_id) of every row of `docs`.
 
     Texts are lower-cased in A-Z, cut at ASCII white space into words, and these into
     shingles (fewer words: one shingle of all; none, or null text: fingerprint zero, linked
-    like any other). Documents within `radius` bits are linked, and `component_id` is the
-    smallest id reachable. Null ids never count as smallest: it is null only where a whole
-    group has no id. Equal ids are rows of their own, other columns are ignored, and an
-    empty table gives an empty result.
+    like any other). Documents within `radius` bits are linked; `group` is the smallest
+    fingerprint and `component_id` the smallest id reachable. Null ids never count as
+    smallest: it is null only where a whole group has no id. Equal ids are rows of their
+    own, other columns are ignored, and an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col).cast("string"), words_in_shingle).alias("bits"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_md5"), fingerprint(text, words_in_shingle).alias("bits"))
     rows = written(rows, "fingerprints")
     distinct = written(rows.groupBy("bits").agg(F.min("doc_id").alias("first")), "distinct")
     groups = written(components(linked(distinct, distinct.count(), radius, shard), "a", "b"), "groups")
     firsts = groups.join(distinct, groups["node"] == distinct["bits"]).groupBy("component").agg(F.min("first").alias("component_id"))
-    known = groups.join(firsts, "component").select(F.col("node").alias("bits"), "component_id")
-    named = distinct.join(known, "bits", "left").select("bits", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(named, "bits").select("doc_id", shown(F.col("bits")).alias("fingerprint"), "component_id")
+    known = groups.join(firsts, "component").select(F.col("node").alias("bits"), "component", "component_id")
+    # A group's smallest id is null only if all are, and then so is the fingerprint's own.
+    named = distinct.join(known, "bits", "left").select("bits", F.coalesce("component", "bits").alias("group"), F.coalesce("component_id", "first").alias("component_id"))
+    return rows.join(named, "bits").select("doc_id", "text_md5", shown(F.col("bits")).alias("fingerprint"), "group", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` in its own columns, with the document of the smallest id of each group: without an id last, equal ids by text."""
+    groups = written(near_groups(docs, id_col=id_col, text_col=text_col, **options), "near")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5")
+    stays = groups.groupBy("group").agg(F.min(order).alias("stays")).select("group", "stays.doc_id", "stays.text_md5")
+    same = F.col("g.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("g.text_md5") == F.col("s.text_md5"))
+    seen = groups.alias("g").join(stays.alias("s"), F.col("g.group") == F.col("s.group")).select("g.doc_id", "g.text_md5", same.alias("stays"))
+    fates = written(seen.groupBy("doc_id", "text_md5").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("copies")), "fates")
+    goes = fates.where(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"))
+    key = text_key(F.col(text_col).cast("string"))
+    kept = docs.join(goes, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__md5")), "left_anti")
+    if fates.where(F.col("stays") & (F.col("copies") > 1)).limit(1).count():
+        # The same row given more than once.
+        kept = kept.withColumn("__md5", key).dropDuplicates([id_col, "__md5"]).drop("__md5")
+    return kept
