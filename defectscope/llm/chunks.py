@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from defectscope.llm.tables import wrapped
 from defectscope.session import written
 
 # Code points: no cut within SHORTEST of an earlier one, one at LONGEST at the latest; between, one in 2 ** CUT_BITS.
@@ -120,11 +121,12 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: st
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with repeated passages cut out of their texts; ids must be unique and not null."""
     spans = repeated_passages(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left")
-    text = F.col(text_col)
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = wrapped(docs, doc_id=F.col(id_col).cast("bigint")).join(spans, "doc_id", "left")
+    text = F.col("row").getField(text_col)
     state = F.aggregate(
-        "__spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
+        "spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))).alias("out")))
     cut = F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
-    return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return joined.select(*(F.when(F.col("spans").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+                           for c in docs.columns))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectscope.llm.tables import bounded
+from defectscope.llm.tables import bounded, unwrapped, wrapped
 from defectscope.session import written
 
 WINDOW = 10
@@ -114,9 +114,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, i
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` without a hit, in their own columns."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated")
-    leaks = leaks.select(F.col("doc_id").alias("__leak_id"), F.col("text_md5").alias("__leak_md5")).distinct()
-    md5 = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("__leak_id")) & (md5 == F.col("__leak_md5")), "left_anti")
+    leaks = leaks.select(F.col("doc_id").alias("leak_id"), F.col("text_md5").alias("leak_md5")).distinct()
+    rows = wrapped(docs, doc_id=F.col(id_col), text_md5=F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    clean = rows.join(leaks, F.col("doc_id").eqNullSafe(F.col("leak_id")) & (F.col("text_md5") == F.col("leak_md5")), "left_anti")
+    return unwrapped(clean, docs)
 
 
 SQL = """

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from defectscope.llm.tables import wrapped
+
 # The named kinds, in the order that breaks ties between spans.
 KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -126,8 +128,7 @@ def find_secrets(docs: DataFrame, rank_path: str, pattern: str, *, max_ratio: fl
 def redacted(docs: DataFrame, rank_path: str, pattern: str, *, max_ratio: float = MAX_RATIO,
              text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with secrets replaced in the text, and the length column kept true; all rows stay."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                       scan(F.col(text_col).cast("string"), rank_path, pattern, max_ratio)["redacted"].alias("redacted"))
+    rows = wrapped(docs, redacted=scan(F.col(text_col).cast("string"), rank_path, pattern, max_ratio)["redacted"])
     kept = F.col("redacted").isNull()
     columns = []
     for c in docs.columns:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectscope.llm.components import components
-from defectscope.llm.tables import bounded
+from defectscope.llm.tables import bounded, unwrapped, wrapped
 from defectscope.session import written
 
 RADIUS = 4
@@ -222,10 +222,10 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     same = F.col("g.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("g.text_md5") == F.col("s.text_md5"))
     seen = groups.alias("g").join(stays.alias("s"), F.col("g.group") == F.col("s.group")).select("g.doc_id", "g.text_md5", same.alias("stays"))
     fates = written(seen.groupBy("doc_id", "text_md5").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("copies")), "fates")
-    goes = fates.where(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__md5"))
-    key = text_key(F.col(text_col).cast("string"))
-    kept = docs.join(goes, F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__md5")), "left_anti")
+    goes = fates.where(~F.col("stays")).select(F.col("doc_id").alias("gone_id"), F.col("text_md5").alias("gone_md5"))
+    rows = wrapped(docs, doc_id=F.col(id_col), text_md5=text_key(F.col(text_col).cast("string")))
+    kept = rows.join(goes, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_md5") == F.col("gone_md5")), "left_anti")
     if fates.where(F.col("stays") & (F.col("copies") > 1)).limit(1).count():
         # The same row given more than once.
-        kept = kept.withColumn("__md5", key).dropDuplicates([id_col, "__md5"]).drop("__md5")
-    return kept
+        kept = kept.dropDuplicates(["doc_id", "text_md5"])
+    return unwrapped(kept, docs)

@@ -32,6 +32,16 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def wrapped(df: DataFrame, **keys: Column) -> DataFrame:
+    """(row, keys...): the rows as one column, so that no name of theirs meets the keys' names."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(column.alias(name) for name, column in keys.items()))
+
+
+def unwrapped(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows of `wrapped` in the columns of `like`."""
+    return df.select(*(F.col("row").getField(c).alias(c) for c in like.columns))
+
+
 def running_total(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
     """Add `name`: the sum of `value` over all rows before this one in the whole table's order.
 
