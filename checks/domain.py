@@ -64,7 +64,7 @@ FROM (SELECT l_partkey, l_linenumber,
     "fx_test_items": """
 SELECT p_partkey % 25 AS repo_id, p_partkey AS pos, concat('T', CAST(p_partkey AS STRING)) AS id,
        concat('m', CAST(p_partkey % 10 AS STRING)) AS module,
-       CAST((p_partkey * 7919) % 1000 AS DOUBLE) / 1000 AS risk, CAST(p_size * 10 AS DOUBLE) AS effort,
+       CAST((p_partkey * 7919) % 1000 AS DOUBLE) / 1000 AS risk, CAST(p_size * 10 AS DOUBLE) + CAST(p_partkey % 10 AS DOUBLE) / 10 AS effort,
        CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_partkey % 11 + 5 AS DOUBLE) / 10 END AS criticite,
        CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(p_partkey % 5 AS DOUBLE) / 10 END AS coverage_gap,
        p_partkey % 41 = 0 AS mandatory, p_partkey % 19 = 0 AS excluded

@@ -1,4 +1,4 @@
-"""Datasets and classifiers. Fits have no SQL form: these are checked by tests of their properties."""
+"""Datasets and classifiers. A fit has no SQL form: SQL gives the rows it covers, the query whether its figures hold together."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.relational import CHANGES, commits
 from checks.registry import query
+from checks.storage import SPLIT
 from defectscope.plans import dataset as dp
 from defectscope.plans import flow as fl
 from defectscope.plans import training as tr
@@ -13,9 +14,6 @@ from defectscope.schemas import FEATURE_COLUMNS
 from defectscope.session import scratch_path, written
 from defectscope.sources import registry
 
-# Small forests keep a check run short; rows are never cut.
-SMALL = {"n_estimators": 10, "max_depth": 5}
-
 
 @query("feature_table", f"""
 WITH {CHANGES}, fixes AS (SELECT m.repo_id, m.id, count(*) AS bug_history FROM fx_file_metrics m JOIN changes c
@@ -49,66 +47,144 @@ def _(t):
     return dataset(t, "smote").groupBy("repo_id", "split", "is_buggy").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("trained_classifier")
+# What SQL can say of a fit: the rows it was measured on, and that all figures hold together.
+MEASURED = f"WITH {SPLIT} SELECT count(*) AS n, CAST(sum(is_buggy) AS BIGINT) AS positives, true AS sound FROM s WHERE split = 'test'"
+SCORED = f"WITH {SPLIT} SELECT repo_id, id AS pos, filepath AS id, true AS sound FROM s WHERE split = 'test'"
+FOREST = tr.TrainConfig(family="rf", n_trials=0)  # the family's own defaults; tuning has a query of its own
+TRIALS = 3
+
+
+def measured(metrics):
+    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    sound = F.abs(F.col("accuracy") - (F.col("tn") + F.col("tp")) / n) < 1e-9
+    for c in ("accuracy", "precision", "recall", "f1", "roc_auc"):
+        sound = sound & F.col(c).between(0, 1)
+    return metrics.select(n.cast("bigint").alias("n"), (F.col("tp") + F.col("fn")).cast("bigint").alias("positives"), sound.alias("sound"))
+
+
+def checked(scores, threshold):
+    p = F.col("probability")
+    sound = p.between(0, 1) & (F.col("risk_score") == p) & (F.col("prediction") == (p >= F.lit(float(threshold))).cast("int"))
+    if "uncertainty" in scores.columns:
+        sound = sound & (F.abs(F.col("uncertainty") - (1 - 2 * F.abs(p - 0.5))) < 1e-12)
+    return scores.select("repo_id", "pos", "id", sound.alias("sound"))
+
+
+@query("trained_classifier", MEASURED)
 def _(t):
     train, test = halves(t)
-    _, metrics, _ = tr.train_auto(train, test, tr.TrainConfig(family="rf", n_trials=0, params=SMALL), FEATURE_COLUMNS)
-    return metrics.drop("matrix")
+    _, metrics, _ = tr.train_auto(train, test, FOREST, FEATURE_COLUMNS)
+    return measured(metrics)
 
 
-@query("trained_logistic_regression")
+@query("trained_logistic_regression", MEASURED)
 def _(t):
     train, test = halves(t)
-    _, metrics, _ = tr.train_auto(train, test, tr.TrainConfig(family="logreg", n_trials=0), FEATURE_COLUMNS)
-    return metrics.drop("matrix")
+    _, metrics, _ = tr.train_auto(train, test, tr.TrainConfig(family="logreg", n_trials=TRIALS), FEATURE_COLUMNS)
+    return measured(metrics)
 
 
-@query("tuned_classifier")
+@query("tuned_classifier", f"SELECT CAST(i AS INT) AS trial, true AS sound FROM range(0, {TRIALS}) r(i)")
 def _(t):
     train, _ = halves(t)
     prepared = tr.prepared(train, FEATURE_COLUMNS)
-    _, trials = tr.tune(prepared, FEATURE_COLUMNS, "rf", n_trials=2, folds=3, fixed=SMALL)
-    rows = [(i, float(x["params"]["n_estimators"]), float(x["params"]["max_depth"]), x["score"]) for i, x in enumerate(trials)]
-    return t.spark.createDataFrame(rows, "trial int, n_estimators double, max_depth double, roc_auc double")
+    _, trials = tr.tune(prepared, FEATURE_COLUMNS, "logreg", n_trials=TRIALS)
+    rows = [(i, 0.01 <= x["params"]["C"] <= 10 and 0 < x["score"] <= 1) for i, x in enumerate(trials)]
+    return t.spark.createDataFrame(rows, "trial int, sound boolean")
 
 
-@query("best_of_families")
+@query("best_of_families", MEASURED)
 def _(t):
+    """The forest and, below the target accuracy, its larger refit; tests cover all families together."""
     train, test = halves(t)
-    _, table, _ = tr.train_best(train, test, "auto", cols=FEATURE_COLUMNS, overrides={"n_estimators": 5, "max_depth": 4},
-                              refit_trees=10)
-    return table
+    _, table, best = tr.train_best(train, test, "rf", cols=FEATURE_COLUMNS)
+    return measured(table.where(F.col("accuracy") == best["accuracy"]).limit(1))
 
 
-@query("scored_files")
+@query("scored_files", SCORED)
 def _(t):
     train, test = halves(t)
-    model = tr.fit(tr.prepared(train, FEATURE_COLUMNS), FEATURE_COLUMNS, "rf", SMALL)
-    return tr.score(test, model, 0.5, FEATURE_COLUMNS, uncertainty=True)
+    model = tr.fit(tr.prepared(train, FEATURE_COLUMNS), FEATURE_COLUMNS, "rf")
+    return checked(tr.score(test, model, 0.5, FEATURE_COLUMNS, uncertainty=True), 0.5)
 
 
-@query("feature_importance")
+@query("feature_importance", f"SELECT CAST(10 AS BIGINT) AS n, CAST({len(FEATURE_COLUMNS)} AS BIGINT) AS of_all, true AS sound")
 def _(t):
     train, _ = halves(t)
-    model = tr.fit(tr.prepared(train, FEATURE_COLUMNS), FEATURE_COLUMNS, "rf", SMALL)
-    return tr.feature_importance(t.spark, model, FEATURE_COLUMNS)
+    model = tr.fit(tr.prepared(train, FEATURE_COLUMNS), FEATURE_COLUMNS, "rf")
+    top = tr.feature_importance(t.spark, model, FEATURE_COLUMNS)
+    everything = tr.feature_importance(t.spark, model, FEATURE_COLUMNS, len(FEATURE_COLUMNS))
+    total = everything.agg(F.count(F.lit(1)).alias("of_all"), F.sum("importance").alias("total"), F.max("importance").alias("most"))
+    return (top.agg(F.count(F.lit(1)).alias("n"), F.max("importance").alias("top")).join(F.broadcast(total))
+            .select("n", "of_all", ((F.abs(F.col("total") - 1) < 1e-6) & (F.col("top") == F.col("most"))).alias("sound")))
 
 
-@query("reloaded_model_scores")
+@query("reloaded_model_scores", SCORED)
 def _(t):
     train, test = halves(t)
-    model, metrics, chosen = tr.train_auto(train, test, tr.TrainConfig(family="rf", n_trials=0, params=SMALL), FEATURE_COLUMNS)
+    model, metrics, chosen = tr.train_auto(train, test, FOREST, FEATURE_COLUMNS)
     path = scratch_path(t.spark, "model")
     registry.save_model(model, path, chosen["cols"], metrics.first()["threshold"])
     loaded, cols, threshold = registry.load_model(t.spark, path)
-    return tr.score(test, loaded, threshold, cols)
+    return checked(tr.score(test, loaded, threshold, cols), threshold)
 
 
-def flow(t) -> fl.FlowResult:
-    cfg = fl.FlowConfig(training=tr.TrainConfig(family="rf", n_trials=0, params=SMALL))
-    return fl.run_flow(t.spark, t.fx_file_metrics, t.fx_files, commits(t), cfg)
+@query("scored_by_best_model", SCORED)
+def _(t):
+    """Two registered models; the one with the higher ROC-AUC scores."""
+    train, test = halves(t)
+    store = scratch_path(t.spark, "store")
+    areas = {}
+    for cfg in (FOREST, tr.TrainConfig(family="logreg", n_trials=0)):
+        model, metrics, chosen = tr.train_auto(train, test, cfg, FEATURE_COLUMNS)
+        metrics = written(metrics, "metrics")
+        row = metrics.first()
+        registry.save_model(model, f"{store}/{row.model_id}", chosen["cols"], row.threshold)
+        registry.register_model(metrics, f"{store}/registry", model_type=cfg.family, model_family="auto", hyperparameters={}, model_path=f"{store}/{row.model_id}")
+        areas[row.model_id] = row.roc_auc
+    scores = tr.score_stored(test, f"{store}/registry")
+    threshold = registry.load_model(t.spark, f"{store}/{max(areas, key=areas.get)}")[2]
+    return checked(scores.where(F.col("model_id") == max(areas, key=areas.get)), threshold)
+
+
+def flow(t, store: str | None = None) -> fl.FlowResult:
+    return fl.run_flow(t.spark, t.fx_file_metrics, t.fx_files, commits(t), fl.FlowConfig(training=FOREST, store=store))
+
+
+# Rows of the balanced dataset, of its test split, and repositories in either.
+FLOW_ROWS = f"""
+{SPLIT}, c AS (SELECT repo_id, split, is_buggy, count(*) AS n FROM s GROUP BY 1, 2, 3),
+b AS (SELECT repo_id, split, CASE WHEN split = 'train' THEN max(n) OVER (PARTITION BY repo_id, split) ELSE n END AS n FROM c),
+f AS (SELECT CAST(sum(n) AS BIGINT) AS everything, CAST(sum(n) FILTER (WHERE split = 'test') AS BIGINT) AS tests, count(DISTINCT repo_id) AS repos,
+             count(DISTINCT CASE WHEN split = 'test' THEN repo_id END) AS test_repos FROM b)"""
+
+
+@query("flow_report", f"""
+WITH {FLOW_ROWS} SELECT 'features' AS step, 'success' AS status, everything AS n FROM f UNION ALL SELECT 'training', 'success', tests FROM f
+UNION ALL SELECT 'prediction', 'success', tests FROM f UNION ALL SELECT 'prioritization', 'success', tests FROM f""")
+def _(t):
+    result = flow(t)
+    metrics = result.metrics.first()
+    rows = {"features": result.dataset.count(), "training": int(metrics.tn + metrics.fp + metrics.fn + metrics.tp),
+            "prediction": result.predictions.count(), "prioritization": result.plan.count()}
+    count = F.element_at(F.create_map(*(F.lit(x) for pair in rows.items() for x in pair)), F.col("step")).cast("bigint")
+    return result.report(t.spark).select("step", "status", count.alias("n"))
 
 
-@query("flow_report")
+@query("flow_persisted_tables", f"""
+WITH {FLOW_ROWS} SELECT 'datasets' AS kept, everything AS n FROM f UNION ALL SELECT 'catalog', repos FROM f UNION ALL SELECT 'registry', 1
+UNION ALL SELECT 'runs', test_repos FROM f UNION ALL SELECT 'planned', tests FROM f UNION ALL SELECT 'scored', tests FROM f""")
 def _(t):
-    return flow(t).report(t.spark)
+    store = scratch_path(t.spark, "store")
+    result = flow(t, store)
+    read = t.spark.read.parquet
+    tables = {
+        "datasets": read(f"{store}/datasets"), "catalog": read(f"{store}/catalog"), "registry": read(f"{store}/registry"),
+        "runs": registry.read_runs(t.spark, f"{store}/runs"),
+        "planned": registry.decode_json(registry.read_pages(t.spark, f"{store}/runs")).select(F.inline("plan")),
+        "scored": tr.score_stored(result.dataset.where("split = 'test'"), f"{store}/registry")}
+    out = None
+    for name, table in tables.items():
+        row = table.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kept"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -116,8 +116,9 @@ def _(t):
 
 # --- selection -----------------------------------------------------------------------------
 
+# Efforts have tenths; both sides add them up exactly.
 SCORED = """
-scored AS (SELECT *, (risk * 1e0 + coalesce(criticite, 1e0) * 0.5e0 + coalesce(coverage_gap, 0e0) * 0.2e0) / sqrt(greatest(effort, 1e0)) AS score
+scored AS (SELECT * REPLACE (CAST(effort AS DECIMAL(28, 6)) AS effort), (risk * 1e0 + coalesce(criticite, 1e0) * 0.5e0 + coalesce(coverage_gap, 0e0) * 0.2e0) / sqrt(greatest(effort, 1e0)) AS score
            FROM fx_test_items)"""
 
 
@@ -127,10 +128,10 @@ def walk_sql(source: str, keys: str, budget: str) -> str:
     cols = ", ".join(f"n.{k}" for k in keys.split(", "))
     return f"""
 nums AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ord DESC, pos) AS rn FROM {source}),
-walk AS (SELECT {keys}, pos, rn, effort <= {budget} AS selected, {budget} - CASE WHEN effort <= {budget} THEN effort ELSE 0 END AS rem
+walk AS (SELECT {keys}, pos, rn, effort <= {budget} AS selected, CAST({budget} - CASE WHEN effort <= {budget} THEN effort ELSE 0 END AS DECIMAL(28, 6)) AS rem
          FROM nums WHERE rn = 1
          UNION ALL
-         SELECT {cols}, n.pos, n.rn, n.effort <= w.rem, w.rem - CASE WHEN n.effort <= w.rem THEN n.effort ELSE 0 END
+         SELECT {cols}, n.pos, n.rn, n.effort <= w.rem, CAST(w.rem - CASE WHEN n.effort <= w.rem THEN n.effort ELSE 0 END AS DECIMAL(28, 6))
          FROM walk w JOIN nums n ON {on} AND n.rn = w.rn + 1)"""
 
 
@@ -150,7 +151,7 @@ def _(t):
 
 
 @query("greedy_selection", f"""
-WITH {SCORED}, todo AS (SELECT repo_id, pos, effort, score AS ord FROM scored), {walk_sql('todo', 'repo_id', '1000e0')}
+WITH {SCORED}, todo AS (SELECT repo_id, pos, effort, score AS ord FROM scored), {walk_sql('todo', 'repo_id', '1000')}
 SELECT repo_id, pos, selected FROM walk""")
 def _(t):
     return sel.greedy_select(scored(t), BUDGET).select("repo_id", "pos", "selected")
@@ -161,11 +162,11 @@ CONSTRAINED = f"""
 facts AS (SELECT repo_id, coalesce(sum(effort) FILTER (WHERE mandatory), 0) AS must, bool_or(mandatory AND excluded) AS clash FROM scored GROUP BY repo_id),
 ruled AS (SELECT s.*, NOT clash AND must <= 1000 AS ok, CASE WHEN NOT clash AND must <= 1000 THEN 1000 - must ELSE 1000 END AS budget
           FROM scored s JOIN facts f ON f.repo_id = s.repo_id),
-todo AS (SELECT repo_id, pos, effort, score AS ord, CAST(budget AS DOUBLE) AS budget FROM ruled WHERE NOT (ok AND (mandatory OR excluded))),
+todo AS (SELECT repo_id, pos, effort, score AS ord, CAST(budget AS DECIMAL(28, 6)) AS budget FROM ruled WHERE NOT (ok AND (mandatory OR excluded))),
 nums AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ord DESC, pos) AS rn FROM todo),
-walk AS (SELECT repo_id, pos, rn, effort <= budget AS selected, budget - CASE WHEN effort <= budget THEN effort ELSE 0 END AS rem FROM nums WHERE rn = 1
+walk AS (SELECT repo_id, pos, rn, effort <= budget AS selected, CAST(budget - CASE WHEN effort <= budget THEN effort ELSE 0 END AS DECIMAL(28, 6)) AS rem FROM nums WHERE rn = 1
          UNION ALL
-         SELECT n.repo_id, n.pos, n.rn, n.effort <= w.rem, w.rem - CASE WHEN n.effort <= w.rem THEN n.effort ELSE 0 END
+         SELECT n.repo_id, n.pos, n.rn, n.effort <= w.rem, CAST(w.rem - CASE WHEN n.effort <= w.rem THEN n.effort ELSE 0 END AS DECIMAL(28, 6))
          FROM walk w JOIN nums n ON n.repo_id = w.repo_id AND n.rn = w.rn + 1),
 plan AS (SELECT r.*, coalesce(w.selected, r.mandatory) AS selected FROM ruled r LEFT JOIN walk w ON w.repo_id = r.repo_id AND w.pos = r.pos)"""
 
@@ -192,9 +193,9 @@ def _(t):
 
 
 @query("plan_summary", f"""
-WITH {CONSTRAINED} SELECT repo_id, CAST(1000 AS DOUBLE) AS budget, coalesce(sum(effort) FILTER (WHERE selected), 0) AS effort_selected,
-  count(*) FILTER (WHERE selected) AS items_selected, count(*) AS items_total, sum(effort) AS effort_total,
-  round(coalesce(sum(effort) FILTER (WHERE selected), 0) / 1000 * 100, 6) AS utilization_pct FROM plan GROUP BY repo_id""")
+WITH {CONSTRAINED} SELECT repo_id, CAST(1000 AS DOUBLE) AS budget, CAST(coalesce(sum(effort) FILTER (WHERE selected), 0) AS DOUBLE) AS effort_selected,
+  count(*) FILTER (WHERE selected) AS items_selected, count(*) AS items_total, CAST(sum(effort) AS DOUBLE) AS effort_total,
+  round(CAST(coalesce(sum(effort) FILTER (WHERE selected), 0) AS DOUBLE) / 1000 * 100, 6) AS utilization_pct FROM plan GROUP BY repo_id""")
 def _(t):
     return sel.plan_summary(plan(t), BUDGET).withColumn("utilization_pct", F.round("utilization_pct", 6))
 
@@ -204,9 +205,9 @@ COMPARED = f"""
 todo AS (SELECT repo_id, 'risk_only' AS heuristic, pos, effort, risk, id, risk AS ord FROM scored UNION ALL
          SELECT repo_id, 'coverage_only', pos, effort, risk, id, coalesce(coverage_gap, 0e0) FROM scored UNION ALL
          SELECT repo_id, 'effort_aware', pos, effort, risk, id, score FROM scored),
-{walk_sql('todo', 'repo_id, heuristic', '1000e0')},
+{walk_sql('todo', 'repo_id, heuristic', '1000')},
 plans AS (SELECT t.*, w.selected FROM todo t JOIN walk w ON w.repo_id = t.repo_id AND w.heuristic = t.heuristic AND w.pos = t.pos),
-cmp AS (SELECT repo_id, heuristic, count(*) FILTER (WHERE selected) AS items_selected, sum(CASE WHEN selected THEN effort ELSE 0 END) AS effort_used,
+cmp AS (SELECT repo_id, heuristic, count(*) FILTER (WHERE selected) AS items_selected, CAST(sum(CASE WHEN selected THEN effort ELSE 0 END) AS DOUBLE) AS effort_used,
                sum(CASE WHEN selected THEN risk ELSE 0 END) AS covered FROM plans GROUP BY 1, 2)"""
 
 

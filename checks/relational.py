@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -11,6 +12,8 @@ from defectscope.operators import changes as ch
 from defectscope.operators import dashboards as db
 from defectscope.operators import metrics as mt
 from defectscope.operators.ranking import top_rows
+from defectscope.session import scratch_path
+from defectscope.sources import registry
 
 CHANGES = """
 bug_commits AS (SELECT *, lower(message) LIKE '%fix%' OR lower(message) LIKE '%bug%' OR lower(message) LIKE '%issue%'
@@ -136,12 +139,12 @@ def _(t):
 
 @query("change_features", f"""
 WITH {CHANGES}, fixes AS (SELECT repo_id, filepath, count(*) AS change_frequency, count(DISTINCT author_name) AS author_count
-                   FROM changes WHERE is_bugfix GROUP BY repo_id, filepath)
+                   FROM changes GROUP BY repo_id, filepath)
 SELECT m.repo_id, m.id, coalesce(s.change_frequency, 0) AS change_frequency, coalesce(s.author_count, 1) AS author_count
 FROM fx_file_metrics m LEFT JOIN fixes s
   ON s.repo_id = m.repo_id AND s.filepath = m.filepath""")
 def _(t):
-    stats = ch.change_stats(changes(t).where("is_bugfix"))
+    stats = ch.change_stats(changes(t))
     return ch.with_change_features(t.fx_file_metrics, stats).select("repo_id", "id", "change_frequency", "author_count")
 
 
@@ -185,10 +188,11 @@ def _(t):
 
 
 @query("latest_commits", """
-SELECT repo_id, id, sha, committed_at FROM fx_commits
-QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC, id) <= 50""")
+WITH dated AS (SELECT repo_id, id, sha, CASE WHEN id % 29 = 0 THEN NULL ELSE committed_at END AS committed_at FROM fx_commits)
+SELECT * FROM dated QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY committed_at DESC NULLS FIRST, id) <= 50""")
 def _(t):
-    return ch.latest_commits(t.fx_commits).select("repo_id", "id", "sha", "committed_at")
+    dated = F.when(F.col("id") % 29 != 0, F.col("committed_at"))  # unparsable dates are null
+    return ch.latest_commits(t.fx_commits.withColumn("committed_at", dated)).select("repo_id", "id", "sha", "committed_at")
 
 
 # --- summaries -----------------------------------------------------------------------------
@@ -374,12 +378,17 @@ def _(t):
 
 
 @query("latest_runs", """
-SELECT repo_id, id, created_at FROM (SELECT o_orderkey AS id, o_custkey % 25 AS repo_id, o_orderdate AS created_at FROM orders) r
-QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC, id DESC) <= 10""")
-def _(t):
-    runs = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("repo_id"),
-                           F.col("o_orderdate").alias("created_at"))
-    return db.latest_runs(runs)
+WITH runs AS (SELECT p_partkey % 25 AS repo_id, p_partkey % 12 AS k, count(*) AS items_total FROM part GROUP BY 1, 2)
+SELECT repo_id, budget, items_total FROM (SELECT *, CAST(k AS DOUBLE) AS budget FROM runs) QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY k DESC) <= 10""")
+def _(t):
+    """Twelve plans recorded one after the other, in pages of three items."""
+    path = scratch_path(t.spark, "runs")
+    for k in range(12):
+        items = t.fx_test_items.where(F.col("pos") % 12 == k)
+        ranked = items.withColumns({"rank": F.row_number().over(Window.partitionBy("repo_id").orderBy("pos")).cast("bigint"), "selected": F.lit(True),
+                                    "priority_score": F.lit(0.0), "selection_reason": F.lit("")})
+        registry.record_run(ranked, path, k, {"risk": 1.0}, plan_rows=3)
+    return db.latest_runs(registry.read_runs(t.spark, path)).select("repo_id", "budget", "items_total")
 
 
 @query("top_risky_files", """

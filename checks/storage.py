@@ -108,10 +108,10 @@ def _purged(t):
 
 
 @query("collection_report", f"""
-SELECT repo_id, count(*) AS commits_collected, count(*) FILTER (WHERE NOT {OLD}) AS commits_stored FROM fx_commits WHERE {OVERLAP} GROUP BY repo_id""")
+SELECT repo_id, count(*) AS commits_collected, count(*) FILTER (WHERE NOT {OLD}) AS commits_stored FROM fx_commits GROUP BY repo_id""")
 def _(t):
     rows = t.fx_commits
-    landed = rows.where(OVERLAP)
+    landed = rows
     new = upserts.new_rows(rows.where(OLD), landed, ["repo_id", "sha"])
     repos = t.fx_repos.withColumn("last_collected_at", F.lit(None).cast("timestamp"))
     return upserts.collection_report(repos, landed, new, F.current_timestamp())[1]
@@ -131,10 +131,11 @@ def _(t):
                          "balancing_strategy", "temporal_split")
 
 
-@query("dataset_round_trip", f"WITH {SPLIT} SELECT repo_id, id, is_buggy, wmc, loc FROM s WHERE split = 'test'")
+@query("dataset_round_trip", f"WITH {SPLIT} SELECT repo_id, id, is_buggy, wmc, loc, split FROM s")
 def _(t):
     saved, _ = _saved_dataset(t)
-    return ds.read_split(t.spark, saved, 1, "test").select(F.col("repo_id").cast("bigint").alias("repo_id"), "id", "is_buggy", "wmc", "loc")
+    train, test = (ds.read_split(t.spark, saved, 1, s) for s in ("train", "test"))
+    return train.unionByName(test).select(F.col("repo_id").cast("bigint").alias("repo_id"), "id", "is_buggy", "wmc", "loc", "split")
 
 
 @query("dataset_csv_round_trip", f"WITH {SPLIT} SELECT id AS file_id, filepath, split, is_buggy, wmc, cbo, CAST(loc AS DOUBLE) AS loc FROM s")
@@ -172,19 +173,19 @@ def _(t):
 
 
 @query("recorded_runs", f"""
-WITH {CONSTRAINED} SELECT repo_id, id, selected, effort, count(*) OVER (PARTITION BY repo_id) AS items_total,
-  coalesce(sum(effort) FILTER (WHERE selected) OVER (PARTITION BY repo_id), 0) AS effort_selected FROM plan""")
+WITH {CONSTRAINED} SELECT repo_id, id, selected, CAST(effort AS DOUBLE) AS effort, count(*) OVER (PARTITION BY repo_id) AS items_total,
+  CAST(coalesce(sum(effort) FILTER (WHERE selected) OVER (PARTITION BY repo_id), 0) AS DOUBLE) AS effort_selected FROM plan""")
 def _(t):
     path = scratch_path(t.spark, "runs")
-    registry.record_run(sel.with_reason(plan(t), BUDGET), path, BUDGET, {"risk": 1.0, "crit": 0.5, "coverage": 0.2})
-    back = registry.decode_json(t.spark.read.parquet(path))
+    runs, pages = registry.record_run(sel.with_reason(plan(t), BUDGET), path, BUDGET, {"risk": 1.0, "crit": 0.5, "coverage": 0.2})
+    back = registry.decode_json(pages).join(runs.select("id", "items_total", "effort_selected"), F.col("run_id") == F.col("id"))
     return back.select("repo_id", "items_total", "effort_selected", F.inline("plan")).select(
         "repo_id", "id", "selected", "effort", "items_total", "effort_selected")
 
 
 @query("exported_plan", f"""
 WITH {CONSTRAINED} SELECT concat('R', CAST(repo_id AS STRING)) AS "Repository", id AS "Test, id", module AS "Module",
-  CASE WHEN selected THEN 'Yes' ELSE 'No' END AS "Selected", CAST(CAST(effort AS BIGINT) AS STRING) AS "Effort" FROM plan""")
+  CASE WHEN selected THEN 'Yes' ELSE 'No' END AS "Selected", regexp_replace(CAST(CAST(effort AS DOUBLE) AS VARCHAR), '\\.0$', '') AS "Effort" FROM plan""")
 def _(t):
     path = scratch_path(t.spark, "export")
     rows = plan(t).withColumn("repo", F.concat(F.lit("R"), F.col("repo_id"))).orderBy("repo_id", "pos")

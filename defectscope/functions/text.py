@@ -107,14 +107,17 @@ def decision_points(content: Column) -> Column:
 
 
 def imported_names(content: Column, language: Column) -> Column:
-    """Modules a file imports: the `from` module, else the imported name(s)."""
+    """Modules a file imports: the `from` module, else each imported name, without its alias."""
     python_from = rf"(?m)^from{S}+({NOT_S}+){S}+import{S}+[^\n]+$"
-    python_plain = rf"(?m)^import{S}+([{WORD}.]+)"
+    # Up to a comment or a second statement of the line.
+    python_plain = rf"(?m)^import{S}+([^\n#;]+)"
     java = rf"(?m)^import{S}+([{WORD}.]+);"
     return (
         F.when(language == "python", F.concat(
             F.regexp_extract_all(content, _pattern(python_from), 1),
-            F.regexp_extract_all(content, _pattern(python_plain), 1),
+            F.array_compact(F.flatten(F.transform(
+                F.regexp_extract_all(content, _pattern(python_plain), 1),
+                lambda names: F.transform(F.split(names, ","), lambda name: F.get(F.regexp_extract_all(name, _pattern(rf"^{S}*([{WORD}.]+)"), 1), 0))))),
         ))
         .when(language == "java", F.regexp_extract_all(content, _pattern(java), 1))
         .otherwise(F.array().cast("array<string>"))

@@ -132,7 +132,8 @@ def only_clean(metrics: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def latest_commits(commits: DataFrame, n: int = 50) -> DataFrame:
-    return top_rows(commits, ["repo_id"], [F.desc("committed_at"), F.asc("id")], n)
+    """Newest first; as in the stored order, commits without a date come before all."""
+    return top_rows(commits, ["repo_id"], [F.desc_nulls_first("committed_at"), F.asc("id")], n)
 
 
 def dependency_degrees(edges: DataFrame) -> DataFrame:

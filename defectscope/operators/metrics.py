@@ -139,7 +139,7 @@ def smells_ordered(smells: DataFrame) -> DataFrame:
 
 
 def metrics_by_complexity(metrics: DataFrame) -> DataFrame:
-    return metrics.orderBy(F.desc("cyclomatic_complexity"), F.asc("id"))
+    return metrics.orderBy(F.desc_nulls_first("cyclomatic_complexity"), F.asc("id"))
 
 
 def chart_projection(metrics: DataFrame) -> DataFrame:
@@ -160,7 +160,3 @@ def metric_violations(metrics: DataFrame) -> DataFrame:
         F.coalesce(cc > 20, F.lit(False)).alias("cc_flag"), F.coalesce(cbo > 10, F.lit(False)).alias("cbo_flag"),
         (F.coalesce(cc > 30, F.lit(False)) | F.coalesce(cbo > 10, F.lit(False))).alias("hotspot"),
         over.alias("violated"))
-
-
-SMELL_TABLE = T.StructType([
-    T.StructField("repo_id", T.LongType()), T.StructField("filepath", T.StringType()), *tx.SMELL.fields])

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,11 @@ GROUP_ROWS_LIMIT = 2_000_000
 # A key table up to this many rows is small enough to broadcast.
 BROADCAST_KEYS_LIMIT = 200_000
 
+# Hot rows are sorted in at most so many pieces; beyond, the pieces grow.
+PIECES_LIMIT = 100_000
+# Window group limits cut map outputs up to this many rows of a group; a larger top is ranked.
+MAP_SIDE_LIMIT = 1000
+
 _PIECE = "__piece"
 
 
@@ -30,6 +37,14 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_KEYS_LIMIT else df
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of the same names, in which null equals null; the left ones stay."""
+    others = [c for c in right.columns if c not in keys]
+    right = right.select(*(F.col(k).alias(f"__right_{k}") for k in keys), *others)
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys))
+    return left.join(right, same, how).drop(*(f"__right_{k}" for k in keys))
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS_LIMIT
 ) -> tuple[DataFrame, DataFrame | None, int]:
@@ -38,12 +53,9 @@ def split_hot(
     groups, rows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0))).first()
     if not groups:
         return df, None, 0
+    # A null key is a group like any other, so keys are compared null-safe.
     hot_keys = small_side(cut_lineage(hot.select(*keys)), groups)
-    return (
-        df.join(hot_keys, list(keys), "left_anti"),
-        df.join(hot_keys, list(keys), "left_semi").select(*df.columns),
-        int(rows),
-    )
+    return joined(df, hot_keys, keys, "left_anti"), joined(df, hot_keys, keys, "left_semi"), int(rows)
 
 
 def ranked(
@@ -65,7 +77,7 @@ def ranked(
     out = _ranked_in_group(ordinary, keys, order, rank, running, totals)
     if hot is None:
         return out
-    pieces = max(2, math.ceil(4 * hot_rows / limit))
+    pieces = min(PIECES_LIMIT, max(2, math.ceil(4 * hot_rows / limit)))
     return out.unionByName(_ranked_in_pieces(hot, keys, order, rank, running, totals, pieces))
 
 
@@ -104,7 +116,7 @@ def _ranked_in_pieces(df, keys, order, rank, running, totals, pieces):
     )
     inside = Window.partitionBy(*keys, _PIECE).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.join(offsets, [*keys, _PIECE])
+    out = joined(ranged, offsets, [*keys, _PIECE])
 
     def stitched(name):
         here, earlier = F.sum(f"__v_{name}").over(so_far), F.col(f"__b_{name}")
@@ -122,10 +134,14 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
              rank: str | None = None) -> DataFrame:
     """First `n` rows of each group.
 
-    `row_number() <= n` becomes a window group limit, which cuts every map task's output to
-    `n` rows per group before the shuffle, so a hot group needs no special care.
+    Up to MAP_SIDE_LIMIT, `row_number() <= n` becomes a window group limit, which cuts every
+    map task's output to `n` rows per group before the shuffle, so a hot group needs no
+    special care. A larger top goes through `ranked`, which splits hot groups.
     """
     name = rank or "__rn"
+    if n > MAP_SIDE_LIMIT:
+        top = ranked(df, keys, order, rank=name).where(F.col(name) <= n)
+        return top if rank else top.drop(name)
     numbered = df.withColumn(
         name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     ).where(F.col(name) <= n)

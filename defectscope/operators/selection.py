@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from defectscope.functions.scoring import (
-    DEFAULT_COVERAGE_GAP, DEFAULT_CRITICITE, priority_score, ratio_or_zero)
-from defectscope.operators.ranking import ranked, split_hot, top_rows
+    DEFAULT_COVERAGE_GAP, DEFAULT_CRITICITE, priority_score)
+from defectscope.operators.ranking import joined, ranked, split_hot, top_rows
 from defectscope.session import cut_lineage
 
 # A group up to this many items is walked item by item inside one task.
 WALK_ITEMS_LIMIT = 100_000
 
+# Efforts and budgets are compared and summed as whole millionths, so that no order of
+# adding or subtracting, and no group size, can change what fits.
+UNITS = 1_000_000
+
 # Reasons of a plan.
 SELECTED, MANDATORY = "Selected by optimization", "Mandatory item"
 EXCLUDED, OVER_BUDGET, LOWER = "Excluded by constraint", "Budget exceeded", "Lower priority"
@@ -29,9 +33,23 @@ def with_priority_score(items: DataFrame, weights: Mapping[str, float] | None =
         F.col("risk"), F.col("effort"), F.col("criticite"), F.col("coverage_gap"), weights))
 
 
-def predictions_to_items(preds: DataFrame, limit: int = FIRST_ITEMS, order: Sequence[str] = ("pos",)) -> DataFrame:
-    """First `limit` predictions of each repository as items; `pos` is their place in `order`."""
-    first = top_rows(preds, ["repo_id"], [F.asc_nulls_last(c) for c in order], limit, rank="__place")
+def units(effort: Column) -> Column:
+    """A number of effort in exact millionths; one too large for 22 digits before the point is an error."""
+    return (effort.cast("decimal(28,6)") * F.lit(UNITS)).cast("decimal(38,0)")
+
+
+def exact_sum(effort: Column) -> Column:
+    """The sum of efforts as a double, the same in any order of the rows."""
+    return (F.sum(units(effort)) / F.lit(UNITS)).cast("double")
+
+
+def predictions_to_items(preds: DataFrame, limit: int | None = FIRST_ITEMS, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """The first `limit` predictions of each repository (None: all) as items; `pos` is their place in `order`."""
+    columns = [F.asc_nulls_last(c) for c in order]
+    if limit is None:
+        first = ranked(preds, ["repo_id"], columns, rank="__place")
+    else:
+        first = top_rows(preds, ["repo_id"], columns, limit, rank="__place")
     first = first.drop("pos").withColumnRenamed("__place", "pos")
     return first.select(
         "repo_id", "pos", "id",
@@ -46,22 +64,22 @@ def greedy_select(
 ) -> DataFrame:
     """Walk items by score (ties by `pos`), take each one that still fits, skip the others.
 
-    Adds `selected`. Whether an item is taken depends on all taken before it, so a running
+    Efforts are exact to the millionth; an item without an effort is never taken. Adds `selected`. Whether an item is taken depends on all taken before it, so a running
     sum is not enough. Groups up to `limit` items are walked in one task each. A larger
     group is narrowed down in rounds first, see `_narrow_hot_groups`.
     """
     keys = list(keys)
     left = budget if isinstance(budget, Column) else F.lit(float(budget))
-    todo = items.withColumn("__left", left.cast("double"))
+    todo = items.withColumns({"__left": units(left), "__units": units(F.col("effort"))})
     ordinary, hot, _ = split_hot(todo, keys, limit)
     walked = _walk(ordinary, score, keys)
     if hot is None:
-        return walked.drop("__left")
+        return walked.drop("__left", "__units")
     taken = _narrow_hot_groups(hot, score, keys, limit)
     marked = (
-        hot.join(taken.select(*keys, "pos", F.lit(True).alias("__taken")), [*keys, "pos"], "left")
+        joined(hot, taken.select(*keys, "pos", F.lit(True).alias("__taken")), [*keys, "pos"], "left")
         .withColumn("selected", F.coalesce("__taken", F.lit(False))).drop("__taken"))
-    return walked.unionByName(marked).drop("__left")
+    return walked.unionByName(marked).drop("__left", "__units")
 
 
 def _walk(todo: DataFrame, score: str, keys: list[str]) -> DataFrame:
@@ -69,10 +87,10 @@ def _walk(todo: DataFrame, score: str, keys: list[str]) -> DataFrame:
 
     def walk(pdf):
         pdf = pdf.sort_values([score, "pos"], ascending=[False, True], kind="stable")
-        left, flags = float(pdf["__left"].iloc[0]), []
-        for effort in pdf["effort"].tolist():
-            fits = effort <= left
-            left -= effort if fits else 0.0
+        left, flags = int(pdf["__left"].iloc[0]), []
+        for effort in pdf["__units"]:
+            fits = effort is not None and effort <= left
+            left -= int(effort) if fits else 0
             flags.append(fits)
         return pdf.assign(selected=flags)
 
@@ -87,8 +105,8 @@ def _narrow_hot_groups(hot: DataFrame, score: str, keys: list[str], limit: int)
     every later item larger than what is left (it can never fit again). A round settles at
     least `limit` items of each group, mostly nearly all, and the sums are exact.
     """
-    columns = [*keys, "pos", score, "effort", "__left"]
-    todo, taken, none_left = hot.select(*columns), [], False
+    columns = [*keys, "pos", score, "__units", "__left"]
+    todo, taken, none_left = hot.where(F.col("__units").isNotNull()).select(*columns), [], False
     while not none_left:
         small, large, _ = split_hot(todo, keys, limit)
         taken.append(_walk(small, score, keys).where("selected").select(*keys, "pos"))
@@ -96,32 +114,30 @@ def _narrow_hot_groups(hot: DataFrame, score: str, keys: list[str], limit: int)
             break
         numbered = cut_lineage(ranked(
             large, keys, [F.desc(score), F.asc("pos")], rank="__rank",
-            running={"__used": F.col("effort")}, limit=limit))
+            running={"__used": F.col("__units")}, limit=limit))
         misfit = F.col("__used") > F.col("__left")
         stops = numbered.groupBy(*keys).agg(F.min(F.when(misfit, F.col("__rank"))).alias("__stop"))
-        placed = numbered.join(stops, keys)
+        placed = joined(numbered, stops, keys)
         before_stop = F.col("__stop").isNull() | (F.col("__rank") < F.col("__stop"))
         prefix = placed.where(before_stop)
         taken.append(prefix.select(*keys, "pos"))
-        used = prefix.groupBy(*keys).agg(F.sum("effort").alias("__spent"))
+        used = prefix.groupBy(*keys).agg(F.sum("__units").alias("__spent"))
         rest = (
-            placed.where(F.col("__rank") > F.col("__stop"))
-            .join(used, keys, "left")
-            .withColumn("__left", F.col("__left") - F.coalesce("__spent", F.lit(0.0))).drop("__spent"))
+            joined(placed.where(F.col("__rank") > F.col("__stop")), used, keys, "left")
+            .withColumn("__left", (F.col("__left") - F.coalesce("__spent", F.lit(0))).cast("decimal(38,0)")).drop("__spent"))
         chunk = _walk(rest.where(F.col("__rank") <= F.col("__stop") + limit).select(*columns), score, keys)
         chunk = cut_lineage(chunk)
         taken.append(chunk.where("selected").select(*keys, "pos"))
         after = chunk.groupBy(*keys).agg(
-            F.sum(F.when(F.col("selected"), F.col("effort")).otherwise(0.0)).alias("__spent"))
+            F.sum(F.when(F.col("selected"), F.col("__units")).otherwise(F.lit(0))).alias("__spent"))
         later = (
-            rest.where(F.col("__rank") > F.col("__stop") + limit)
-            .join(after, keys, "left")
-            .withColumn("__left", F.col("__left") - F.coalesce("__spent", F.lit(0.0))))
+            joined(rest.where(F.col("__rank") > F.col("__stop") + limit), after, keys, "left")
+            .withColumn("__left", (F.col("__left") - F.coalesce("__spent", F.lit(0))).cast("decimal(38,0)")))
         # An item with negative effort could still give budget back to later ones.
-        giveback = later.groupBy(*keys).agg(F.sum(F.least("effort", F.lit(0.0))).alias("__back"))
+        giveback = later.groupBy(*keys).agg(F.sum(F.least("__units", F.lit(0))).alias("__back"))
         todo = cut_lineage(
-            later.join(giveback, keys)
-            .where(F.col("effort") <= F.col("__left") - F.col("__back")).select(*columns))
+            joined(later, giveback, keys)
+            .where(F.col("__units") <= F.col("__left") - F.col("__back")).select(*columns))
         none_left = todo.isEmpty()
     out = taken[0]
     for part in taken[1:]:
@@ -138,14 +154,15 @@ def constrained_select(items: DataFrame, budget: float, score: str = "priority_s
     """
     must, never = F.coalesce("mandatory", F.lit(False)), F.coalesce("excluded", F.lit(False))
     facts = items.groupBy("repo_id").agg(
-        F.coalesce(F.sum(F.when(must, F.col("effort"))), F.lit(0.0)).alias("__must_effort"),
+        F.coalesce(F.sum(F.when(must, units(F.col("effort")))), F.lit(0)).alias("__must_effort"),
         F.max(must & never).alias("__clash"))
-    ruled = items.join(facts, "repo_id").withColumn(
-        "__ok", ~F.col("__clash") & (F.col("__must_effort") <= F.lit(float(budget))))
+    ruled = joined(items, facts, ["repo_id"]).withColumn(
+        "__ok", ~F.col("__clash") & (F.col("__must_effort") <= units(F.lit(float(budget)))))
     fixed = F.col("__ok") & (must | never)
     helpers = ["__must_effort", "__clash", "__ok"]
     given = ruled.where(fixed).withColumn("selected", must).drop(*helpers)
-    left = F.when(F.col("__ok"), F.lit(float(budget)) - F.col("__must_effort")).otherwise(F.lit(float(budget)))
+    left = units(F.lit(float(budget))) - F.when(F.col("__ok"), F.col("__must_effort")).otherwise(F.lit(0))
+    left = left.cast("decimal(38,6)") / F.lit(UNITS)
     free = greedy_select(ruled.where(~fixed).withColumn("__budget", left), F.col("__budget"), score, limit=limit)
     return free.drop("__budget", *helpers).unionByName(given)
 
@@ -156,23 +173,23 @@ def rank_items(items: DataFrame, score: str = "priority_score", **limits) -> Dat
 
 def with_reason(plan: DataFrame, budget: float, score: str = "priority_score", **limits) -> DataFrame:
     """Rank and reason of every item, from the effort selected up to it in rank order."""
-    effort = F.when(F.col("selected"), F.col("effort")).otherwise(F.lit(0.0))
+    effort = F.when(F.col("selected"), units(F.col("effort"))).otherwise(F.lit(0))
     # Measured, then ranked: written once, so the selection is not walked again.
     out = ranked(cut_lineage(plan), ["repo_id"], [F.desc(score), F.asc("pos")], running={"__used": effort}, **limits)
     must, never = F.coalesce("mandatory", F.lit(False)), F.coalesce("excluded", F.lit(False))
     reason = (
         F.when(F.col("selected") & must, MANDATORY).when(F.col("selected"), SELECTED)
         .when(never, EXCLUDED)
-        .when(F.col("__used") + F.col("effort") > F.lit(float(budget)), OVER_BUDGET).otherwise(LOWER))
+        .when(F.col("__used") + units(F.col("effort")) > units(F.lit(float(budget))), OVER_BUDGET).otherwise(LOWER))
     return out.withColumn("selection_reason", reason).drop("__used")
 
 
 def plan_summary(plan: DataFrame, budget: float) -> DataFrame:
-    chosen = F.sum(F.when(F.col("selected"), F.col("effort")).otherwise(F.lit(0.0)))
+    chosen = exact_sum(F.when(F.col("selected"), F.col("effort")).otherwise(F.lit(0.0)))
     return plan.groupBy("repo_id").agg(
         F.lit(float(budget)).alias("budget"), chosen.alias("effort_selected"),
         F.count_if("selected").alias("items_selected"), F.count(F.lit(1)).alias("items_total"),
-        F.sum("effort").alias("effort_total"),
+        exact_sum(F.col("effort")).alias("effort_total"),
         (chosen / F.lit(float(budget)) * 100).alias("utilization_pct"))
 
 
@@ -191,7 +208,7 @@ def heuristic_plans(items: DataFrame, budget: float, weights: Mapping[str, float
 def compare_heuristics(items: DataFrame, budget: float, weights: Mapping[str, float] | None = None,
                        limit: int = WALK_ITEMS_LIMIT) -> DataFrame:
     plans = heuristic_plans(items, budget, weights, limit)
-    used = F.sum(F.when(F.col("selected"), F.col("effort")).otherwise(F.lit(0.0)))
+    used = exact_sum(F.when(F.col("selected"), F.col("effort")).otherwise(F.lit(0.0)))
     risk = F.sum(F.when(F.col("selected"), F.col("risk")).otherwise(F.lit(0.0)))
     return plans.groupBy("repo_id", "heuristic").agg(
         F.count_if("selected").alias("items_selected"), used.alias("effort_used"),
@@ -204,6 +221,3 @@ def flag_best(comparison: DataFrame) -> DataFrame:
     return comparison.join(best, "repo_id").withColumn(
         "is_best", F.col("efficiency") == F.col("__best")).drop("__best")
 
-
-def utilization(selected: Column, budget: Column) -> Column:
-    return ratio_or_zero(selected, budget) * 100

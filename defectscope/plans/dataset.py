@@ -27,10 +27,11 @@ class DatasetConfig:
 def feature_table(metrics: DataFrame, files: DataFrame, commits: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Metric rows with change features, bug history and label.
 
-    The changes are joined and grouped once; the label and the counts come from that one
-    group, the history before each row from a second, narrower one.
+    The changes are joined once and written with the columns that are used; the label and
+    the counts come from one group of them, the history before each row from a second.
     """
-    changes = ch.file_changes(files, commits)
+    used = ["repo_id", "filepath", "author_name", "is_bugfix", "committed_at"]
+    changes = written(ch.file_changes(files, commits).select(*used), "changes")
     history = ch.file_history(changes, as_of)
     before = ch.bug_history_before(metrics, changes)
     joined = ft.fill_metrics(metrics).join(history, ["repo_id", "filepath"], "left").join(before, ["repo_id", "id"], "left")

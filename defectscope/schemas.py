@@ -59,17 +59,3 @@ DATASET_CSV = T.StructType(
 )
 
 CONFUSION = T.StructType([T.StructField(c, T.LongType()) for c in ("tn", "fp", "fn", "tp")])
-
-POLICIES = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("risk_weight", T.DoubleType()),
-    T.StructField("criticite_weight", T.DoubleType()),
-    T.StructField("effort_weight", T.DoubleType()),
-    T.StructField("coverage_weight", T.DoubleType()),
-    T.StructField("recency_weight", T.DoubleType()),
-    T.StructField("default_budget", T.IntegerType()),
-    T.StructField("max_items", T.IntegerType()),
-    T.StructField("is_default", T.BooleanType()),
-    T.StructField("is_active", T.BooleanType()),
-])

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from defectscope.operators.selection import exact_sum
 from defectscope.schemas import CONFUSION
 
 # JSON columns of the stored tables and what they hold.
@@ -43,9 +46,17 @@ def registry_rows(metrics: DataFrame, *, model_type: str, model_family: str, hyp
 
 
 def register_model(metrics: DataFrame, registry_path: str, **facts) -> DataFrame:
+    """Append the models' rows and return them as stored; a model already there is not added again."""
+    spark = metrics.sparkSession
     rows = registry_rows(metrics, **facts)
+    names = metrics.select("model_id").distinct()
+    try:
+        rows = rows.join(spark.read.parquet(registry_path).select("model_id"), "model_id", "left_anti").select(*rows.columns)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
     rows.write.mode("append").parquet(registry_path)
-    return rows
+    return spark.read.parquet(registry_path).join(names, "model_id", "left_semi")
 
 
 def model_confusion(models: DataFrame, model_id: str) -> DataFrame:
@@ -73,27 +84,39 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]
 PLAN_FIELDS = ["rank", "id", "module", "selected", "risk", "effort", "criticite", "priority_score", "selection_reason"]
 
 
-def run_rows(plan: DataFrame, budget: float, weights: dict[str, float], plan_rows: int = 10_000) -> DataFrame:
-    """One row per repository with the totals, and the whole plan as JSON pages.
+def record_run(plan: DataFrame, runs_path: str, budget: float, weights: dict[str, float], plan_rows: int = 10_000,
+               recording: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Record one run of each repository in the plan: (runs, pages) as stored.
 
-    A plan of any length is kept whole: pages of `plan_rows` items, `page` 0 carrying the
-    usual single document. No page, and so no task, grows with the repository.
+    A run is one row with its id and totals; its plan is kept whole in JSON pages of
+    `plan_rows` items under the run's id, so that no document, and no task, grows with
+    the repository. `recording` names the call; given again, it replaces what it left.
     """
+    spark, recording = plan.sparkSession, recording or uuid.uuid4().hex
+    run = F.concat_ws("-", F.lit(recording), F.coalesce(F.col("repo_id").cast("string"), F.lit("null")))
     totals = plan.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("items_total"), F.count_if("selected").alias("items_selected"),
-        F.sum("effort").alias("effort_total"),
-        F.sum(F.when(F.col("selected"), F.col("effort")).otherwise(F.lit(0.0))).alias("effort_selected"))
+        exact_sum(F.col("effort")).alias("effort_total"),
+        exact_sum(F.when(F.col("selected"), F.col("effort")).otherwise(F.lit(0.0))).alias("effort_selected"))
+    runs = totals.select(
+        run.alias("id"), "repo_id", F.lit(float(budget)).alias("budget"), F.lit(json.dumps(weights)).alias("weights"),
+        "items_total", "items_selected", "effort_total", "effort_selected", F.current_timestamp().alias("created_at"))
     pages = (
         plan.withColumn("page", F.floor((F.col("rank") - 1) / plan_rows))
         .groupBy("repo_id", "page")
-        .agg(F.to_json(F.array_sort(F.collect_list(F.struct(*PLAN_FIELDS)))).alias("plan")))
-    return pages.join(totals, "repo_id").select(
-        "repo_id", "page", F.lit(float(budget)).alias("budget"), F.lit(json.dumps(weights)).alias("weights"),
-        "items_total", "items_selected", "effort_total", "effort_selected", "plan",
-        F.current_timestamp().alias("created_at"))
+        .agg(F.to_json(F.array_sort(F.collect_list(F.struct(*PLAN_FIELDS)))).alias("plan"))
+        .select(run.alias("run_id"), "repo_id", "page", "plan"))
+    stored = []
+    for name, frame in (("pages", pages), ("runs", runs)):
+        path = f"{runs_path}/{name}/recording={recording}"
+        frame.write.mode("overwrite").parquet(path)
+        stored.append(spark.read.parquet(path))
+    return stored[1], stored[0]
+
+
+def read_runs(spark: SparkSession, runs_path: str) -> DataFrame:
+    return spark.read.parquet(f"{runs_path}/runs").drop("recording")
 
 
-def record_run(plan: DataFrame, runs_path: str, budget: float, weights: dict[str, float]) -> DataFrame:
-    rows = run_rows(plan, budget, weights)
-    rows.write.mode("append").parquet(runs_path)
-    return rows
+def read_pages(spark: SparkSession, runs_path: str) -> DataFrame:
+    return spark.read.parquet(f"{runs_path}/pages").drop("recording")

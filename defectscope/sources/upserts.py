@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectscope.operators.ranking import BROADCAST_KEYS_LIMIT
+from defectscope.session import cut_lineage
 
 # What a conflict on an existing metric row may change, and the default sha.
 UPDATED_METRICS = ["cyclomatic_complexity", "wmc", "cbo", "code_smells_count"]
@@ -61,32 +62,59 @@ def upsert_file_metrics(existing: DataFrame, incoming: DataFrame, order: str = "
     reduced = batch.groupBy(*METRIC_KEY).agg(
         F.min_by(F.struct(*rest), F.col(order)).alias("__first"),
         F.max_by(F.struct(*UPDATED_METRICS), F.col(order)).alias("__last"))
-    joined = existing.withColumn("__known", F.lit(True)).join(reduced, METRIC_KEY, "full_outer")
+    reduced = cut_lineage(reduced)
+    # A small batch is broadcast: the stored table is neither shuffled nor joined outright.
+    if reduced.limit(BROADCAST_KEYS_LIMIT + 1).count() <= BROADCAST_KEYS_LIMIT:
+        known = existing.join(F.broadcast(reduced), METRIC_KEY, "left")
+        present = existing.select(*METRIC_KEY).join(F.broadcast(reduced.select(*METRIC_KEY)), METRIC_KEY, "left_semi")
+    else:
+        known, present = existing.join(reduced, METRIC_KEY, "left"), existing.select(*METRIC_KEY)
+
+    def updated(column: str) -> Column:
+        if column in UPDATED_METRICS:
+            return F.when(F.col("__last").isNotNull(), F.col(f"__last.{column}")).otherwise(F.col(column)).alias(column)
+        return F.col(column)
 
-    def value(column: str) -> Column:
+    def inserted(column: str) -> Column:
         if column in METRIC_KEY:
             return F.col(column)
         if column in UPDATED_METRICS:
-            return F.when(F.col("__last").isNotNull(), F.col(f"__last.{column}")).otherwise(F.col(column)).alias(column)
-        inserted = F.col(f"__first.{column}") if column in rest else F.lit(None)
-        return F.when(F.col("__known"), F.col(column)).otherwise(inserted).alias(column)
+            return F.col(f"__last.{column}").alias(column)
+        kind = existing.schema[column].dataType
+        return (F.col(f"__first.{column}") if column in rest else F.lit(None)).cast(kind).alias(column)
 
-    return joined.select(*[value(c) for c in existing.columns])
+    new = reduced.join(present, METRIC_KEY, "left_anti")
+    return known.select(*map(updated, existing.columns)).unionByName(new.select(*map(inserted, existing.columns)))
 
 
 def purge_repos(tables: Mapping[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """Tables without the repositories in `gone` (id) and their children; models stay, unlinked."""
+    """Tables without the repositories in `gone` (id) and their children; models stay, unlinked.
+
+    A table without a `repo_id` of its own goes with its dataset; a model forgets a purged
+    dataset even if it belongs to another repository.
+    """
     ids = gone.select(F.col("id").alias("repo_id")).distinct()
+    lost = None
+    if "datasets" in tables:
+        lost = tables["datasets"].join(ids, "repo_id", "left_semi").select(F.col("id").alias("dataset_id")).distinct()
     out = {}
     for name, df in tables.items():
         if name == "repositories":
             out[name] = df.join(ids.withColumnRenamed("repo_id", "id"), "id", "left_anti").select(*df.columns)
         elif name in CASCADED:
-            out[name] = df.join(ids, "repo_id", "left_anti").select(*df.columns)
+            kept = df.join(ids, "repo_id", "left_anti") if "repo_id" in df.columns else df
+            if lost is not None and name != "datasets" and "dataset_id" in df.columns:
+                kept = kept.join(lost, "dataset_id", "left_anti")
+            out[name] = kept.select(*df.columns)
         elif name in FORGETTING:
             marked = df.join(ids.withColumn("__gone", F.lit(True)), "repo_id", "left")
-            unlinked = {c: F.when(F.col("__gone"), F.lit(None)).otherwise(F.col(c))
-                        for c in ("repo_id", "dataset_id") if c in df.columns}
+            gone_dataset = F.col("__gone")  # without a table of datasets, a repository's are taken for its models' own
+            if lost is not None and "dataset_id" in df.columns:
+                marked = marked.join(lost.withColumn("__lost", F.lit(True)), "dataset_id", "left")
+                gone_dataset = F.col("__lost")
+            unlinked = {"repo_id": F.when(F.col("__gone").isNull(), F.col("repo_id"))}
+            if "dataset_id" in df.columns:
+                unlinked["dataset_id"] = F.when(gone_dataset.isNull(), F.col("dataset_id"))
             out[name] = marked.withColumns(unlinked).select(*df.columns)
         else:
             out[name] = df

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +15,27 @@ from defectscope.sources.landing import flatten_commits, normalize_commits
 from defectscope.sources.upserts import new_rows
 
 KEY = ["repo_id", "sha"]
-TABLE = T.StructType([*COMMITS.fields, T.StructField("batch", T.LongType())])
+# Buckets of keys: a batch reads those its own keys fall in.
+BUCKETS = 64
+TABLE = T.StructType([*COMMITS.fields, T.StructField("bucket", T.IntegerType()), T.StructField("stream", T.StringType()),
+                      T.StructField("batch", T.LongType())])
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """A name kept beside the checkpoint: a new checkpoint is a new stream, whose batches start anew."""
+    path = f"{checkpoint.rstrip('/')}/stream-id"
+    try:
+        return spark.read.text(path).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    name = uuid.uuid4().hex
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(path)
+    return name
 
 
 def stream_commits(spark: SparkSession, landing: str, table: str, checkpoint: str,
@@ -21,36 +43,54 @@ def stream_commits(spark: SparkSession, landing: str, table: str, checkpoint: st
     """Read landed JSON as it arrives and insert what the table does not hold yet.
 
     Repeats are found in the batch and in the table, not in streaming state: history may be
-    collected at any age, so a watermark on commit dates would drop rows. A batch owns its
-    `batch` partition and overwrites it; run again after a failure it leaves the same rows.
+    collected at any age, so a watermark on commit dates would drop rows. A batch owns the
+    partitions named by its stream and number and overwrites them; run again after a
+    failure it leaves the same rows. Streams of one table must not run at the same time.
     """
     reader = spark.readStream.schema(COMMIT_JSON)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    name = stream_id(spark, checkpoint)
     commits = normalize_commits(flatten_commits(reader.json(landing)))
     return (
         commits.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: insert_batch(batch, number, table))
+        .foreachBatch(lambda batch, number: insert_batch(batch, number, table, name))
         .start())
 
 
-def insert_batch(batch: DataFrame, number: int, table: str) -> None:
-    """Insert the new keys of one batch into its own partition of the table."""
-    batch = batch.persist()
-    existing = read_table(batch.sparkSession, table, before=number)
-    (new_rows(existing, batch, KEY, F.struct("committed_at", "message", "author_name"))
-     .write.mode("overwrite").parquet(f"{table}/batch={number}"))
+def insert_batch(batch: DataFrame, number: int, table: str, stream: str = "main") -> None:
+    """Insert the new keys of one batch into its own partitions of the table.
+
+    All rows but those an earlier try of this very batch left count as existing.
+    """
+    spark = batch.sparkSession
+    batch = batch.withColumn("bucket", bucket()).persist()
+    touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
+    stored = stored_rows(spark, table).where(F.col("bucket").isin(touched))
+    own = (F.col("stream") == stream) & (F.col("batch") == number)
+    existing = stored.where(~own).drop("stream", "batch")
+    fresh = new_rows(existing, batch, KEY, F.struct("committed_at", "message", "author_name"))
+    (fresh.withColumn("stream", F.lit(stream)).withColumn("batch", F.lit(number).cast("bigint"))
+     .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket", "stream", "batch").parquet(table))
     batch.unpersist()
 
 
-def read_table(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+def stored_rows(spark: SparkSession, table: str) -> DataFrame:
     try:
-        rows = spark.read.schema(TABLE).parquet(table)
+        return spark.read.schema(TABLE).parquet(table)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], TABLE)
-    if before is not None:
-        rows = rows.where(F.col("batch") < before)
-    return rows.drop("batch")
+    return spark.createDataFrame([], TABLE)
+
+
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    return stored_rows(spark, table).drop("bucket", "stream", "batch")
+
+
+def compact(spark: SparkSession, table: str, into: str) -> None:
+    """The table's rows in one set of files a bucket, in a new folder that takes the old one's place."""
+    rows = stored_rows(spark, table).withColumn("stream", F.lit("compacted")).withColumn("batch", F.lit(0).cast("bigint"))
+    rows.repartition("bucket").write.partitionBy("bucket", "stream", "batch").parquet(into)

@@ -75,6 +75,7 @@ def test_python_text(spark):
     assert one(spark, PYTHON, "python", tx.fan_out) == 2
     assert one(spark, PYTHON, "python", lambda c, l: tx.decision_points(c)) == 3
     assert one(spark, PYTHON, "python", tx.imported_names) == ["a", "os"]
+    assert one(spark, "import os, sys as s\nimport a.b  # why\n", "python", tx.imported_names) == ["os", "sys", "a.b"]
     smells = one(spark, PYTHON, "python", tx.smells_of)
     assert [(s.smell_type, s.severity, s.line_start) for s in smells] == [("too_many_parameters", "low", 8)]
     assert smells[0].message == "Function has 6 parameters (threshold: 5)"

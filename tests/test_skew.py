@@ -154,3 +154,33 @@ def test_splits_of_a_hot_repository(spark):
     assert hot == {(r.id, r.split) for r in ft.temporal_split(df).collect()}
     folds = {(r.id, r.fold) for r in ft.with_folds(df, limit=60).collect()}
     assert folds == {(r.id, r.fold) for r in ft.with_folds(df).collect()}
+
+
+def test_fractional_efforts_fit_alike_at_any_limit(spark):
+    rows = [(1, i, f"t{i}", 1.0 - i / 1000, e) for i, e in enumerate([0.1, 0.2, 0.3, 0.1])]
+    rows += [(2, i, f"u{i}", float((i * 7919) % 1000), ((i * 31) % 97 + 1) / 10) for i in range(400)] + [(2, 400, "none", 9999.0, None)]
+    items = spark.createDataFrame(rows, "repo_id int, pos int, id string, score double, effort double")
+
+    def chosen(repo, budget, limit):
+        plan = sel.greedy_select(items.where(F.col("repo_id") == repo), budget, "score", limit=limit)
+        return sorted(r.id for r in plan.where("selected").collect())
+
+    assert chosen(1, 0.6, 100_000) == chosen(1, 0.6, 2) == ["t0", "t1", "t2"]
+    assert chosen(2, 100.1, 100_000) == chosen(2, 100.1, 150) and "none" not in chosen(2, 100.1, 150)
+
+
+def test_a_hot_null_group_is_split(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"), "id")
+    ordinary, hot, rows = split_hot(df, ["k"], 1000)
+    assert rows == 2000 and hot.count() == 2000 and ordinary.count() == 1000
+    out = ranked(df, ["k"], [F.asc("v")], running={"s": F.lit(1)}, totals={"n": F.lit(1)}, limit=100).collect()
+    assert len(out) == 3000 and all(r["rank"] == r.s for r in out)
+    assert sorted(r["rank"] for r in out if r.k is None) == list(range(1, 2001))
+    assert {r.n for r in out if r.k is None} == {2000}
+
+
+def test_a_large_top_is_ranked(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.xxhash64("id").alias("v"))
+    top = top_rows(df, ["k"], [F.asc("v")], 2000, rank="place").collect()
+    want = sorted((r.k, r.v) for r in df.collect())
+    assert sorted((r.k, r.v) for r in top) == sorted(x for k in (0, 1) for x in [w for w in want if w[0] == k][:2000])

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from defectscope.operators import dashboards
 from defectscope.operators import selection as sel
 from defectscope.sources import datasets as ds
 from defectscope.sources import export, landing, registry, upserts
@@ -71,12 +72,13 @@ def test_datasets_on_disk(spark, tmp_path):
     path, catalog = str(tmp_path / "d"), str(tmp_path / "c")
     ds.save_dataset(df, path, catalog, 3, "none", True)
     ds.save_dataset(df.where("repo_id = 2"), path, catalog, 4, "none", False)
+    ds.save_dataset(df, path, catalog, 3, "none", True)  # a retry changes nothing
     assert ds.read_split(spark, path, 3, "test").count() == 2
     assert ds.read_split(spark, path, 3, "train", repo_id=2).count() == 1
     plan = ds.read_split(spark, path, 3, "train", 1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dataset_id" in plan
     listed = ds.list_datasets(spark.read.parquet(catalog)).collect()
-    assert [r.id for r in listed] == [4, 3, 3] and len(listed[0].feature_names) == 20
+    assert [r.id for r in listed] == [3, 3, 4] and len(listed[0].feature_names) == 20
     one = {r.repo_id: (r.train_samples, r.test_samples) for r in ds.get_dataset(spark.read.parquet(catalog), 3).collect()}
     assert one == {1: (8, 2), 2: (1, 0)}
 
@@ -97,17 +99,38 @@ def test_csv_datasets(spark, tmp_path):
     (tmp_path / "train_9.csv").write_text("file_id,filepath,loc,is_buggy\n1,p,10,0\n")
     train, test = ds.load_dataset(spark, str(tmp_path), 9)
     assert test is None and [tuple(r) for r in train.collect()] == [(1, "p", 10.0, 0)]
+    (tmp_path / "train_10.csv").write_text("file_id,filepath,loc,is_buggy\n9007199254740993,p,10,0.0\n4.0,q,1.5,1\n")
+    train, _ = ds.load_dataset(spark, str(tmp_path), 10)
+    assert sorted(map(tuple, train.collect())) == [(4, "q", 1.5, 1), (9007199254740993, "p", 10.0, 0)]
 
 
-def test_runs_keep_the_whole_plan_in_pages(spark):
+def test_purge_goes_through_datasets(spark):
+    tables = {
+        "repositories": spark.createDataFrame([(1,), (2,)], "id bigint"),
+        "datasets": spark.createDataFrame([(10, 1), (20, 2)], "id bigint, repo_id bigint"),
+        "feature_vectors": spark.createDataFrame([(10, "a"), (20, "b")], "dataset_id bigint, filepath string"),
+        "models": spark.createDataFrame([("m", 1, 10), ("n", 2, 10), ("o", 2, 20)], "model_id string, repo_id bigint, dataset_id bigint")}
+    left = upserts.purge_repos(tables, spark.createDataFrame([(1,)], "id bigint"))
+    assert [r.filepath for r in left["feature_vectors"].collect()] == ["b"]
+    assert [r.id for r in left["datasets"].collect()] == [20]
+    assert sorted(map(tuple, left["models"].collect())) == [("m", None, None), ("n", 2, None), ("o", 2, 20)]
+
+
+def test_runs_keep_the_whole_plan_in_pages(spark, tmp_path):
     rows = [(1, i, f"T{i}", "m", 0.5, 10.0, 1.0, 0.0, False, False) for i in range(25)]
     df = sel.with_priority_score(spark.createDataFrame(rows, "repo_id int, pos int, id string, module string, risk double, effort double, criticite double, coverage_gap double, mandatory boolean, excluded boolean"))
     plan = sel.with_reason(sel.greedy_select(df, 100), 100)
-    runs = registry.decode_json(registry.run_rows(plan, 100, {"risk": 1.0}, plan_rows=10)).orderBy("page").collect()
-    assert [len(r.plan) for r in runs] == [10, 10, 5]
-    assert [i["rank"] for r in runs for i in r.plan] == list(range(1, 26))
+    path = str(tmp_path / "runs")
+    for recording in ("one", "two", "one"):  # the third replaces the first
+        registry.record_run(plan, path, 100, {"risk": 1.0}, plan_rows=10, recording=recording)
+    runs = registry.decode_json(registry.read_runs(spark, path)).collect()
+    assert sorted(r.id for r in runs) == ["one-1", "two-1"]
     assert {(r.items_total, r.items_selected, r.effort_total, r.effort_selected) for r in runs} == {(25, 10, 250.0, 100.0)}
     assert runs[0].weights == {"risk": 1.0}
+    pages = registry.decode_json(registry.read_pages(spark, path)).where("run_id = 'one-1'").orderBy("page").collect()
+    assert [len(r.plan) for r in pages] == [10, 10, 5]
+    assert [i["rank"] for r in pages for i in r.plan] == list(range(1, 26))
+    assert [r.id for r in dashboards.latest_runs(registry.read_runs(spark, path), 1).collect()] == ["one-1"]
 
 
 def test_stored_confusion(spark):

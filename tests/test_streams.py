@@ -36,6 +36,27 @@ def test_commits_are_inserted_once(spark, tmp_path):
     assert sc.read_table(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_other_checkpoints_and_sources_keep_stored_commits(spark, tmp_path):
+    table = str(tmp_path / "table")
+
+    def drain(source, progress):
+        sc.stream_commits(spark, str(tmp_path / source), table, str(tmp_path / progress), files_per_batch=1).awaitTermination()
+        return sorted(r.sha for r in sc.read_table(spark, table).collect())
+
+    land(tmp_path / "in", "1.json", ["a", "b"])
+    land(tmp_path / "in", "2.json", ["c", "d"])
+    assert drain("in", "p1") == ["a", "b", "c", "d"]
+    assert drain("in", "p2") == ["a", "b", "c", "d"]  # a new checkpoint over a filled table
+    land(tmp_path / "other", "1.json", ["d", "e"])
+    assert drain("other", "p3") == ["a", "b", "c", "d", "e"]  # a second source
+    batch = sc.read_table(spark, table).where("sha IN ('a', 'e')")
+    for _ in range(2):  # a batch run again
+        sc.insert_batch(batch.withColumn("sha", F.concat("sha", F.lit("x"))), 7, table, "s")
+        assert sorted(r.sha for r in sc.read_table(spark, table).collect()) == ["a", "ax", "b", "c", "d", "e", "ex"]
+    sc.compact(spark, table, str(tmp_path / "new"))
+    assert sorted(r.sha for r in sc.read_table(spark, str(tmp_path / "new")).collect()) == ["a", "ax", "b", "c", "d", "e", "ex"]
+
+
 SCHEMA = "repo_id int, metric_name string, metric_value double, recorded_at timestamp_ntz"
 
 
