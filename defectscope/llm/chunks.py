@@ -100,7 +100,8 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_words, kept_doc_ids): passages that stand in documents with smaller ids, in code points.
 
-    `kept_doc_ids` are those documents. Repeats inside one document are not passages, and rows
+    `kept_doc_ids` are the documents that hold at least `min_words` of the passage; a run of
+    chunks pieced together from smaller parts of several documents is none. Repeats inside one document are not passages, and rows
     of one id count as one document. A document without an id keeps nothing: its passages
     are repeats of any document with one. Null and empty texts have no chunks; other columns
     are ignored; an empty table gives an empty result.
@@ -112,10 +113,15 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: st
     repeats = pieces.join(owners, "digest").where(F.coalesce(F.col("doc_id") != F.col("owner"), F.lit(True)))
     island = F.col("seq") - F.row_number().over(Window.partitionBy("row").orderBy("seq"))
     runs = repeats.select("row", "doc_id", "seq", "start", "length", "words", "owner", island.alias("island"))
-    passages = runs.groupBy("row", "island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"),
-        F.sum("words").alias("n_words"), F.array_sort(F.collect_set("owner")).alias("kept_doc_ids"))
-    return passages.where(F.col("n_words") >= min_words).select("doc_id", "start", "end", "n_words", "kept_doc_ids")
+    parts = runs.groupBy("row", "island", "owner").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("words"))
+    passages = parts.groupBy("row", "island").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
+        F.array_sort(F.collect_list(F.struct("words", "owner"))).alias("owners"))
+    # A single chunk of a passage may stand in some other document by itself: that one does not hold the passage.
+    holding = F.filter("owners", lambda o: o["words"] >= min_words)
+    return passages.where(F.size(holding) > 0).select(
+        "doc_id", "start", "end", "n_words", F.array_sort(F.transform(holding, lambda o: o["owner"])).alias("kept_doc_ids"))
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
