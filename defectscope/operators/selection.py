@@ -68,18 +68,19 @@ def greedy_select(
     sum is not enough. Groups up to `limit` items are walked in one task each. A larger
     group is narrowed down in rounds first, see `_narrow_hot_groups`.
     """
-    keys = list(keys)
     left = budget if isinstance(budget, Column) else F.lit(float(budget))
-    todo = items.withColumns({"__left": units(left), "__units": units(F.col("effort"))})
+    # A name for each group, null keys included, that plain joins can use.
+    todo = items.withColumns({"__left": units(left), "__units": units(F.col("effort")), "__group": F.to_json(F.struct(*keys))})
+    keys, helpers = ["__group"], ["__left", "__units", "__group"]
     ordinary, hot, _ = split_hot(todo, keys, limit)
     walked = _walk(ordinary, score, keys)
     if hot is None:
-        return walked.drop("__left", "__units")
+        return walked.drop(*helpers)
     taken = _narrow_hot_groups(hot, score, keys, limit)
     marked = (
-        joined(hot, taken.select(*keys, "pos", F.lit(True).alias("__taken")), [*keys, "pos"], "left")
+        hot.join(taken.select(*keys, "pos", F.lit(True).alias("__taken")), [*keys, "pos"], "left")
         .withColumn("selected", F.coalesce("__taken", F.lit(False))).drop("__taken"))
-    return walked.unionByName(marked).drop("__left", "__units")
+    return walked.unionByName(marked).drop(*helpers)
 
 
 def _walk(todo: DataFrame, score: str, keys: list[str]) -> DataFrame:
@@ -117,13 +118,14 @@ def _narrow_hot_groups(hot: DataFrame, score: str, keys: list[str], limit: int)
             running={"__used": F.col("__units")}, limit=limit))
         misfit = F.col("__used") > F.col("__left")
         stops = numbered.groupBy(*keys).agg(F.min(F.when(misfit, F.col("__rank"))).alias("__stop"))
-        placed = joined(numbered, stops, keys)
+        placed = numbered.join(stops, keys)
         before_stop = F.col("__stop").isNull() | (F.col("__rank") < F.col("__stop"))
         prefix = placed.where(before_stop)
         taken.append(prefix.select(*keys, "pos"))
         used = prefix.groupBy(*keys).agg(F.sum("__units").alias("__spent"))
         rest = (
-            joined(placed.where(F.col("__rank") > F.col("__stop")), used, keys, "left")
+            placed.where(F.col("__rank") > F.col("__stop"))
+            .join(used, keys, "left")
             .withColumn("__left", (F.col("__left") - F.coalesce("__spent", F.lit(0))).cast("decimal(38,0)")).drop("__spent"))
         chunk = _walk(rest.where(F.col("__rank") <= F.col("__stop") + limit).select(*columns), score, keys)
         chunk = cut_lineage(chunk)
@@ -131,12 +133,13 @@ def _narrow_hot_groups(hot: DataFrame, score: str, keys: list[str], limit: int)
         after = chunk.groupBy(*keys).agg(
             F.sum(F.when(F.col("selected"), F.col("__units")).otherwise(F.lit(0))).alias("__spent"))
         later = (
-            joined(rest.where(F.col("__rank") > F.col("__stop") + limit), after, keys, "left")
+            rest.where(F.col("__rank") > F.col("__stop") + limit)
+            .join(after, keys, "left")
             .withColumn("__left", (F.col("__left") - F.coalesce("__spent", F.lit(0))).cast("decimal(38,0)")))
         # An item with negative effort could still give budget back to later ones.
         giveback = later.groupBy(*keys).agg(F.sum(F.least("__units", F.lit(0))).alias("__back"))
         todo = cut_lineage(
-            joined(later, giveback, keys)
+            later.join(giveback, keys)
             .where(F.col("__units") <= F.col("__left") - F.col("__back")).select(*columns))
         none_left = todo.isEmpty()
     out = taken[0]
