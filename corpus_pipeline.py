@@ -17,8 +17,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash neighbours: the one with the smallest id."""
-    return simhash.one_of_each_group(docs)
+    """One document of each group of near copies (0.8 or more of their five-word shingles shared): the one with the smallest id."""
+    return simhash.one_of_each_group(docs, grouped=simhash.like_groups)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

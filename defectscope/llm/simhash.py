@@ -9,11 +9,16 @@ broadcast: a shuffle brings each shard's fingerprints, of bounded number, to its
 shard that near copies fill beyond the bound is dealt out in cells, each with the tree of
 one piece and the queries of another. A cell returns a spanning forest of its links, not
 all pairs; connected components of the forests are the groups.
+
+Four bits find hardly any pair of likeness 0.8, and a radius that does would make trees
+useless. `like_groups` therefore takes the forests as first candidates only, adds those of
+MinHash bands over the same shingles, and links a pair if the exact likeness of its texts
+is high enough.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,23 +39,42 @@ LEAF = 32
 # Shingles hashed, and pairs of fingerprints held, at once.
 SHINGLES_AT_ONCE = 1 << 16
 PAIRS_AT_ONCE = 1 << 21
-
-
-def fingerprint_of(text: str, words_in_shingle: int) -> int:
-    """The 64-bit fingerprint: a bit is set if it is in over half of the shingles' hashes."""
+# Likeness (Jaccard) in five-word shingles of near copies. A pair of just that much shares one
+# of the bands with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.9999.
+LIKENESS = (4, 5)
+BANDS, BAND_ROWS = 24, 5
+MULTIPLIERS = np.random.default_rng(42).integers(0, 2**63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+HASHES_AT_ONCE = 1 << 12
+# Rounds with one pivot a bucket before all pairs that are still apart are looked at.
+PIVOT_ROUNDS = 3
+
+
+def shingle_hashes(text: str, words_in_shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles, in parts; a text of fewer words is one shingle, one without words has none."""
     # On bytes, lower() changes A-Z alone and split() cuts at space and \x09-\x0D alone.
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     ends = ends[min(words_in_shingle, len(words)) - 1:].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(ends), SHINGLES_AT_ONCE):
         some = zip(starts[at:], ends[at:at + SHINGLES_AT_ONCE])
-        hashes = np.array([digest(joined[a:b], 42) for a, b in some], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(ends), bitorder="little").view("<u8")[0])
+        yield np.array([digest(joined[a:b], 42) for a, b in some], "<u8")
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The 64-bit fingerprint: a bit is set if it is in over half of the hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for some in hashes:
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        n += len(some)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint_of(text: str, words_in_shingle: int) -> int:
+    return majority(shingle_hashes(text, words_in_shingle))
 
 
 def fingerprint(text: Column, words_in_shingle: int = 4) -> Column:
@@ -214,9 +238,106 @@ def near_groups(docs: DataFrame, *, words_in_shingle: int = 4, radius: int = RAD
     return rows.join(named, "bits").select("doc_id", "text_md5", shown(F.col("bits")).alias("fingerprint"), "group", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def bands_of(hashes: list[np.ndarray]) -> list[int]:
+    """Keys of the MinHash bands."""
+    least = np.full(len(MULTIPLIERS), 2**64 - 1, np.uint64)
+    for some in hashes:
+        for at in range(0, len(some), HASHES_AT_ONCE):
+            least = np.minimum(least, (MULTIPLIERS * some[at:at + HASHES_AT_ONCE]).min(1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def sketch(text: Column, words_in_shingle: int) -> Column:
+    """(bits, bands): the fingerprint and the keys of the bands."""
+
+    @F.pandas_udf("bits bigint, bands array<bigint>")
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            hashes = [list(shingle_hashes(t or "", words_in_shingle)) for t in texts]
+            yield pd.DataFrame({"bits": np.array([majority(h) for h in hashes], np.uint64).view(np.int64),
+                                "bands": [np.array(bands_of(h), np.uint64).view(np.int64) for h in hashes]})
+
+    return sketches(text)
+
+
+def alike(a: Column, b: Column, words_in_shingle: int) -> Column:
+    """Whether the sets of shingles of two texts have the likeness; two without words are alike."""
+
+    def distinct(text: str) -> np.ndarray:
+        return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text or "", words_in_shingle)]))
+
+    @F.pandas_udf("boolean")
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            answers, last, of_last = [], None, None
+            for x, y in zip(left, right):
+                if x != last or of_last is None:
+                    last, of_last = x, distinct(x)
+                other = distinct(y)
+                shared = len(np.intersect1d(of_last, other, assume_unique=True))
+                answers.append(LIKENESS[1] * shared >= LIKENESS[0] * (len(of_last) + len(other) - shared))
+            yield pd.Series(answers, dtype=bool)
+
+    return compared(a, b)
+
+
+def like_groups(docs: DataFrame, *, words_in_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_md5, group) of every row: components of the pairs of texts with the exact LIKENESS.
+
+    Candidates are the links of the BK-trees, then pairs that share a band. In every bucket of
+    a band, texts are compared with a pivot, another one each round, unless they are in its
+    group already; pairs of a bucket that are then still apart are all compared. So large
+    groups of near copies take about a comparison a text, and no candidate is left out.
+    """
+    text = F.col(text_col).cast("string")
+    named = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_md5"), text.alias("text"))
+    rows = written(named.select("doc_id", "text_md5", sketch(F.col("text"), words_in_shingle).alias("sketch")).select("doc_id", "text_md5", "sketch.*"), "sketches")
+    nodes = written(rows.groupBy(F.col("text_md5").alias("node")).agg(F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where(F.col("least") < F.col("most")).select("bucket")
+    crowded = written(placed.join(shared, "bucket"), "crowded")
+    firsts = written(nodes.groupBy("bits").agg(F.min("node").alias("node")), "firsts")
+    forest = linked(firsts.select("bits"), firsts.count())
+    a, b = firsts.select(F.col("bits").alias("a"), F.col("node").alias("x")), firsts.select(F.col("bits").alias("b"), F.col("node").alias("y"))
+    pairs = forest.join(a, "a").join(b, "b").select("x", "y").union(
+        nodes.join(firsts.withColumnRenamed("node", "x"), "bits").where(F.col("node") != F.col("x")).select("x", F.col("node").alias("y")))
+    pairs = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    ends = crowded.select("node").union(pairs.select("x")).union(pairs.select("y")).distinct()
+    texts = written(named.join(ends, named["text_md5"] == ends["node"], "left_semi").groupBy("text_md5").agg(F.first("text").alias("text")), "texts")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        left = texts.select(F.col("text_md5").alias("x"), F.col("text").alias("left"))
+        right = texts.select(F.col("text_md5").alias("y"), F.col("text").alias("right"))
+        return written(pairs.join(left, "x").join(right, "y").select("x", "y", alike(F.col("left"), F.col("right"), words_in_shingle).alias("alike")), "compared")
+
+    done = compared(pairs)
+    for turn in range(PIVOT_ROUNDS + 1):
+        labels = written(components(done.where("alike"), "x", "y"), "labels")
+        members = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
+        apart = members.groupBy("bucket").agg(
+            F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most"))
+        apart = apart.where(F.col("least") < F.col("most")).select("bucket", "pivot")
+        if turn < PIVOT_ROUNDS:
+            found = members.join(apart, "bucket").where(F.col("label") != F.col("pivot.label")).select(F.col("node"), F.col("pivot.node").alias("other"))
+        else:
+            open_ = written(members.join(apart.select("bucket"), "bucket"), "open")
+            others = open_.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
+            found = open_.join(others, "bucket").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label"))).select("node", "other")
+        found = found.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+        found = written(found.join(done.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+        if not found.limit(1).count():
+            if turn == PIVOT_ROUNDS or not apart.limit(1).count():
+                break
+            continue
+        done = done.union(compared(found))
+    labels = written(components(done.where("alike"), "x", "y"), "labels")
+    return (rows.select("doc_id", "text_md5").join(labels, F.col("text_md5") == F.col("node"), "left")
+            .select("doc_id", "text_md5", F.coalesce("component", "text_md5").alias("group")))
+
+
+def one_of_each_group(docs: DataFrame, *, grouped=near_groups, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` in its own columns, with the document of the smallest id of each group: without an id last, equal ids by text."""
-    groups = written(near_groups(docs, id_col=id_col, text_col=text_col, **options), "near")
+    groups = written(grouped(docs, id_col=id_col, text_col=text_col, **options), "near")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5")
     stays = groups.groupBy("group").agg(F.min(order).alias("stays")).select("group", "stays.doc_id", "stays.text_md5")
     same = F.col("g.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("g.text_md5") == F.col("s.text_md5"))

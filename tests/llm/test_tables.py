@@ -208,6 +208,28 @@ def test_near_groups_match_all_pairs(spark):
     assert simhash.near_groups(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_of_likeness_are_one_group(spark):
+    """Pairs with single words changed, from just below to far above 0.8, and a chain of them."""
+    own = np.random.default_rng(9)
+    rows, near = [(10_000, None, "en", "s"), (10_001, " ", "en", "s")], []
+    for k in range(60):
+        base = prose(3000 + k, 200 + 5 * k).split()
+        copy = list(base)
+        for at in own.choice(len(base), max(1, int(len(base) * (0.005 + 0.0006 * k))), replace=False):
+            copy[at] = "changed"
+        a, b = ({tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in (base, copy))
+        near.append(5 * len(a & b) >= 4 * len(a | b))
+        rows += [(2 * k, " ".join(base), "en", "s"), (2 * k + 1, " ".join(copy).upper(), "en", "s")]
+    chain = prose(4000, 300).split()
+    for k in range(30):
+        chain = chain[8:] + prose(4100 + k, 8).split()
+        rows.append((5000 + k, " ".join(chain), "en", "s"))
+    assert 20 < sum(near) < 55
+    kept = {r.doc_id for r in simhash.one_of_each_group(documents(spark, rows), grouped=simhash.like_groups).collect()}
+    want = {2 * k for k in range(60)} | {2 * k + 1 for k in range(60) if not near[k]} | {5000, 10_000}
+    assert kept == want
+
+
 def test_fingerprint_by_its_definition():
     import xxhash
 
