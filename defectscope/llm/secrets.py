@@ -3,8 +3,8 @@
 A string that a byte-pair vocabulary of ordinary text cannot compress is random: words
 give three or more characters a token, keys and passwords fewer than two. Runs of key
 characters with a low ratio are therefore secrets too, after known digests (hexadecimal
-runs of a digest's length) and identifiers (UUIDs, numbers and times, plain words,
-names joined from words) are set aside.
+runs of a digest's length) and identifiers (UUIDs, numbers and times, names joined from
+words the vocabulary knows) are set aside.
 """
 
 from __future__ import annotations
@@ -32,10 +32,13 @@ DIGEST = re.compile(r"(?:(?:md5|sha-?\d+)[-:=])?([0-9a-f]+|[0-9A-F]+)", re.I | r
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I | re.A)
 # Digits, separators and the letters of times: numbers, cards, phones, dates.
 NUMBER = re.compile(r"[-+_/=]*\d[\d+/_=TZ-]*")
-# One word, capitalised or not, or several of them joined, with at most short numbers between.
+# By its shape one word, capitalised or not, or several of them joined, with at most short numbers between.
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4}))*[-_/+=]*")
+LETTERS = re.compile(r"[A-Za-z]+")
 # Fewer characters a token than this is random.
 MAX_RATIO = 1.8
+# Names joined from words have so many letters a token, word by word, at least.
+NAME_RATIO = 2.0
 REDACTED = "[secret]"
 
 RESULT = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_token bigint, redacted string"
@@ -60,11 +63,19 @@ class Scanner:
             cls._built[rank_path, pattern] = cls(rank_path, pattern)
         return cls._built[rank_path, pattern]
 
+    def tokens(self, text: str) -> int:
+        return len(self.vocabulary.encode_ordinary(text))
+
+    def is_name(self, run: str, least: int = 2) -> bool:
+        """Words, `least` of them at least, that have the shape and the ratio of names."""
+        words = LETTERS.findall(run)
+        return len(words) >= least and WORDS.fullmatch(run) is not None and sum(map(len, words)) >= NAME_RATIO * sum(map(self.tokens, words))
+
     def is_random(self, run: str, max_ratio: float) -> bool:
         digest = DIGEST.fullmatch(run)
-        if digest and len(digest[1]) in DIGEST_LENGTHS or UUID.fullmatch(run) or NUMBER.fullmatch(run) or WORDS.fullmatch(run):
+        if digest and len(digest[1]) in DIGEST_LENGTHS or UUID.fullmatch(run) or NUMBER.fullmatch(run):
             return False
-        return len(run) < max_ratio * len(self.vocabulary.encode_ordinary(run))
+        return len(run) < max_ratio * self.tokens(run) and not self.is_name(run)
 
     def spans(self, text: str, max_ratio: float) -> list[tuple[int, int, int]]:
         """(start, kind number, end) in code points, sorted."""

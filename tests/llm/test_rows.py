@@ -67,6 +67,20 @@ def test_random_strings_are_found_and_known_ones_left(spark):
     assert [found[len(random_keys) + i].spans for i in range(len(known))] == [""] * len(known)
 
 
+def test_random_strings_of_one_case_are_found():
+    scanner, own = secrets.Scanner.of(RANKS, PATTERN), random.Random(6)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for size in (16, 20, 24, 32, 40):
+            keys = ["".join(own.choice(letters) for _ in range(size)) for _ in range(100)]
+            random_ones = [k for k in keys if size < secrets.MAX_RATIO * scanner.tokens(k)]
+            assert len(random_ones) > 50
+            assert all(scanner.spans(f"x {k} y", secrets.MAX_RATIO) == [(2, 3, 2 + size)] for k in random_ones)
+        groups = ["-".join("".join(own.choice(letters) for _ in range(5)) for _ in range(5)) for _ in range(100)]
+        assert sum(bool(scanner.spans(g, secrets.MAX_RATIO)) for g in groups) > 60
+    for name in ("internationalization", "INTERNATIONALIZATION", "licence-key-holder-name", "MAX_BUFFER_SIZE_LIMIT", "KEBAB-CASE-LONG-NAME-2024"):
+        assert scanner.spans(name, secrets.MAX_RATIO) == []
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = documents(spark, [*odd_rows(), (99, "a token=abcdefgh1 " + "0f" * 20 + " end", "en", "s")])
     out = secrets.redacted(docs, RANKS, PATTERN)
