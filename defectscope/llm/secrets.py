@@ -4,7 +4,7 @@ A string that a byte-pair vocabulary of ordinary text cannot compress is random:
 give three or more characters a token, keys and passwords fewer than two. Runs of key
 characters with a low ratio are therefore secrets too, after known digests (hexadecimal
 runs of a digest's length) and identifiers (UUIDs, numbers and times, names joined from
-words the vocabulary knows) are set aside.
+words the vocabulary knows) are set aside. Paths and addresses are judged part by part.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-# A run of key characters that no word character, address or path continues.
-RUN = re.compile(r"(?<![\w@/:.+=-])[A-Za-z0-9+/_=-]{16,}(?![\w@])")
+# A run of key characters that no word character continues.
+RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{16,}(?!\w)")
+SHORTEST_RUN = 16
+ADDRESS = re.compile(r"\w://\S+")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"(?:(?:md5|sha-?\d+)[-:=])?([0-9a-f]+|[0-9A-F]+)", re.I | re.A)
 UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I | re.A)
@@ -44,6 +46,16 @@ REDACTED = "[secret]"
 RESULT = "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_token bigint, redacted string"
 
 
+def is_encoded_text(run: str) -> bool:
+    """Whether it is base64 of readable text; encoded JSON, as in web tokens, does not count."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    try:
+        decoded = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except ValueError:
+        return False
+    return decoded[:1] != b"{" and all(32 <= c < 127 for c in decoded)
+
+
 class Scanner:
     """Finds the spans of a text with one rank file."""
 
@@ -77,6 +89,22 @@ class Scanner:
             return False
         return len(run) < max_ratio * self.tokens(run) and not self.is_name(run)
 
+    def random_parts(self, text: str, max_ratio: float) -> Iterator[tuple[int, int]]:
+        """Random runs: as a whole, or, of addresses and of paths with names in them, those between slashes."""
+        addresses = [m.span() for m in ADDRESS.finditer(text)] if "://" in text else []
+        for m in RUN.finditer(text):
+            while addresses and addresses[0][1] <= m.start():
+                addresses.pop(0)
+            inside = bool(addresses) and addresses[0][0] < m.start()
+            parts = m[0].split("/")
+            if not inside and not (len(parts) > 1 and any(len(p) > 3 and self.is_name(p, 1) for p in parts)):
+                parts = [m[0]]
+            at = m.start()
+            for part in parts:
+                if len(part) >= SHORTEST_RUN and self.is_random(part, max_ratio) and not (inside and is_encoded_text(part)):
+                    yield at, at + len(part)
+                at += len(part) + 1
+
     def spans(self, text: str, max_ratio: float) -> list[tuple[int, int, int]]:
         """(start, kind number, end) in code points, sorted."""
         found = []
@@ -85,9 +113,10 @@ class Scanner:
         if "AKIA" in text:
             found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        for m in RUN.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, _, b in found) and self.is_random(m[0], max_ratio):
-                found.append((m.start(), 3, m.end()))
+        base = list(found)
+        for start, end in self.random_parts(text, max_ratio):
+            if not any(a < end and start < b for a, _, b in base):
+                found.append((start, 3, end))
         return sorted(found)
 
 

@@ -81,6 +81,20 @@ def test_random_strings_of_one_case_are_found():
         assert scanner.spans(name, secrets.MAX_RATIO) == []
 
 
+def test_random_strings_after_signs_are_found():
+    scanner, own = secrets.Scanner.of(RANKS, PATTERN), random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for _ in range(30):
+        key = "".join(own.choice(letters) for _ in range(32))
+        for form in ("client_key:{}", "auth.{}", "https://host/services/{}", "https://user:{}@host/path", "user:{}@host", "see /srv/services/{}/list", "to@{}", "https://host/?q={}"):
+            text = form.format(key)
+            assert "[secret]" in secrets.redact(text, scanner.spans(text, secrets.MAX_RATIO)) and key not in secrets.redact(text, scanner.spans(text, secrets.MAX_RATIO)), text
+    token = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c"
+    assert secrets.redact(token, scanner.spans(token, secrets.MAX_RATIO)) == "[secret].[secret].[secret]"
+    for clean in ("https://example.com/library/documentation/introduction", "/usr/local/lib/python3/dist-packages", "name.surname.international@example.org"):
+        assert scanner.spans(clean, secrets.MAX_RATIO) == []
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = documents(spark, [*odd_rows(), (99, "a token=abcdefgh1 " + "0f" * 20 + " end", "en", "s")])
     out = secrets.redacted(docs, RANKS, PATTERN)
