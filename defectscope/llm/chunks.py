@@ -1,10 +1,11 @@
-"""Substring deduplication by content-defined chunks.
-
-A gear hash rolls over the code points of a text and cuts a chunk where its low bits are
-zero, so cuts depend on the 32 code points before them alone and fall at the same places
-of a passage wherever it stands. Chunks with the same digest in several documents belong
-to the one with the smallest id; a run of consecutive chunks that belong to other
-documents is a repeated passage.
+"""Substring deduplication by content-defined blocks.
+
+A gear hash rolls over the code points of a text. Of any `min_words` consecutive word starts
+the one with the lowest hash of the code points that follow begins a block of one word more
+than that, so places of blocks depend on the text around them alone, in repeated lines as
+well, and any passage of twice `min_words` words holds a whole block wherever it stands.
+Blocks with the same digest in several documents belong to the one with the smallest id; a
+run of blocks that belong to other documents is a repeated passage.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from defectscope.session import written
 
 # Code points: no cut within SHORTEST of an earlier one, one at LONGEST at the latest; between, one in 2 ** CUT_BITS.
 SHORTEST, LONGEST, CUT_BITS = 16, 128, 5
-# Words of the shortest passage. Of a repeated passage, the chunks at its two ends are not found.
+# Words of the shortest passage; all of twice as many are found, but for words at its two ends.
 MIN_WORDS = 25
 CODE_POINTS_AT_ONCE = 1 << 20
 
@@ -41,7 +42,7 @@ def rolling(points: np.ndarray) -> np.ndarray:
 
 
 def cuts(points: np.ndarray, shortest: int = SHORTEST, longest: int = LONGEST, bits: int = CUT_BITS) -> np.ndarray:
-    """Ends of the chunks of one text."""
+    """Ends of the chunks of one text, by code points; passages do not depend on them."""
     # High bits: they have seen all 32 code points.
     marks = np.flatnonzero(rolling(points) >> np.uint32(32 - bits) == 0) + 1
     # A mark counts if no other is shortly before it: that, too, depends on the neighbourhood alone.
@@ -56,18 +57,34 @@ def cuts(points: np.ndarray, shortest: int = SHORTEST, longest: int = LONGEST, b
     return marks
 
 
-def _chunked(id_type: pa.DataType):
+def blocks(points: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, start, end) of the blocks of one text, of `min_words` + 1 words each."""
+    edges = np.diff(np.r_[True, np.isin(points, SPACES), True].astype(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    size = min_words + 1
+    n = len(starts) - size + 1
+    if n < 1:
+        return (np.empty(0, np.int64),) * 3
+    # Within its own block: that has a sign and a space a word at least.
+    hashes = rolling(points)[starts[:n] + min(31, 2 * size - 2)]
+    window = min(min_words, n)
+    # The last of the lowest in each window.
+    lowest = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1].argmin(1)
+    first = np.unique(np.arange(len(lowest)) + window - 1 - lowest)
+    return first, starts[first], ends[first + min_words]
+
+
+def _chunked(id_type: pa.DataType, min_words: int):
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows, ids, seqs, starts, lengths, words, digests = (list(c) if k in (1, 6) else np.concatenate(c) for k, c in enumerate(zip(*held)))
+            rows, ids, firsts, starts, ends, digests = (list(c) if k in (1, 5) else np.concatenate(c) for k, c in enumerate(zip(*held)))
             return pa.RecordBatch.from_arrays([
-                pa.array(rows), pa.array([i for own in ids for i in own], id_type), pa.array(seqs), pa.array(starts), pa.array(lengths),
-                pa.array(words), pa.array([d for own in digests for d in own], pa.binary())],
-                ["row", "doc_id", "seq", "start", "length", "words", "digest"])
+                pa.array(rows), pa.array([i for own in ids for i in own], id_type), pa.array(firsts), pa.array(starts), pa.array(ends),
+                pa.array([d for own in digests for d in own], pa.binary())], ["row", "doc_id", "word", "start", "end", "digest"])
 
         for batch in batches:
             for number, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -75,10 +92,10 @@ def _chunked(id_type: pa.DataType):
                 if not text:
                     continue
                 points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-                ends = cuts(points)
-                starts = np.r_[0, ends[:-1]]
-                spaces = np.r_[0, np.cumsum(np.isin(points, SPACES))]
-                held.append((np.full(len(ends), row), [number] * len(ends), np.arange(len(ends)), starts, ends - starts, spaces[ends] - spaces[starts],
+                first, starts, ends = blocks(points, min_words)
+                if not len(first):
+                    continue
+                held.append((np.full(len(first), row), [number] * len(first), first, starts, ends,
                              [hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).digest()[:16] for a, b in zip(starts.tolist(), ends.tolist())]))
                 size += len(points)
                 if size > CODE_POINTS_AT_ONCE:
@@ -90,38 +107,36 @@ def _chunked(id_type: pa.DataType):
     return chunk
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, seq, start, length, words, digest): the chunks of every text; `row` tells rows apart."""
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, word, start, end, digest): the blocks of every text; `row` tells rows apart."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "row bigint, doc_id bigint, seq bigint, start bigint, length bigint, words bigint, digest binary"
-    return rows.mapInArrow(_chunked(pa.int64()), schema)
+    return rows.mapInArrow(_chunked(pa.int64(), min_words), "row bigint, doc_id bigint, word bigint, start bigint, end bigint, digest binary")
 
 
 def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_words, kept_doc_ids): passages that stand in documents with smaller ids, in code points.
 
-    `kept_doc_ids` are the documents that hold at least `min_words` of the passage; a run of
-    chunks pieced together from smaller parts of several documents is none. Repeats inside one document are not passages, and rows
-    of one id count as one document. A document without an id keeps nothing: its passages
-    are repeats of any document with one. Null and empty texts have no chunks; other columns
-    are ignored; an empty table gives an empty result.
+    Every passage of twice `min_words` words of equal code points is found; up to `min_words`
+    - 1 of its words at either end may be left out. `kept_doc_ids` are the owners of its
+    blocks, each of which holds more than `min_words` of its words in one piece. Repeats
+    inside one document are not passages, and rows of one id count as one document. A
+    document without an id keeps nothing: its passages are repeats of any document with one.
+    Null and short texts have no blocks; other columns are ignored; an empty table gives an
+    empty result.
     """
-    pieces = written(chunks(docs, id_col, text_col), "chunks")
+    pieces = written(chunks(docs, min_words, id_col, text_col), "chunks")
     # One row a digest and task leaves the first aggregate, however often a passage occurs.
     owners = pieces.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     owners = owners.where((F.col("owner") < F.col("last")) | (F.col("unnamed") & F.col("owner").isNotNull())).select("digest", "owner")
     repeats = pieces.join(owners, "digest").where(F.coalesce(F.col("doc_id") != F.col("owner"), F.lit(True)))
-    island = F.col("seq") - F.row_number().over(Window.partitionBy("row").orderBy("seq"))
-    runs = repeats.select("row", "doc_id", "seq", "start", "length", "words", "owner", island.alias("island"))
-    parts = runs.groupBy("row", "island", "owner").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("words").alias("words"))
-    passages = parts.groupBy("row", "island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"),
-        F.array_sort(F.collect_list(F.struct("words", "owner"))).alias("owners"))
-    # A single chunk of a passage may stand in some other document by itself: that one does not hold the passage.
-    holding = F.filter("owners", lambda o: o["words"] >= min_words)
-    return passages.where(F.size(holding) > 0).select(
-        "doc_id", "start", "end", "n_words", F.array_sort(F.transform(holding, lambda o: o["owner"])).alias("kept_doc_ids"))
+    # Neighbouring blocks of a passage overlap.
+    by_row = Window.partitionBy("row").orderBy("start")
+    fresh = F.coalesce(F.col("start") > F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    runs = repeats.select("row", "doc_id", "word", "start", "end", "owner", fresh.alias("fresh"))
+    runs = runs.withColumn("island", F.sum("fresh").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row", "island").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
+        (F.max("word") - F.min("word") + min_words + 1).alias("n_words"), F.array_sort(F.collect_set("owner")).alias("kept_doc_ids")).drop("row", "island")
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

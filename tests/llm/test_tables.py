@@ -67,6 +67,30 @@ def test_repeated_passages(spark):
     assert chunks.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_of_51_words_and_of_repeated_lines_are_found(spark):
+    """At any offset, also where smaller documents hold parts of the passage."""
+    own = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(240):
+        if k < 150:
+            passage = prose(7000 + k, 51)
+        else:
+            passage = " ".join([prose(7000 + k, (4, 8, 12)[k % 3])] * 30)
+        before, after = own.integers(3, 90, (2, 2))
+        rows.append((1000 + k, f"{prose(8000 + k, before[0])} {passage} {prose(8300 + k, after[0])}", "en", "s"))
+        rows.append((2000 + k, f"{prose(8600 + k, before[1])} {passage} {prose(8900 + k, after[1])}", "en", "s"))
+        if k < 50:
+            words_of = passage.split()
+            rows += [(2 * k, f"{prose(9200 + k, 9)} {' '.join(words_of[:25])} {prose(9300 + k, 9)}", "en", "s"),
+                     (2 * k + 1, f"{prose(9400 + k, 9)} {' '.join(words_of[25:50])} {prose(9500 + k, 9)}", "en", "s")]
+        want[2000 + k] = [1000 + k]
+    texts = {r[0]: r[1] for r in rows}
+    found = chunks.repeated_passages(documents(spark, rows)).collect()
+    assert {r.doc_id: r.kept_doc_ids for r in found} == want
+    for r in found:
+        assert texts[r.doc_id][r.start:r.end] in texts[r.doc_id - 1000] and len(texts[r.doc_id][r.start:r.end].split()) == r.n_words
+
+
 def test_chunks_are_local():
     points = np.frombuffer((prose(1, 3000)).encode("utf-32-le"), "<u4")
     ends = chunks.cuts(points)
