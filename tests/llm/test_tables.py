@@ -91,6 +91,14 @@ def test_passages_of_51_words_and_of_repeated_lines_are_found(spark):
         assert texts[r.doc_id][r.start:r.end] in texts[r.doc_id - 1000] and len(texts[r.doc_id][r.start:r.end].split()) == r.n_words
 
 
+def test_blocks_of_repeated_lines_do_not_depend_on_the_offset():
+    for k in range(200):
+        line = prose(6000 + k, (4, 8, 12)[k % 3])
+        sides = [f"{prose(6300 + k + n, 11 + 7 * n)} {' '.join([line] * 30)} {prose(6600 + k + n, 20)}" for n in (0, 1)]
+        inside = [{t[a:b] for _, a, b in zip(*chunks.blocks(np.frombuffer(t.encode("utf-32-le"), "<u4"), chunks.MIN_WORDS))} for t in sides]
+        assert inside[0] & inside[1]
+
+
 def test_chunks_are_local():
     points = np.frombuffer((prose(1, 3000)).encode("utf-32-le"), "<u4")
     ends = chunks.cuts(points)
