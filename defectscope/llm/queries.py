@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from defectscope.llm import chunks, decontaminate, fixity, languages, packing, phrases, secrets, simhash, token_counts, url_filters
+from defectscope.llm import centroids, chunks, decontaminate, fixity, languages, manifest, packing, phrases, secrets, simhash, token_counts, url_filters
 from defectscope.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from defectscope.llm.tables import read
 from defectscope.session import scratch_path, written
@@ -78,3 +78,14 @@ def op9(spark, sf_dir):
 @query("op10_url_verdicts", url_filters.oracle(URL_RULES))
 def op10(spark, sf_dir):
     return url_filters.judge(read(spark, sf_dir, "pages"), URL_RULES).drop("class_blocked")
+
+
+@query("op11_merkle_manifest", manifest.SQL)
+def op11(spark, sf_dir):
+    """Every proof of the documents' manifest, checked against rows of which some were tampered with."""
+    return manifest.manifest(read(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+@query("op12_centroid_clusters", centroids.SQL)
+def op12(spark, sf_dir):
+    return centroids.clustered(read(spark, sf_dir, "embeddings"))
