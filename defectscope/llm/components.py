@@ -1,4 +1,4 @@
-"""Connected components of an edge table, with DataFrame operations only.
+"""Connected components: of an edge table, with DataFrame operations only, and of the links one task holds.
 
 Large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and
 Beyond") turn any edges into stars around the smallest node. A hub, in however many
@@ -8,6 +8,7 @@ side whose skewed partitions adaptive execution splits.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +36,19 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+
+
+class Forest:
+    """Labels of n items under links given in batches; a label is the smallest item of its group."""
+
+    def __init__(self, n: int):
+        self.labels = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.labels[a], self.labels[b]
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.labels, np.maximum(a, b), np.minimum(a, b))
+            while (self.labels != (up := self.labels[self.labels])).any():
+                self.labels = up

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from defectscope.llm import centroids, chunks, decontaminate, fixity, languages, manifest, packing, phrases, secrets, simhash, token_counts, url_filters
+from defectscope.llm import centroids, chunks, decontaminate, fixity, languages, manifest, minmax, packing, phrases, secrets, simhash, token_counts, url_filters
 from defectscope.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 from defectscope.llm.tables import read
 from defectscope.session import scratch_path, written
@@ -89,3 +89,8 @@ def op11(spark, sf_dir):
 @query("op12_centroid_clusters", centroids.SQL)
 def op12(spark, sf_dir):
     return centroids.clustered(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_minmax_duplicates")
+def op13(spark, sf_dir):
+    return minmax.near_duplicates(read(spark, sf_dir, "documents"))

@@ -12,8 +12,7 @@ all pairs; connected components of the forests are the groups.
 
 Four bits find hardly any pair of likeness 0.8, and a radius that does would make trees
 useless. `like_groups` therefore takes the forests as first candidates only, adds those of
-MinHash bands over the same shingles, and links a pair if the exact likeness of its texts
-is high enough.
+MinHash bands over the same shingles, and links what has the likeness on full sets.
 """
 
 from __future__ import annotations
@@ -27,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectscope.llm.components import components
+from defectscope.llm.alike import alike_components, crowded_buckets
+from defectscope.llm.components import Forest, components
 from defectscope.llm.tables import bounded, unwrapped, wrapped
 from defectscope.session import written
 
@@ -45,8 +45,6 @@ LIKENESS = (4, 5)
 BANDS, BAND_ROWS = 24, 5
 MULTIPLIERS = np.random.default_rng(42).integers(0, 2**63, (BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 HASHES_AT_ONCE = 1 << 12
-# Rounds with one pivot a bucket before all pairs that are still apart are looked at.
-PIVOT_ROUNDS = 3
 
 
 def shingle_hashes(text: str, words_in_shingle: int) -> Iterator[np.ndarray]:
@@ -145,22 +143,6 @@ class BKTree:
                     yield some[q], node[v]
 
 
-class Forest:
-    """Labels of n items under links given in batches; a label is the smallest item of its group."""
-
-    def __init__(self, n: int):
-        self.labels = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.labels[a], self.labels[b]
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.labels, np.maximum(a, b), np.minimum(a, b))
-            while (self.labels != (up := self.labels[self.labels])).any():
-                self.labels = up
-
-
 def cell_forest(radius: int):
     def links(cell: pd.DataFrame) -> pd.DataFrame:
         """Spanning forest of the links between a cell's tree side and its query side."""
@@ -248,91 +230,61 @@ def bands_of(hashes: list[np.ndarray]) -> list[int]:
 
 
 def sketch(text: Column, words_in_shingle: int) -> Column:
-    """(bits, bands): the fingerprint and the keys of the bands."""
+    """(bits, bands, size): the fingerprint, the keys of the bands and the number of distinct shingles."""
 
-    @F.pandas_udf("bits bigint, bands array<bigint>")
+    @F.pandas_udf("bits bigint, bands array<bigint>, size bigint")
     def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             hashes = [list(shingle_hashes(t or "", words_in_shingle)) for t in texts]
             yield pd.DataFrame({"bits": np.array([majority(h) for h in hashes], np.uint64).view(np.int64),
-                                "bands": [np.array(bands_of(h), np.uint64).view(np.int64) for h in hashes]})
+                                "bands": [np.array(bands_of(h), np.uint64).view(np.int64) for h in hashes],
+                                "size": [len(np.unique(np.concatenate([np.empty(0, "<u8"), *h]))) for h in hashes]})
 
     return sketches(text)
 
 
-def alike(a: Column, b: Column, words_in_shingle: int) -> Column:
-    """Whether the sets of shingles of two texts have the likeness; two without words are alike."""
+def elements(text: Column, words_in_shingle: int) -> Column:
+    """The set of a text's shingles, as sorted 64-bit hashes in bytes."""
 
-    def distinct(text: str) -> np.ndarray:
-        return np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(text or "", words_in_shingle)]))
-
-    @F.pandas_udf("boolean")
-    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            answers, last, of_last = [], None, None
-            for x, y in zip(left, right):
-                if x != last or of_last is None:
-                    last, of_last = x, distinct(x)
-                other = distinct(y)
-                shared = len(np.intersect1d(of_last, other, assume_unique=True))
-                answers.append(LIKENESS[1] * shared >= LIKENESS[0] * (len(of_last) + len(other) - shared))
-            yield pd.Series(answers, dtype=bool)
+    @F.pandas_udf("binary")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t or "", words_in_shingle)])).tobytes() for t in texts], dtype=object)
 
-    return compared(a, b)
+    return made(text)
 
 
 def like_groups(docs: DataFrame, *, words_in_shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_md5, group) of every row: components of the pairs of texts with the exact LIKENESS.
 
-    Candidates are the links of the BK-trees, then pairs that share a band. In every bucket of
-    a band, texts are compared with a pivot, another one each round, unless they are in its
-    group already; pairs of a bucket that are then still apart are all compared. So large
-    groups of near copies take about a comparison a text, and no candidate is left out.
+    Candidates are the links of the BK-trees and pairs that share a band; `alike_components`
+    compares as many of them as the components need, on the full sets of shingles. Texts
+    without words are alike, null text is empty, rows of equal or null ids are rows of their
+    own, other columns are ignored, and an empty table gives an empty result.
     """
     text = F.col(text_col).cast("string")
     named = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_md5"), text.alias("text"))
     rows = written(named.select("doc_id", "text_md5", sketch(F.col("text"), words_in_shingle).alias("sketch")).select("doc_id", "text_md5", "sketch.*"), "sketches")
-    nodes = written(rows.groupBy(F.col("text_md5").alias("node")).agg(F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
-    placed = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where(F.col("least") < F.col("most")).select("bucket")
-    crowded = written(placed.join(shared, "bucket"), "crowded")
-    firsts = written(nodes.groupBy("bits").agg(F.min("node").alias("node")), "firsts")
+    nodes = rows.groupBy("text_md5").agg(*(F.first(c).alias(c) for c in ("bits", "bands", "size")))
+    # Numbers, fixed once they are written, are shorter than digests.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    firsts = written(nodes.groupBy("bits").agg(F.min_by(F.struct("node", "size"), "node").alias("first")), "firsts")
     forest = linked(firsts.select("bits"), firsts.count())
-    a, b = firsts.select(F.col("bits").alias("a"), F.col("node").alias("x")), firsts.select(F.col("bits").alias("b"), F.col("node").alias("y"))
-    pairs = forest.join(a, "a").join(b, "b").select("x", "y").union(
-        nodes.join(firsts.withColumnRenamed("node", "x"), "bits").where(F.col("node") != F.col("x")).select("x", F.col("node").alias("y")))
-    pairs = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    ends = crowded.select("node").union(pairs.select("x")).union(pairs.select("y")).distinct()
-    texts = written(named.join(ends, named["text_md5"] == ends["node"], "left_semi").groupBy("text_md5").agg(F.first("text").alias("text")), "texts")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("text_md5").alias("x"), F.col("text").alias("left"))
-        right = texts.select(F.col("text_md5").alias("y"), F.col("text").alias("right"))
-        return written(pairs.join(left, "x").join(right, "y").select("x", "y", alike(F.col("left"), F.col("right"), words_in_shingle).alias("alike")), "compared")
-
-    done = compared(pairs)
-    for turn in range(PIVOT_ROUNDS + 1):
-        labels = written(components(done.where("alike"), "x", "y"), "labels")
-        members = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("label"))
-        apart = members.groupBy("bucket").agg(
-            F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "node")).alias("pivot"), F.min("label").alias("least"), F.max("label").alias("most"))
-        apart = apart.where(F.col("least") < F.col("most")).select("bucket", "pivot")
-        if turn < PIVOT_ROUNDS:
-            found = members.join(apart, "bucket").where(F.col("label") != F.col("pivot.label")).select(F.col("node"), F.col("pivot.node").alias("other"))
-        else:
-            open_ = written(members.join(apart.select("bucket"), "bucket"), "open")
-            others = open_.select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            found = open_.join(others, "bucket").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label"))).select("node", "other")
-        found = found.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
-        found = written(found.join(done.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
-        if not found.limit(1).count():
-            if turn == PIVOT_ROUNDS or not apart.limit(1).count():
-                break
-            continue
-        done = done.union(compared(found))
-    labels = written(components(done.where("alike"), "x", "y"), "labels")
-    return (rows.select("doc_id", "text_md5").join(labels, F.col("text_md5") == F.col("node"), "left")
-            .select("doc_id", "text_md5", F.coalesce("component", "text_md5").alias("group")))
+    a, b = (firsts.select(F.col("bits").alias(n), F.col("first.node").alias(x), F.col("first.size").alias(f"{x}_size")) for n, x in (("a", "x"), ("b", "y")))
+    same = nodes.join(firsts, "bits").where(F.col("node") != F.col("first.node")).select(
+        F.col("first.node").alias("x"), F.col("first.size").alias("x_size"), F.col("node").alias("y"), F.col("size").alias("y_size"))
+    pairs = written(forest.join(a, "a").join(b, "b").select("x", "x_size", "y", "y_size").union(same), "pairs")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        keys = written(nodes.join(wanted, "node").select("text_md5", "node"), "wanted")
+        texts = named.select("text_md5", "text").join(bounded(keys, keys.count()), "text_md5").groupBy("node").agg(F.first("text").alias("text"))
+        return texts.select("node", elements(F.col("text"), words_in_shingle).alias("elements"))
+
+    labels = alike_components(crowded_buckets(nodes), sets_of, LIKENESS, pairs=pairs)
+    grouped = written(labels.join(nodes, "node").select("text_md5", "component"), "labels")
+    own = rows.select("doc_id", "text_md5").join(bounded(grouped, grouped.count()), "text_md5", "left")
+    # A text without links is a group of its own.
+    return own.select("doc_id", "text_md5", F.coalesce(F.hex(F.col("component")), F.concat(F.lit("md5:"), F.hex("text_md5"))).alias("group"))
 
 
 def one_of_each_group(docs: DataFrame, *, grouped=near_groups, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
