@@ -27,35 +27,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from defectscope.llm.tables import running_total
-from defectscope.llm.tokens import encoder
-from defectscope.session import scratch_path, written
+from defectscope.llm.tokens import batches_of, encoder
+from defectscope.session import scratch_path
 
 # Sequences of one mixture window: within so many sequences the target proportions hold.
 WINDOW_SEQUENCES = 32
-# Texts encoded at once by one task.
-TEXTS_AT_ONCE = 256
 
 TOKENS = "part bigint, row bigint, doc_id {id}, queue string, position bigint, doc_tokens bigint, ids binary"
 
 
 def _tokenize(tokenizer_path: str, end_id: int):
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, sent = TaskContext.get().partitionId(), 0, {}
         for whole in batches:
-            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(start, TEXTS_AT_ONCE)
-                ids = [x + end for x in encoder(tokenizer_path).encode([t or "" for t in batch.column("text").to_pylist()])]
-                counts, positions = [len(x) // 4 for x in ids], []
-                for queue, n in zip(batch.column("queue").to_pylist(), counts):
+            for batch in batches_of(whole, "text"):
+                n = batch.num_rows
+                ids, ends = encoder(tokenizer_path).ids(batch.column("text"))
+                ids, counts = np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
+                positions = []
+                for queue, size in zip(batch.column("queue").to_pylist(), counts.tolist()):
                     positions.append(sent.get(queue, 0))
-                    sent[queue] = positions[-1] + n
+                    sent[queue] = positions[-1] + size
+                bounds = (4 * np.r_[0, np.cumsum(counts)]).astype(np.int64)
+                data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int64()), pa.array(range(row, row + len(ids)), pa.int64()), batch.column("doc_id"),
-                     batch.column("queue"), pa.array(positions, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(n, part)), pa.array(np.arange(row, row + n)), batch.column("doc_id"),
+                     batch.column("queue"), pa.array(positions, pa.int64()), pa.array(counts.astype(np.int64)), data.cast(pa.binary())],
                     ["part", "row", "doc_id", "queue", "position", "doc_tokens", "ids"])
-                row += len(ids)
+                row += n
 
     return encode
 
@@ -165,8 +164,3 @@ def pack(docs: DataFrame, tokenizer_path: str, *, sequence_tokens: int = 2048, e
     return tokens.select("part", "row", "doc_id", "doc_tokens", "ids").join(cuts.hint("shuffle_hash"), ["part", "row"]).select(
         "doc_id", "start", "length", F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))").alias("ids"),
         "doc_tokens", "sequence_id", "offset")
-
-
-def written_pieces(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """`pack` as a table in the shared folder."""
-    return written(pack(docs, tokenizer_path, **options), "packed")

@@ -15,12 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectscope.llm.tables import BROADCAST_ROWS, exists
-from defectscope.llm.tokens import drops_white_space, encoder, file_digest
+from defectscope.llm.tokens import batches_of, drops_white_space, encoder, file_digest
 from defectscope.session import written
 
-# Texts encoded at once by one task.
-TEXTS_AT_ONCE = 256
-
 
 def normalised(text: Column, tokenizer_path: str) -> Column:
     """The content a digest stands for: the text itself, with runs of ASCII white space
@@ -33,9 +30,8 @@ def normalised(text: Column, tokenizer_path: str) -> Column:
 def _encode(tokenizer_path: str):
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(start, TEXTS_AT_ONCE)
-                n = encoder(tokenizer_path).count(part.column("text").to_pylist())
+            for part in batches_of(batch, "text"):
+                n = encoder(tokenizer_path).counts(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     return counts

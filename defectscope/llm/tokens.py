@@ -3,8 +3,10 @@
 `WordEncoder` covers files of the `tokenizers` library whose normalizer turns white
 space into separators and whose pre-tokenizer drops it (NFC, white space, lower case;
 split by pattern; byte-level BPE with word ends). There a text's ids are the ids of its
-white-space-separated chunks in order, so each distinct chunk is encoded once and
-remembered. Any other file goes through its library text by text.
+white-space-separated chunks in order, and those of most chunks are a word's and its
+marks'. Texts are cut and numbered in Arrow, distinct words and chunks are encoded once and
+remembered, and ids are gathered by number. Any other file goes through its library text
+by text.
 """
 
 from __future__ import annotations
@@ -12,18 +14,19 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-# Chunks remembered by one Python worker; when more come, the memory starts anew.
-CHUNKS_LIMIT = 500_000
-# Longer chunks are encoded each time instead of being remembered.
-CHUNK_LENGTH = 64
+# Words and chunks remembered by one Python worker; when more come, the memory starts anew.
+MEMORY = 700_000
+# Longer ones are encoded each time instead of being remembered.
+REMEMBERED_LENGTH = 64
 
 # A word of basic and Latin-1 letters and then ASCII punctuation: composed, of one case
 # mapping, and split by the pre-tokenizer exactly between the two groups.
-PLAIN_CHUNK = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
+PLAIN_CHUNK = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 def file_digest(path: str) -> str:
@@ -83,8 +86,14 @@ class LibraryEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         return [np.asarray(ids, "<u4").tobytes() for ids in self.lists(texts)]
 
-    def count(self, texts: list[str]) -> list[int]:
-        return list(map(len, self.lists(texts)))
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where those of each text begin; null is empty."""
+        lists = self.lists([t or "" for t in texts.to_pylist()])
+        ends = np.cumsum([0, *map(len, lists)])
+        return np.concatenate([np.empty(0, "<u4"), *(np.asarray(x, "<u4") for x in lists)]), ends
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        return np.diff(self.ids(texts)[1])
 
 
 class WordEncoder(LibraryEncoder):
@@ -105,50 +114,97 @@ class WordEncoder(LibraryEncoder):
         letters = _byte_letters()
         # Lower-case Latin-1 letters; what they are replaced by holds none of them.
         self.letters = [(chr(c), "".join(letters[b] for b in chr(c).encode())) for c in range(0xDF, 0x100)]
-        self.chunks: dict[str, bytes] = {"": b""}
+        # Ids of plain words and marks, and of other chunks.
+        self.words: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that are one pre-token each, from one pass over all of them."""
-        if not words:
-            return {}
         joined = " ".join(words)
         for letter, shown in self.letters:
             joined = joined.replace(letter, shown)
         ids = np.asarray(self.merges.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
         if len(ends) != len(words):  # a vocabulary without some letter's word end
-            return dict(zip(words, super().encode(words)))
+            return self._chunks(words)
         data = ids.tobytes()
         return dict(zip(words, (data[a:b] for a, b in zip([0, *ends[:-1]], ends))))
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        plain, other = [], []
-        for chunk in new:
-            match = PLAIN_CHUNK.fullmatch(chunk)
-            if match:
-                plain.append((chunk, match[1].lower(), match[2]))
-            else:
-                other.append(chunk)
-        words = self._words(list({w for _, *pair in plain for w in pair if w}))
-        words[""] = b""
-        learned = {chunk: words[word] + words[marks] for chunk, word, marks in plain}
-        learned.update(zip(other, super().encode(other)))
-        return learned
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.chunks)
-        self.chunks.update(self._learn(new))
-        out = [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
-        for chunk in new:
-            if len(chunk) > CHUNK_LENGTH:
-                del self.chunks[chunk]
-        if len(self.chunks) > CHUNKS_LIMIT:
-            self.chunks = {"": b""}
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        return dict(zip(chunks, super().encode(chunks)))
+
+    @staticmethod
+    def _known(names: pa.Array, memory: dict[str, bytes], learn) -> list[bytes]:
+        """The ids of distinct names, remembered if they are short."""
+        names = names.to_pylist()
+        new = [n for n in names if n not in memory]
+        if new:
+            if len(memory) + len(new) > MEMORY:
+                memory.clear()
+                memory[""] = b""
+                new = [n for n in names if n]
+            memory.update(learn(new))
+        out = [memory[n] for n in names]
+        for n in new:
+            if len(n) > REMEMBERED_LENGTH:
+                del memory[n]
         return out
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(ids) // 4 for ids in self.encode(texts)]
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers of the units (a word, its marks) in order, where those of each text begin, and the ids of each number."""
+        # ASCII white space alone: what else the tokenizer drops stays inside a chunk.
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        chunks = split.flatten().dictionary_encode()
+        begins = split.offsets.to_numpy().astype(np.int64)
+        parts = pc.extract_regex(chunks.dictionary, PLAIN_CHUNK)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        words, marks = (pc.struct_field(parts, k).filter(pa.array(plain)).dictionary_encode() for k in ("word", "marks"))
+        lowered = pc.utf8_lower(words.dictionary).dictionary_encode()
+        other = chunks.dictionary.filter(pa.array(~plain))
+        known = self._known(lowered.dictionary, self.words, self._words)
+        known_marks = self._known(marks.dictionary, self.words, self._words)
+        known_other = self._known(other, self.chunks, self._chunks)
+        units = np.empty((len(plain), 2), np.int64)
+        units[plain, 0] = lowered.indices.to_numpy()[words.indices.to_numpy()] if plain.any() else 0
+        units[plain, 1] = marks.indices.to_numpy() + len(known)
+        nothing = len(known) + len(known_marks) + len(known_other)
+        units[~plain, 0] = np.arange(len(known_other)) + len(known) + len(known_marks)
+        units[~plain, 1] = nothing
+        numbers = chunks.indices.to_numpy()
+        return units[numbers].ravel() if len(numbers) else np.empty(0, np.int64), 2 * (begins - begins[0]), [*known, *known_marks, *known_other, b""]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        numbers, begins, known = self._cut(texts)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        data, places = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        lengths = sizes[numbers]
+        ends = np.r_[0, np.cumsum(lengths)]
+        # From the place of each unit's ids onward, as many as it has.
+        at = np.arange(ends[-1]) + np.repeat(places[numbers] - ends[:-1], lengths)
+        return data[at], ends[begins]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        numbers, begins, known = self._cut(texts)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        return np.diff(np.r_[0, np.cumsum(sizes[numbers])][begins])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, ends = self.ids(pa.array(texts, pa.string()))
+        data = ids.tobytes()
+        return [data[4 * a:4 * b] for a, b in zip(ends, ends[1:])]
+
+
+def batches_of(batch: pa.RecordBatch, texts: str, size: int = 1 << 23, rows: int = 4096):
+    """Slices of a batch with a bounded number of bytes in its texts, of one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(lengths.tolist()):
+        if k > start and (held + n > size or k - start >= rows):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if batch.num_rows:
+        yield batch.slice(start)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
