@@ -9,7 +9,9 @@ from checks.registry import query
 from checks.storage import SPLIT
 from defectscope.plans import dataset as dp
 from defectscope.plans import flow as fl
+from defectscope.plans import repo_models as rm
 from defectscope.plans import training as tr
+from defectscope.plans.search import TRIALS
 from defectscope.schemas import FEATURE_COLUMNS
 from defectscope.session import scratch_path, written
 from defectscope.sources import registry
@@ -51,7 +53,6 @@ def _(t):
 MEASURED = f"WITH {SPLIT} SELECT count(*) AS n, CAST(sum(is_buggy) AS BIGINT) AS positives, true AS sound FROM s WHERE split = 'test'"
 SCORED = f"WITH {SPLIT} SELECT repo_id, id AS pos, filepath AS id, true AS sound FROM s WHERE split = 'test'"
 FOREST = tr.TrainConfig(family="rf", n_trials=0)  # the family's own defaults; tuning has a query of its own
-TRIALS = 3
 
 
 def measured(metrics):
@@ -80,7 +81,7 @@ def _(t):
 @query("trained_logistic_regression", MEASURED)
 def _(t):
     train, test = halves(t)
-    _, metrics, _ = tr.train_auto(train, test, tr.TrainConfig(family="logreg", n_trials=TRIALS), FEATURE_COLUMNS)
+    _, metrics, _ = tr.train_auto(train, test, tr.TrainConfig(family="logreg"), FEATURE_COLUMNS)
     return measured(metrics)
 
 
@@ -88,11 +89,64 @@ def _(t):
 def _(t):
     train, _ = halves(t)
     prepared = tr.prepared(train, FEATURE_COLUMNS)
-    _, trials = tr.tune(prepared, FEATURE_COLUMNS, "logreg", n_trials=TRIALS)
+    _, trials = tr.tune(prepared, FEATURE_COLUMNS, "logreg")
     rows = [(i, 0.01 <= x["params"]["C"] <= 10 and 0 < x["score"] <= 1) for i, x in enumerate(trials)]
     return t.spark.createDataFrame(rows, "trial int, sound boolean")
 
 
+# Newton's method on two standardized features, a row of coefficients a repository and round.
+NEWTON = f"""
+WITH RECURSIVE {SPLIT}, h AS (SELECT repo_id, filepath, count(*) AS change_frequency FROM changes GROUP BY 1, 2),
+r AS (SELECT s.repo_id, CAST(s.is_buggy AS DOUBLE) AS y, CAST(coalesce(s.wmc, 0) AS DOUBLE) AS u, CAST(coalesce(h.change_frequency, 0) AS DOUBLE) AS v
+      FROM s LEFT JOIN h ON h.repo_id = s.repo_id AND h.filepath = s.filepath WHERE split = 'train'),
+m AS (SELECT repo_id, avg(u) AS mu, CASE WHEN stddev_pop(u) = 0 THEN 1 ELSE stddev_pop(u) END AS su, avg(v) AS mv, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS sv,
+             count(*) AS n, CAST(sum(y) AS BIGINT) AS positives FROM r GROUP BY repo_id HAVING sum(y) BETWEEN 1 AND count(*) - 1),
+z AS MATERIALIZED (SELECT repo_id, y, (u - mu) / su AS a, (v - mv) / sv AS b FROM r JOIN m USING (repo_id)),
+t(i, repo_id, b0, b1, b2) AS (
+  SELECT 0, repo_id, 0e0, 0e0, 0e0 FROM m
+  UNION ALL
+  SELECT i + 1, repo_id, b0 - (g0 * (d * f - e * e) - g1 * (k * f - e * l) + g2 * (k * e - d * l)) / w,
+         b1 - (-g0 * (k * f - e * l) + g1 * (c * f - l * l) - g2 * (c * e - k * l)) / w,
+         b2 - (g0 * (k * e - d * l) - g1 * (c * e - k * l) + g2 * (c * d - k * k)) / w
+  FROM (SELECT *, c * (d * f - e * e) - k * (k * f - e * l) + l * (k * e - d * l) AS w
+        FROM (SELECT i, repo_id, b0, b1, b2, sum(p - y) AS g0, sum((p - y) * a) + b1 AS g1, sum((p - y) * b) + b2 AS g2,
+                     sum(q) AS c, sum(q * a) AS k, sum(q * b) AS l, sum(q * a * a) + 1 AS d, sum(q * a * b) AS e, sum(q * b * b) + 1 AS f
+              FROM (SELECT t.*, y, a, b, 1 / (1 + exp(-(b0 + b1 * a + b2 * b))) AS p, p * (1 - p) AS q FROM t JOIN z USING (repo_id) WHERE i < 25) x
+              GROUP BY i, repo_id, b0, b1, b2) y) x)"""
+
+
+@query("models_per_repo", f"""{NEWTON}
+SELECT t.repo_id, n, positives, round(b0, 6) + 0e0 AS intercept, round(b1, 6) + 0e0 AS on_wmc, round(b2, 6) + 0e0 AS on_changes,
+       round((SELECT sum(ln(1 + exp(b0 + b1 * a + b2 * b)) - y * (b0 + b1 * a + b2 * b)) FROM z WHERE z.repo_id = t.repo_id) + (b1 * b1 + b2 * b2) / 2, 4) AS loss
+FROM t JOIN m USING (repo_id) WHERE i = 25""")
+def _(t):
+    train, _ = halves(t)
+    models = rm.fit_repo_models(train, ["wmc", "change_frequency"])
+    return models.where((F.col("positives") > 0) & (F.col("positives") < F.col("n"))).select(
+        "repo_id", "n", "positives", (F.round("intercept", 6) + 0.0).alias("intercept"), (F.round(F.col("coefficients")[0], 6) + 0.0).alias("on_wmc"),
+        (F.round(F.col("coefficients")[1], 6) + 0.0).alias("on_changes"), F.round("loss", 4).alias("loss"))
+
+
+@query("tuned_models_per_repo", f"""
+WITH {SPLIT}, r AS (SELECT repo_id, count(*) AS n, CAST(sum(is_buggy) AS BIGINT) AS positives FROM s WHERE split = 'train' GROUP BY repo_id),
+e AS (SELECT repo_id, count(*) AS tested FROM s WHERE split = 'test' GROUP BY repo_id)
+SELECT repo_id, n, positives, round(-(positives * ln(positives / n) + (n - positives) * ln(1 - positives / n)), 4) AS constant_loss,
+       {TRIALS} AS trials, tested, true AS converged, true AS better_than_constant
+FROM r JOIN e USING (repo_id) WHERE positives BETWEEN 1 AND n - 1""")
+def _(t):
+    """Thirty trials over five folds for every repository, all features; a constant model is never better than its log loss."""
+    train, test = halves(t)
+    models, metrics = rm.train_repo_models(train, test, FEATURE_COLUMNS)
+    share = F.col("positives") / F.col("n")
+    constant = -(F.col("positives") * F.log(share) + (F.col("n") - F.col("positives")) * F.log(1 - share))
+    tested = metrics.select(F.expr("cast(substring(model_id, 6) as bigint)").alias("repo_id"), (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).cast("bigint").alias("tested"))
+    sizes = F.col("coefficients")
+    penalty = F.aggregate(sizes, F.lit(0.0), lambda s, w: s + w * w) / (2 * F.col("c"))
+    return models.where((F.col("positives") > 0) & (F.col("positives") < F.col("n"))).join(tested, "repo_id").select(
+        "repo_id", "n", "positives", F.round(constant, 4).alias("constant_loss"), F.size("cv_aucs").alias("trials"), "tested", "converged",
+        ((F.col("loss") - penalty < constant - 1e-6) & (F.aggregate(sizes, F.lit(0.0), lambda s, w: s + F.abs(w)) > 1e-6) & F.col("cv_auc").between(0.0, 1.0)).alias("better_than_constant"))
+
+
 @query("best_of_families", MEASURED)
 def _(t):
     """The forest and, below the target accuracy, its larger refit; tests cover all families together."""
