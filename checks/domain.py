@@ -17,6 +17,13 @@ _PATH = """concat('src/m', CAST(l_partkey % 10 AS STRING), '/C', CAST(l_partkey
               CASE l_linenumber WHEN 1 THEN '.java' WHEN 2 THEN '.py' WHEN 3 THEN '.js' WHEN 4 THEN '.ts'
                                 WHEN 5 THEN '.go' WHEN 6 THEN '.cpp' ELSE '.txt' END)"""
 
+# Where file number `n` of the linked sources lies.
+def _linked_path(n: str) -> str:
+    return f"""CASE WHEN {n} % 5 < 2 THEN concat('src/p', CAST({n} % 7 AS STRING), '/m', CAST({n} AS STRING), '.py')
+              WHEN {n} % 5 = 2 THEN concat('src/p', CAST({n} % 7 AS STRING), '/k', CAST({n} AS STRING), '/u', CAST({n} % 3 AS STRING), '.py')
+              ELSE concat('java/org/q', CAST({n} % 4 AS STRING), '/C', CAST({n} AS STRING), '.java') END"""
+
+
 VIEWS = {
     "fx_repos": """
 SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name,
@@ -100,6 +107,17 @@ SELECT doc_id AS file_id, doc_id % 25 AS repo_id,
                             CASE WHEN doc_id % 7 = 0 THEN concat('{{', repeat(chr(10), 52), '}}', chr(10)) ELSE '' END, text)
          ELSE concat(text, repeat(chr(10), CAST(doc_id % 600 AS INT))) END AS content
 FROM {documents}""",
+    # Files of forty a repository that import one another: by whole name, as members, from their own folder, by a name that several have.
+    "fx_linked_sources": f"""
+SELECT file_id, repo_id, n1, n2, n3, {_linked_path('file_id')} AS filepath,
+       CASE WHEN file_id % 5 < 3
+            THEN concat('import os, p', CAST(n1 % 7 AS STRING), '.m', CAST(n1 AS STRING), ' as x', chr(10),
+                        'from p', CAST(n2 % 7 AS STRING), ' import m', CAST(n2 AS STRING), ', gone', chr(10),
+                        'from .m', CAST(n3 AS STRING), ' import f', chr(10), 'import u', CAST(n1 % 3 AS STRING), chr(10), '# note', chr(10), text)
+            ELSE concat('import org.q', CAST(n1 % 4 AS STRING), '.C', CAST(n1 AS STRING), ';', chr(10), 'import java.util.List;', chr(10),
+                        'public class C', CAST(file_id AS STRING), ' {{{{}}}}', chr(10), text) END AS content
+FROM (SELECT doc_id AS file_id, r AS repo_id, r * 40 + (doc_id * 7 + 3) % 40 AS n1, r * 40 + (doc_id * 11 + 5) % 40 AS n2, r * 40 + (doc_id * 3 + 1) % 40 AS n3, text
+      FROM (SELECT doc_id, text, CAST(floor(doc_id / 40) AS BIGINT) AS r FROM {{documents}}) d) d""",
 }
 
 

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query
+from checks.relational import CHANGES, commits
 from defectscope.functions import text as tx
 from defectscope.operators import changes as ch
 from defectscope.operators import metrics as mt
+from defectscope.operators import modules as md
+from defectscope.plans import dataset as dp
+from defectscope.session import written
+from defectscope.sources import upserts
 
 LANGUAGE = "CASE file_id % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'java' ELSE 'javascript' END"
 
@@ -134,6 +139,73 @@ def _(t):
     return ch.dependency_degrees(mt.import_edges(t.fx_sources))
 
 
+DEGREES = """
+f AS (SELECT file_id, repo_id, filepath, n1, n2, n3, file_id % 5 AS kind FROM fx_linked_sources),
+names AS (SELECT repo_id, file_id % 3 AS u, count(*) AS n, min(file_id) AS only_id FROM f WHERE kind = 2 GROUP BY 1, 2),
+imports AS (
+  SELECT f.repo_id, f.file_id, g.file_id AS target, CASE WHEN g.file_id IS NULL THEN 0 ELSE 1 END AS n FROM f LEFT JOIN f g ON g.file_id = f.n1 AND g.repo_id = f.repo_id AND g.kind < 2 WHERE f.kind < 3
+  UNION ALL SELECT f.repo_id, f.file_id, g.file_id, CASE WHEN g.file_id IS NULL THEN 0 ELSE 1 END FROM f LEFT JOIN f g ON g.file_id = f.n2 AND g.repo_id = f.repo_id AND g.kind < 2 WHERE f.kind < 3
+  UNION ALL SELECT repo_id, file_id, NULL, 0 FROM f WHERE kind < 3 UNION ALL SELECT repo_id, file_id, NULL, 0 FROM f
+  UNION ALL SELECT f.repo_id, f.file_id, g.file_id, CASE WHEN g.file_id IS NULL THEN 0 ELSE 1 END
+    FROM f LEFT JOIN f g ON g.file_id = f.n3 AND g.repo_id = f.repo_id AND g.kind < 2 AND f.kind < 2 AND g.file_id % 7 = f.file_id % 7 WHERE f.kind < 3
+  UNION ALL SELECT f.repo_id, f.file_id, CASE WHEN n = 1 THEN only_id END, coalesce(n, 0) FROM f LEFT JOIN names ON names.repo_id = f.repo_id AND u = n1 % 3 WHERE kind < 3
+  UNION ALL SELECT f.repo_id, f.file_id, g.file_id, CASE WHEN g.file_id IS NULL THEN 0 ELSE 1 END FROM f LEFT JOIN f g ON g.file_id = f.n1 AND g.repo_id = f.repo_id AND g.kind > 2 WHERE f.kind > 2),
+edges AS (SELECT DISTINCT repo_id, file_id, target FROM imports WHERE target <> file_id),
+degrees AS (SELECT f.repo_id, f.file_id, f.filepath, (SELECT count(*) FROM edges e WHERE e.file_id = f.file_id) AS fan_out, (SELECT count(*) FROM edges e WHERE e.target = f.file_id) AS fan_in,
+  (SELECT count(*) FROM imports i WHERE i.file_id = f.file_id AND n = 0) AS unresolved, (SELECT count(*) FROM imports i WHERE i.file_id = f.file_id AND n > 1) AS ambiguous FROM f)"""
+
+
+@query("file_dependency_degrees", f"WITH {DEGREES} SELECT repo_id, filepath, fan_out, fan_in, unresolved, ambiguous FROM degrees")
+def _(t):
+    return md.file_dependency_degrees(t.fx_linked_sources)
+
+
+# Functions of the linked sources as a parser would report them, changes of these files, and metric rows stored earlier.
+LINKED_FUNCTIONS = """
+SELECT repo_id, filepath, concat('f', CAST(j AS STRING)) AS name, CASE j % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'M' ELSE 'F' END AS kind,
+       CAST((file_id * j) % 25 + 1 AS INT) AS complexity, CAST(j AS INT) AS lineno"""
+LINKED_FILES = "SELECT o_orderkey AS commit_id, repo_id, filepath FROM {files} JOIN {orders} ON file_id = o_custkey"
+METRICS = ["wmc", "dit", "noc", "cbo", "rfc", "lcom", "cyclomatic_complexity", "max_cyclomatic_complexity", "avg_cyclomatic_complexity",
+           "fan_in", "fan_out", "loc", "sloc", "num_methods", "num_classes", "code_smells_count"]
+STORED = {c: -1.0 for c in METRICS}
+
+
+@query("analyzed_files", f"""
+WITH linked_files AS ({LINKED_FILES.format(files="fx_linked_sources", orders="orders")}),
+{CHANGES.replace("fx_files", "linked_files")}, {DEGREES},
+functions AS ({LINKED_FUNCTIONS} FROM (SELECT *, unnest(range(1, file_id % 6 + 1)) AS j FROM fx_linked_sources) x),
+rolled AS (SELECT repo_id, filepath, sum(complexity) AS total, max(complexity) AS most, avg(complexity) AS mean, count(*) FILTER (WHERE kind <> 'C') AS methods, count(*) FILTER (WHERE kind = 'C') AS classes
+           FROM functions GROUP BY 1, 2),
+lines AS (SELECT *, string_split(content, chr(10)) AS l FROM fx_linked_sources),
+read AS (SELECT file_id, repo_id, filepath, len(l) AS loc, len(l) - len(list_filter(l, lambda x: regexp_matches(x, '{BLANK}')))
+         - len(list_filter(l, lambda x: regexp_matches(x, CASE WHEN file_id % 5 < 3 THEN '{PYTHON_COMMENT}' ELSE '{JAVA_COMMENT}' END))) AS sloc FROM lines),
+new AS (SELECT r.*, coalesce(total, 0) AS cc, coalesce(most, 0) AS most, coalesce(mean, 0) AS mean, CASE WHEN file_id % 5 < 3 THEN 4 ELSE 2 END AS fan_out, CASE WHEN file_id % 5 < 3 THEN 0 ELSE 2 END AS cbo,
+               coalesce(methods, 0) AS methods, CASE WHEN total IS NULL AND file_id % 5 > 2 THEN 1 ELSE coalesce(classes, 0) END AS classes, CASE WHEN loc > 500 THEN 1 ELSE 0 END AS smells, d.fan_in
+        FROM read r LEFT JOIN rolled USING (repo_id, filepath) JOIN degrees d USING (file_id)),
+old AS (SELECT *, file_id % 2 = 0 AS known FROM new)
+SELECT o.repo_id, o.file_id AS id, CAST(cc AS DOUBLE) AS cyclomatic_complexity, CAST(cc AS DOUBLE) AS wmc, CAST(cbo AS DOUBLE) AS cbo, CAST(smells AS DOUBLE) AS code_smells_count,
+       CASE WHEN known THEN -1e0 ELSE most END AS max_cyclomatic_complexity, round(CASE WHEN known THEN -1e0 ELSE mean END, 6) AS avg_cyclomatic_complexity,
+       CASE WHEN known THEN -1e0 ELSE fan_in END AS fan_in, CASE WHEN known THEN -1e0 ELSE o.fan_out END AS fan_out, CASE WHEN known THEN -1e0 ELSE loc END AS loc, CASE WHEN known THEN -1e0 ELSE sloc END AS sloc,
+       CASE WHEN known THEN -1e0 ELSE methods END AS num_methods, CASE WHEN known THEN -1e0 ELSE classes END AS num_classes,
+       {", ".join(f"CASE WHEN known THEN -1e0 ELSE 0 END AS {c}" for c in ("dit", "noc", "rfc", "lcom"))},
+       coalesce(change_frequency, 0) AS change_frequency, coalesce(author_count, 1) AS author_count, CASE WHEN b.filepath IS NULL THEN 0 ELSE 1 END AS is_buggy,
+       (SELECT count(*) FROM changes c WHERE c.repo_id = o.repo_id AND c.filepath = o.filepath AND c.is_bugfix AND c.committed_at < TIMESTAMP '1996-01-01 00:00:00') AS bug_history
+FROM old o LEFT JOIN stats s ON s.repo_id = o.repo_id AND s.filepath = o.filepath LEFT JOIN buggy b ON b.repo_id = o.repo_id AND b.filepath = o.filepath""")
+def _(t):
+    """Sources to metrics, metrics into the stored table, and the feature table from there."""
+    sources = t.fx_linked_sources.select("repo_id", "file_id", "filepath", "content")
+    functions = t.spark.sql(LINKED_FUNCTIONS + " FROM (SELECT *, explode(sequence(1, cast(file_id % 6 AS INT))) AS j FROM {sources} WHERE file_id % 6 > 0) x", sources=sources)
+    landed = written(mt.analyzed_files(sources, functions, md.file_dependency_degrees(sources)).drop("language", "code_smells"), "analyzed")
+    landed = landed.withColumns({c: F.col(c).cast("double") for c in METRICS}).withColumn("created_at", F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"))
+    landed = landed.withColumnRenamed("file_id", "id").withColumn("commit_sha", F.lit(None).cast("string"))
+    stored = landed.where("id % 2 = 0").withColumns({c: F.lit(x) for c, x in STORED.items()}).withColumn("commit_sha", F.lit(upserts.HEAD))
+    metrics = written(upserts.upsert_file_metrics(stored, landed.withColumn("seq", F.col("id"))), "metrics")
+    files = t.spark.sql(LINKED_FILES, files=sources, orders=t.orders)
+    out = dp.feature_table(metrics, files, commits(t))
+    return out.select("repo_id", "id", *METRICS, "change_frequency", "author_count", "is_buggy", "bug_history").withColumn(
+        "avg_cyclomatic_complexity", F.round("avg_cyclomatic_complexity", 6))
+
+
 FUNCTIONS = """
 functions AS (SELECT l_partkey % 25 AS repo_id, concat('src/C', CAST(l_partkey AS STRING)) AS filepath,
                      concat('f', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS name,

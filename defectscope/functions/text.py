@@ -124,6 +124,34 @@ def imported_names(content: Column, language: Column) -> Column:
     )
 
 
+def import_statements(content: Column, language: Column) -> Column:
+    """(module, member) of each import: one for every name after `from module import`, member null for plain imports."""
+    kind = "array<struct<module: string, member: string>>"
+    none = F.lit(None).cast("string")
+    # A list in brackets may run over several lines.
+    from_pattern = _pattern(rf"(?m)^{INLINE_SPACE}*from{S}+([.{WORD}]+){S}+import{S}*(\([^)]*\)|{S}[^\n;#(]+)")
+    modules, lists = F.regexp_extract_all(content, from_pattern, F.lit(1)), F.regexp_extract_all(content, from_pattern, F.lit(2))
+    pairs = F.arrays_zip(modules.alias("module"), lists.alias("members"))
+
+    def members(pair: Column) -> Column:
+        bare = F.regexp_replace(pair["members"], r"#[^\n]*", "")
+        names = F.filter(F.regexp_extract_all(bare, F.lit(rf"(?:^|[,(])[{SPACE}(]*([{WORD}]+|\*)"), F.lit(1)), lambda n: n != "")
+        return F.transform(names, lambda n: F.struct(pair["module"].alias("module"), F.when(n != "*", n).alias("member")))
+
+    plain_pattern = _pattern(rf"(?m)^{INLINE_SPACE}*import{S}+([^\n#;]+)")
+    plain = F.flatten(F.transform(F.regexp_extract_all(content, plain_pattern, F.lit(1)), lambda line: F.regexp_extract_all(line, F.lit(rf"(?:^|,){S}*([{WORD}.]+)"), F.lit(1))))
+    java = F.regexp_extract_all(content, _pattern(rf"(?m)^{INLINE_SPACE}*import{S}+(?:static{S}+)?([{WORD}.]+[{WORD}]){S}*;"), F.lit(1))
+
+    def whole(names: Column) -> Column:
+        return F.transform(names, lambda n: F.struct(n.alias("module"), none.alias("member")))
+
+    return (
+        F.when(language == "python", F.concat(F.flatten(F.transform(pairs, members)).cast(kind), whole(plain).cast(kind)))
+        .when(language == "java", whole(java).cast(kind))
+        .otherwise(F.array().cast(kind))
+    )
+
+
 def _smell(kind: str, severity: Column | str, line: Column | int | None, message: Column) -> Column:
     as_column = severity if isinstance(severity, Column) else F.lit(severity)
     start = line if isinstance(line, Column) else F.lit(line)

@@ -83,6 +83,27 @@ def with_complexity(files: DataFrame, functions: DataFrame) -> DataFrame:
     return files.drop(*added).join(rolled, ["repo_id", "filepath"], "left").fillna(0, subset=added)
 
 
+def analyzed_files(sources: DataFrame, functions: DataFrame, degrees: DataFrame) -> DataFrame:
+    """Every metric column of each file, ready to be upserted: text counts, the roll-up of its functions, and `fan_in`.
+
+    `degrees` are the files' in- and out-degrees (`file_dependency_degrees`). Declarations
+    are counted from the functions where there are any, else from the text. Inheritance,
+    response and cohesion have no text measure and are 0, as in the stored form.
+    """
+    counted = file_metrics(sources).withColumnsRenamed({"num_methods": "text_methods", "num_classes": "text_classes"})
+    rolled = with_complexity(counted, functions)
+    parsed = (F.col("num_methods") > 0) | (F.col("num_classes") > 0)
+    joined = rolled.join(degrees.select("repo_id", "filepath", "fan_in"), ["repo_id", "filepath"], "left")
+    whole = {c: F.col(c).cast("int") for c in ("fan_out", "loc", "sloc", "code_smells_count")}
+    return joined.select(
+        "repo_id", "file_id", "filepath", "language", "code_smells",
+        *(F.col(c).cast("double").alias(c) for c in ("cyclomatic_complexity", "max_cyclomatic_complexity", "avg_cyclomatic_complexity", "wmc", "cbo")),
+        *(F.lit(0.0).alias(c) for c in ("dit", "noc", "rfc", "lcom")), F.coalesce("fan_in", F.lit(0)).cast("int").alias("fan_in"),
+        F.when(parsed, F.col("num_methods")).otherwise(F.col("text_methods")).cast("int").alias("num_methods"),
+        F.when(parsed, F.col("num_classes")).otherwise(F.col("text_classes")).cast("int").alias("num_classes"),
+        *(v.alias(k) for k, v in whole.items()))
+
+
 def smells_from_functions(functions: DataFrame) -> DataFrame:
     cc, name = F.col("complexity"), F.col("name")
     found = F.array_compact(F.array(
