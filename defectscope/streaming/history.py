@@ -24,18 +24,36 @@ def metric_windows(history: DataFrame, size: str = "1 day", slide: str | None =
 
     `history` has repo_id, metric_name, metric_value and recorded_at. With `delay` a stream
     drops later rows and closes windows. Partial aggregation runs before the shuffle.
+
+    Sliding windows whose size is a multiple of the slide are put together from panes of one
+    slide: a row is aggregated once, into its pane, and only panes are copied to the windows
+    they are part of. In a stream the panes' states feed those of the windows, and a row that
+    comes after its pane has closed is late.
     """
     at = history.withColumn("at", as_instant("recorded_at"))
     if delay:
         at = at.withWatermark("at", delay)
-    span = F.window("at", size, slide) if slide else F.window("at", size)
-    grouped = at.groupBy("repo_id", "metric_name", span).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("metric_value").alias("avg_value"),
-        F.min("metric_value").alias("min_value"), F.max("metric_value").alias("max_value"),
-        F.max(F.struct("at", "metric_value"))["metric_value"].alias("last_value"))
+    keys = ["repo_id", "metric_name"]
+    paned = slide and _micros(history, size) % _micros(history, slide) == 0
+    first = F.window("at", slide if paned else size) if paned or not slide else F.window("at", size, slide)
+    grouped = at.groupBy(*keys, first.alias("window")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("metric_value").alias("valued"), F.sum("metric_value").alias("total"),
+        F.min("metric_value").alias("least"), F.max("metric_value").alias("most"), F.max(F.struct("at", "metric_value")).alias("last"))
+    if paned:
+        # A pane lies whole inside every window that its last instant is in.
+        grouped = grouped.groupBy(*keys, F.window(F.window_time("window"), size, slide).alias("window")).agg(
+            F.sum("n").alias("n"), F.sum("valued").alias("valued"), F.sum("total").alias("total"),
+            F.min("least").alias("least"), F.max("most").alias("most"), F.max("last").alias("last"))
     return grouped.select(
-        "repo_id", "metric_name", as_local("window.start").alias("window_start"),
-        as_local("window.end").alias("window_end"), "n", "avg_value", "min_value", "max_value", "last_value")
+        *keys, as_local("window.start").alias("window_start"), as_local("window.end").alias("window_end"), "n",
+        F.try_divide("total", "valued").alias("avg_value"), F.col("least").alias("min_value"), F.col("most").alias("max_value"),
+        F.col("last.metric_value").alias("last_value"))
+
+
+def _micros(df: DataFrame, length: str) -> int:
+    """An interval's length in microseconds; one of months has none and is an error, as in windows."""
+    text = F.expr(f"unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {length})")
+    return df.sparkSession.range(1).select(text).first()[0]
 
 
 def stream_metric_windows(history: DataFrame, target: str, checkpoint: str, size: str = "1 day",

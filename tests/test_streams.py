@@ -87,3 +87,52 @@ def test_windows_do_not_depend_on_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert tuple(row) == ("2024-03-10 00:00:00", "2024-03-11 00:00:00")
+
+
+def sliding(history, size="30 days", slide="1 day"):
+    out = {}
+    for r in history:
+        day = datetime(r[3].year, r[3].month, r[3].day)
+        for k in range(30):
+            out.setdefault((r[0], r[1], day - timedelta(days=k)), []).append(r)
+    return {k: (len(v), sum(r[2] for r in v) / len(v), min(r[2] for r in v), max(r[2] for r in v), max(v, key=lambda r: (r[3], r[2]))[2]) for k, v in out.items()}
+
+
+def history_rows(days=70):
+    start = datetime(2024, 1, 1)
+    return [(k % 3, f"m{k % 2}", float(k * 37 % 101), start + timedelta(hours=k * 7 % (24 * days), minutes=k % 60)) for k in range(900)]
+
+
+def test_sliding_windows_of_panes_match_rows(spark):
+    rows = history_rows()
+    found = sh.metric_windows(spark.createDataFrame(rows, SCHEMA), "30 days", "1 day").collect()
+    got = {(r.repo_id, r.metric_name, r.window_start): (r.n, r.avg_value, r.min_value, r.max_value, r.last_value) for r in found}
+    want = sliding(rows)
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-9 and got[k][2:] == v[2:]
+    # Sizes that are no multiple of the slide are not paned, and give the windows of the rows.
+    odd = sh.metric_windows(spark.createDataFrame(rows[:50], SCHEMA), "36 hours", "1 day")
+    assert odd.agg(F.sum("n")).first()[0] == sum(2 if r[3].hour < 12 else 1 for r in rows[:50])
+    empty = spark.createDataFrame([(1, "m", None, datetime(2024, 1, 1))], SCHEMA)
+    assert {(r.n, r.avg_value, r.last_value) for r in sh.metric_windows(empty, "2 days", "1 day").collect()} == {(1, None, None)}
+
+
+def test_only_panes_are_copied_to_windows(spark):
+    """The copies of the plan come after the aggregate of the rows."""
+    plan = sh.metric_windows(spark.createDataFrame(history_rows(), SCHEMA), "30 days", "1 day")._jdf.queryExecution().sparkPlan().toString().split("\n")
+    copies = [i for i, line in enumerate(plan) if "Expand" in line or "Generate" in line]
+    sums = [i for i, line in enumerate(plan) if "Aggregate" in line]
+    assert len(copies) == 1 and any(i > copies[0] for i in sums) and any(i < copies[0] for i in sums)
+
+
+def test_streamed_sliding_windows_over_batches(spark, tmp_path):
+    rows = sorted(history_rows(), key=lambda r: r[3])
+    source, target, progress = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress")
+    for at in range(0, len(rows), 300):
+        spark.createDataFrame(rows[at:at + 300], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        sh.stream_metric_windows(spark.readStream.schema(SCHEMA).parquet(source), target, progress, "30 days", "1 day").awaitTermination()
+    late = max(r[3] for r in rows) - timedelta(days=1)
+    want = {k: v for k, v in sliding(rows).items() if k[2] + timedelta(days=30) <= late}
+    got = {(r.repo_id, r.metric_name, r.window_start): (r.n, round(r.avg_value, 6)) for r in spark.read.parquet(target).collect()}
+    assert got == {k: (v[0], round(v[1], 6)) for k, v in want.items()}
