@@ -15,14 +15,17 @@ from defectscope.sources.landing import flatten_commits, normalize_commits
 from defectscope.sources.upserts import new_rows
 
 KEY = ["repo_id", "sha"]
-# Buckets of keys: a batch reads those its own keys fall in.
-BUCKETS = 64
-TABLE = T.StructType([*COMMITS.fields, T.StructField("bucket", T.IntegerType()), T.StructField("stream", T.StringType()),
+# How long a landed row is remembered, by the time it arrived.
+REMEMBERED = "30 days"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TABLE = T.StructType([*COMMITS.fields, T.StructField("month", T.StringType()), T.StructField("stream", T.StringType()),
                       T.StructField("batch", T.LongType())])
 
 
-def bucket() -> Column:
-    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)).cast("int")
+def month() -> Column:
+    """The partition of a commit. Its date is part of what the sha stands for, so a key never moves to another."""
+    return F.coalesce(F.date_format("committed_at", "yyyy-MM"), F.lit("none"))
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -39,24 +42,40 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
 
 
 def stream_commits(spark: SparkSession, landing: str, table: str, checkpoint: str,
-                   files_per_batch: int | None = None) -> StreamingQuery:
+                   files_per_batch: int | None = None, remembered: str = REMEMBERED) -> StreamingQuery:
     """Read landed JSON as it arrives and insert what the table does not hold yet.
 
-    Repeats are found in the batch and in the table, not in streaming state: history may be
-    collected at any age, so a watermark on commit dates would drop rows. A batch owns the
-    partitions named by its stream and number and overwrites them; run again after a
-    failure it leaves the same rows. Streams of one table must not run at the same time.
+    Collections repeat what was landed shortly before. Rows are remembered in keyed state
+    (RocksDB) by key and content for `remembered` after they arrived, then expire, so that
+    such repeats go no further, and the state holds what arrived in that time, however long
+    the history is. What passes is looked up in the table, in the months of its own
+    commits alone: rows that come again after their memory has expired, that are in the
+    table from other streams, or that bring another content for a known key. Arrival and
+    not the commit date is the event time, because history may be collected at any age.
+
+    A batch owns the partitions named by its stream and number and overwrites them; run
+    again after a failure it leaves the same rows. Streams of one table must not run at the
+    same time, and a table from which rows were deleted needs a new checkpoint.
     """
     reader = spark.readStream.schema(COMMIT_JSON)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     name = stream_id(spark, checkpoint)
     commits = normalize_commits(flatten_commits(reader.json(landing)))
-    return (
-        commits.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: insert_batch(batch, number, table, name))
-        .start())
+    # The batch's time is kept in the log: the same when the batch runs again.
+    arrived = commits.withColumn("content", F.xxhash64(*commits.columns)).withColumn("arrived", F.current_timestamp()).withWatermark("arrived", remembered)
+    new = arrived.dropDuplicatesWithinWatermark([*KEY, "content"]).drop("content", "arrived")
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        return (
+            new.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(lambda batch, number: insert_batch(batch, number, table, name))
+            .start())
+    finally:
+        # The running query has its own copy of the settings.
+        spark.conf.set(STATE_STORE, before)
 
 
 def insert_batch(batch: DataFrame, number: int, table: str, stream: str = "main") -> None:
@@ -65,18 +84,24 @@ def insert_batch(batch: DataFrame, number: int, table: str, stream: str = "main"
     All rows but those an earlier try of this very batch left count as existing.
     """
     spark = batch.sparkSession
-    batch = batch.withColumn("bucket", bucket()).persist()
-    touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most BUCKETS
-    stored = stored_rows(spark, table).where(F.col("bucket").isin(touched))
-    own = (F.col("stream") == stream) & (F.col("batch") == number)
-    existing = stored.where(~own).drop("stream", "batch")
-    fresh = new_rows(existing, batch, KEY, F.struct("committed_at", "message", "author_name"))
-    (fresh.withColumn("stream", F.lit(stream)).withColumn("batch", F.lit(number).cast("bigint"))
-     .repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket", "stream", "batch").parquet(table))
+    batch = batch.select(*[f.name for f in COMMITS.fields]).withColumn("month", month()).persist()
+    months = [r[0] for r in batch.select("month").distinct().collect()]  # at most a row a month of history
+    if months:
+        existing = stored_keys(spark, table, months, stream, number)
+        fresh = new_rows(existing, batch, KEY, F.struct("committed_at", "message", "author_name"))
+        # Large months go to several files, small ones to one.
+        (fresh.withColumn("stream", F.lit(stream)).withColumn("batch", F.lit(number).cast("bigint"))
+         .hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("month", "stream", "batch").parquet(table))
     batch.unpersist()
 
 
+def stored_keys(spark: SparkSession, table: str, months: list[str], stream: str, number: int) -> DataFrame:
+    """The keys stored in some months, but for what this batch itself has left."""
+    own = (F.col("stream") == stream) & (F.col("batch") == number)
+    return stored_rows(spark, table).where(F.col("month").isin(months) & ~own).select(*KEY)
+
+
 def stored_rows(spark: SparkSession, table: str) -> DataFrame:
     try:
         return spark.read.schema(TABLE).parquet(table)
@@ -87,10 +112,10 @@ def stored_rows(spark: SparkSession, table: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
-    return stored_rows(spark, table).drop("bucket", "stream", "batch")
+    return stored_rows(spark, table).drop("month", "stream", "batch")
 
 
 def compact(spark: SparkSession, table: str, into: str) -> None:
-    """The table's rows in one set of files a bucket, in a new folder that takes the old one's place."""
+    """The table's rows in one set of files a month, in a new folder that takes the old one's place."""
     rows = stored_rows(spark, table).withColumn("stream", F.lit("compacted")).withColumn("batch", F.lit(0).cast("bigint"))
-    rows.repartition("bucket").write.partitionBy("bucket", "stream", "batch").parquet(into)
+    rows.hint("rebalance", "month").write.partitionBy("month", "stream", "batch").parquet(into)

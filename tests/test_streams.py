@@ -1,8 +1,11 @@
 """Streams give the batch result over several micro-batches, with repeats and late rows."""
 
 import json
+import re
+import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from defectscope.streaming import commits as sc
@@ -57,6 +60,92 @@ def test_other_checkpoints_and_sources_keep_stored_commits(spark, tmp_path):
     assert sorted(r.sha for r in sc.read_table(spark, str(tmp_path / "new")).collect()) == ["a", "ax", "b", "c", "d", "e", "ex"]
 
 
+def land_months(folder, name, months, each=40):
+    folder.mkdir(exist_ok=True)
+    with open(folder / name, "w") as out:
+        for m in months:
+            for k in range(each):
+                date = f"20{10 + m // 12}-{m % 12 + 1:02d}-{k % 28 + 1:02d}T00:00:00Z"
+                out.write(json.dumps({"repo_id": k % 3, "sha": f"{m}-{k}", "commit": {"message": "m", "author": {"name": "a", "email": "e", "date": date}}}) + "\n")
+
+
+def test_repeats_end_in_state_and_lookups_read_their_months(spark, tmp_path, monkeypatch):
+    landing, table, progress = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "progress")
+    batches, read = [], []
+    insert, keys = sc.insert_batch, sc.stored_keys
+
+    def counted(batch, *rest):
+        batch = batch.persist()
+        batches.append(batch.count())
+        insert(batch, *rest)
+
+    monkeypatch.setattr(sc, "insert_batch", counted)
+
+    def looked_up(spark, table, months, *rest):
+        found = keys(spark, table, months, *rest)
+        read.append([months, found._jdf.queryExecution().executedPlan().toString(), found.columns])
+        return found
+
+    monkeypatch.setattr(sc, "stored_keys", looked_up)
+
+    def drain(checkpoint=progress):
+        query = sc.stream_commits(spark, str(landing), table, checkpoint, files_per_batch=1)
+        query.awaitTermination()
+        return sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"])
+
+    land_months(landing, "1.json", range(24))
+    assert drain() == 24 * 40
+    land_months(landing, "2.json", [22, 23, 24])  # two known months again, and a new one
+    assert drain() == 25 * 40
+    assert [b for b in batches if b] == [24 * 40, 40]  # the repeats went no further than the state
+    months, plan, columns = read[-1]
+    # Files of that month alone are read, and of them the keys.
+    assert months == ["2012-01"] and columns == sc.KEY
+    assert re.search(r"PartitionFilters: \[.*month#\d+ = 2012-01", plan) and re.search(r"ReadSchema: struct<repo_id:bigint,sha:string>", plan)
+    # Without the state, over the same table: every row is looked up, in its own month.
+    batches.clear()
+    drain(str(tmp_path / "other"))
+    assert sum(batches) == 25 * 40 and sc.read_table(spark, table).count() == 25 * 40
+
+
+def test_state_expires_and_the_table_still_holds(spark, tmp_path):
+    landing, table, progress = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "progress")
+
+    def drain():
+        query = sc.stream_commits(spark, str(landing), table, progress, files_per_batch=1, remembered="1 seconds")
+        query.awaitTermination()
+        return sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"])
+
+    sizes = []
+    for k in range(4):
+        land_months(landing, f"{k}.json", [k, k + 1])  # half of them known, by then forgotten
+        sizes.append(drain())
+        time.sleep(1.5)
+    assert max(sizes) <= 4 * 40 and sc.read_table(spark, table).count() == 5 * 40
+
+
+def test_a_batch_that_failed_is_run_again(spark, tmp_path, monkeypatch):
+    """Restart after the rows were written, but before the batch was committed."""
+    landing, table, progress = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "progress")
+    land_months(landing, "1.json", [1, 2])
+    real = sc.insert_batch
+
+    def fails(batch, *rest):
+        real(batch, *rest)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sc, "insert_batch", fails)
+    query = sc.stream_commits(spark, str(landing), table, progress, files_per_batch=1)
+    with pytest.raises(Exception, match="lost"):
+        query.awaitTermination()
+    monkeypatch.setattr(sc, "insert_batch", real)
+    assert sc.read_table(spark, table).count() == 80
+    land_months(landing, "2.json", [2, 3])
+    sc.stream_commits(spark, str(landing), table, progress, files_per_batch=1).awaitTermination()
+    rows = sc.read_table(spark, table)
+    assert rows.count() == 120 and rows.select("sha").distinct().count() == 120
+
+
 SCHEMA = "repo_id int, metric_name string, metric_value double, recorded_at timestamp_ntz"
 
 
