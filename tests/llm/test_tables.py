@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from defectscope.llm import chunks, decontaminate, fixity, languages, packing, phrases, simhash, url_filters
+from defectscope.llm import decontaminate, fixity, languages, packing, phrases, simhash, url_filters
 from defectscope.llm.components import components
 from defectscope.llm.queries import URL_RULES, WORD_TOKENIZER
 from defectscope.llm.tables import running_total
@@ -45,68 +45,6 @@ def test_likeness_follows_shared_text():
     assert phrases.likeness(same, other) < 0.1
 
 
-def test_repeated_passages(spark):
-    passages = [prose(1000 + i, 60) for i in range(20)]
-    rows = [(i, f"{prose(i, 50)} {passages[i]} {prose(100 + i, 40)}", "en", "s") for i in range(20)]
-    rows += [(100 + i, f"{prose(300 + i, 31)} {passages[i]} {prose(400 + i, 3)}", "en", "s") for i in range(20)]
-    rows += [(200 + i, prose(600 + i, 200), "en", "s") for i in range(20)]
-    rows += [(300, "same words here " * 50, "en", "s"), (301, None, None, None), (302, "", None, None), (None, prose(600, 200), None, None)]
-    docs = documents(spark, rows)
-    found = chunks.repeated_passages(docs).collect()
-    texts = dict((r[0], r[1]) for r in rows)
-    assert {r.doc_id for r in found} == {100 + i for i in range(20)} | {None}
-    for r in found:
-        if r.doc_id is not None:
-            assert r.kept_doc_ids == [r.doc_id - 100]
-            assert texts[r.doc_id][r.start:r.end] in texts[r.doc_id - 100] and r.n_words >= chunks.MIN_WORDS
-    cut = {r.doc_id: r.text for r in chunks.without_repeats(docs.where("doc_id is not null")).collect()}
-    assert {i for i, t in cut.items() if t != texts[i]} == {100 + i for i in range(20)}
-    for r in found:
-        if r.doc_id is not None:
-            assert cut[r.doc_id] == texts[r.doc_id][:r.start] + texts[r.doc_id][r.end:]
-    assert chunks.repeated_passages(docs.limit(0)).count() == 0
-
-
-def test_passages_of_51_words_and_of_repeated_lines_are_found(spark):
-    """At any offset, also where smaller documents hold parts of the passage."""
-    own = np.random.default_rng(8)
-    rows, want = [], {}
-    for k in range(240):
-        if k < 150:
-            passage = prose(7000 + k, 51)
-        else:
-            passage = " ".join([prose(7000 + k, (4, 8, 12)[k % 3])] * 30)
-        before, after = own.integers(3, 90, (2, 2))
-        rows.append((1000 + k, f"{prose(8000 + k, before[0])} {passage} {prose(8300 + k, after[0])}", "en", "s"))
-        rows.append((2000 + k, f"{prose(8600 + k, before[1])} {passage} {prose(8900 + k, after[1])}", "en", "s"))
-        if k < 50:
-            words_of = passage.split()
-            rows += [(2 * k, f"{prose(9200 + k, 9)} {' '.join(words_of[:25])} {prose(9300 + k, 9)}", "en", "s"),
-                     (2 * k + 1, f"{prose(9400 + k, 9)} {' '.join(words_of[25:50])} {prose(9500 + k, 9)}", "en", "s")]
-        want[2000 + k] = [1000 + k]
-    texts = {r[0]: r[1] for r in rows}
-    found = chunks.repeated_passages(documents(spark, rows)).collect()
-    assert {r.doc_id: r.kept_doc_ids for r in found} == want
-    for r in found:
-        assert texts[r.doc_id][r.start:r.end] in texts[r.doc_id - 1000] and len(texts[r.doc_id][r.start:r.end].split()) == r.n_words
-
-
-def test_blocks_of_repeated_lines_do_not_depend_on_the_offset():
-    for k in range(200):
-        line = prose(6000 + k, (4, 8, 12)[k % 3])
-        sides = [f"{prose(6300 + k + n, 11 + 7 * n)} {' '.join([line] * 30)} {prose(6600 + k + n, 20)}" for n in (0, 1)]
-        inside = [{t[a:b] for _, a, b in zip(*chunks.blocks(np.frombuffer(t.encode("utf-32-le"), "<u4"), chunks.MIN_WORDS))} for t in sides]
-        assert inside[0] & inside[1]
-
-
-def test_chunks_are_local():
-    points = np.frombuffer((prose(1, 3000)).encode("utf-32-le"), "<u4")
-    ends = chunks.cuts(points)
-    assert ends[-1] == len(points) and (np.diff(ends) > 0).all() and np.diff(ends, prepend=0).max() <= chunks.LONGEST
-    moved = chunks.cuts(np.concatenate([points[:7], points])) - 7
-    assert len(np.intersect1d(ends, moved)) > 0.98 * len(ends)
-
-
 def check_packing(rows, pieces, size):
     library = LibraryEncoder(WORD_TOKENIZER)
     want = Counter((i, tuple([*ids, 1])) for i, ids in zip([r[0] for r in rows], library.lists([r[1] or "" for r in rows])))
