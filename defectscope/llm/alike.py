@@ -28,10 +28,10 @@ from defectscope.session import written
 # Pivots a bucket is compared with, after the first of all, before its remaining members meet in cells.
 PIVOTS = 3
 # Members of one piece of a cell, and elements of their sets.
-PIECE, PIECE_ELEMENTS = 1024, 1 << 18
+PIECE, PIECE_ELEMENTS = 512, 1 << 17
 # Elements in more sets than this go through matrix products, in blocks of columns.
 FREQUENT, COLUMNS = 96, 2048
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 19
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
