@@ -1,7 +1,7 @@
 """Secrets in texts: named assignments, access keys, long hex runs, and random strings.
 
 A string that a byte-pair vocabulary of ordinary text cannot compress is random: words
-give three or more characters a token, keys and passwords fewer than two. Runs of key
+give three or more characters a token, keys and passwords under two. Runs of key
 characters with a low ratio are therefore secrets too, after known digests (hexadecimal
 runs of a digest's length) and identifiers (UUIDs, numbers and times, names joined from
 words the vocabulary knows) are set aside. Paths and addresses are judged part by part.
@@ -25,9 +25,14 @@ KINDS = ("assign", "access", "hex", "token")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-# A run of key characters that no word character continues.
-RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_=-]{16,}(?!\w)")
+# A run of key characters and its padding; `=` parts a name from a value.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_-])")
 SHORTEST_RUN = 16
+# What adjoins an access key or hexadecimal run without a sign between belongs to it; before it, if it is random and has so many characters.
+GLUED = re.compile(r"[A-Za-z0-9]+")
+SHORTEST_GLUED = 8
+# In a list, parts between slashes are shorter than this.
+LIST_PART = 8
 ADDRESS = re.compile(r"\w://\S+")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"(?:(?:md5|sha-?\d+)[-:=])?([0-9a-f]+|[0-9A-F]+)", re.I | re.A)
@@ -38,7 +43,7 @@ NUMBER = re.compile(r"[-+_/=]*\d[\d+/_=TZ-]*")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4}))*[-_/+=]*")
 LETTERS = re.compile(r"[A-Za-z]+")
 # Fewer characters a token than this is random.
-MAX_RATIO = 1.8
+MAX_RATIO = 2.0
 # Names joined from words have so many letters a token, word by word, at least.
 NAME_RATIO = 2.0
 REDACTED = "[secret]"
@@ -90,14 +95,18 @@ class Scanner:
         return len(run) < max_ratio * self.tokens(run) and not self.is_name(run)
 
     def random_parts(self, text: str, max_ratio: float) -> Iterator[tuple[int, int]]:
-        """Random runs: as a whole, or, of addresses and of paths with names in them, those between slashes."""
+        """Random runs: as a whole, or, of addresses, of lists, and of paths with names in them, those between slashes."""
         addresses = [m.span() for m in ADDRESS.finditer(text)] if "://" in text else []
         for m in RUN.finditer(text):
             while addresses and addresses[0][1] <= m.start():
                 addresses.pop(0)
             inside = bool(addresses) and addresses[0][0] < m.start()
+            around = text[max(0, m.start() - 1):m.start()] + text[m.end():m.end() + 1]
+            if not around.isascii() and around.isalpha() and WORDS.fullmatch(m[0]):
+                continue  # the ASCII letters of a longer word
             parts = m[0].split("/")
-            if not inside and not (len(parts) > 1 and any(len(p) > 3 and self.is_name(p, 1) for p in parts)):
+            a_list = len(parts) > 2 and max(map(len, parts)) < LIST_PART
+            if not inside and not a_list and not (len(parts) > 1 and any(len(p) > 3 and self.is_name(p, 1) for p in parts)):
                 parts = [m[0]]
             at = m.start()
             for part in parts:
@@ -105,6 +114,17 @@ class Scanner:
                     yield at, at + len(part)
                 at += len(part) + 1
 
+    def rest(self, text: str, start: int, end: int, max_ratio: float) -> Iterator[tuple[int, int]]:
+        """What adjoins a key: all behind it, and a random string before it."""
+        behind = GLUED.match(text, end)
+        if behind:
+            yield behind.span()
+        at = start
+        while at and text[at - 1].isascii() and text[at - 1].isalnum():
+            at -= 1
+        if start - at >= SHORTEST_GLUED and start - at < max_ratio * self.tokens(text[at:start]):
+            yield at, start
+
     def spans(self, text: str, max_ratio: float) -> list[tuple[int, int, int]]:
         """(start, kind number, end) in code points, sorted."""
         found = []
@@ -113,11 +133,31 @@ class Scanner:
         if "AKIA" in text:
             found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        base = list(found)
-        for start, end in self.random_parts(text, max_ratio):
-            if not any(a < end and start < b for a, _, b in base):
+        base = sorted((a, b) for a, _, b in found)
+        more = [part for a, kind, b in found if kind for part in self.rest(text, a, b, max_ratio)]
+        for start, end in [*self.random_parts(text, max_ratio), *more]:
+            # Base spans stay as they are; what they leave of a random run is added.
+            for a, b in base:
+                if a < end and start < b:
+                    if start < a:
+                        found.append((start, 3, a))
+                    start = max(start, b)
+            if start < end:
                 found.append((start, 3, end))
-        return sorted(found)
+        return self.without_overlaps(found)
+
+    @staticmethod
+    def without_overlaps(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Sorted; of added spans, only what no earlier one has."""
+        out, at = [], 0
+        for start, kind, end in sorted(set(found)):
+            if kind == 3:
+                start = max(start, at)
+                if start >= end:
+                    continue
+                at = end
+            out.append((start, kind, end))
+        return sorted(out)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
