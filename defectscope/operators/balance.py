@@ -241,7 +241,7 @@ def _draw(*parts: Column) -> Column:
 
 
 def smote_facts(df: DataFrame, k: int, min_rows: int, label: str = "is_buggy") -> DataFrame:
-    """Per repository: the smaller class, its size, how many rows it lacks, neighbours to use.
+    """Per repository: the smaller class, its size, how many rows it lacks, neighbours to use, all rows.
 
     Repositories that stay as they are (a class below two rows, too few rows in all, or a
     smaller class without enough neighbours) are left out.
@@ -251,7 +251,7 @@ def smote_facts(df: DataFrame, k: int, min_rows: int, label: str = "is_buggy") -
     return sized.select(
         "repo_id", F.when(F.col("pos") <= F.col("neg"), 1).otherwise(0).alias("minority"),
         F.least("pos", "neg").alias("m"), F.abs(F.col("pos") - F.col("neg")).alias("lacking"),
-        F.least(F.lit(k).cast("bigint"), F.col("pos") - 1).alias("k"),
+        F.least(F.lit(k).cast("bigint"), F.col("pos") - 1).alias("k"), (F.col("pos") + F.col("neg")).alias("rows"),
         ((F.col("pos") >= 2) & (F.col("neg") >= 2) & (F.col("pos") + F.col("neg") > min_rows)).alias("ok"),
     ).where(F.col("ok") & (F.col("lacking") > 0) & (F.col("m") > F.col("k"))).drop("ok")
 
@@ -263,33 +263,47 @@ def synthetic_rows(df: DataFrame, cols: Sequence[str], label: str = "is_buggy",
     Every minority row serves as a base equally often (the first in hash order once more);
     neighbour and position come from hashes, so a lost task rebuilds the same rows.
     """
-    facts = smote_facts(df, k, min_rows, label)
+    facts = cut_lineage(smote_facts(df, k, min_rows, label))
+    return _synthetic(df, cols, facts, label, k, seed, knn_limits).drop("number", "rows")
+
+
+def _synthetic(df: DataFrame, cols: Sequence[str], facts: DataFrame, label: str, k: int, seed: int, knn_limits) -> DataFrame:
+    """`synthetic_rows` with `number`, their place in their repository by copy and id, from 1, and the repository's `rows`.
+
+    A base carries its neighbours' vectors, so that its copies are made where it lies. With
+    q = lacking div m copies of each of m bases, copy c <= q of the i-th base by id is number
+    (c - 1) m + i; the copies q + 1 follow, in the order of their bases' ids.
+    """
     values = [F.col(c).cast("double").alias(c) for c in cols]
     minority = cut_lineage(
         df.join(facts, "repo_id").where(F.col(label) == F.col("minority"))
-        .select("repo_id", "id", label, *values, "m", "lacking", "k"))
+        .select("repo_id", "id", label, *values, "m", "lacking", "k", "rows"))
     near = minority_knn(minority, cols, k, **knn_limits)
-    listed = near.groupBy("repo_id", "id").agg(F.array_sort(F.collect_list(F.struct("place", "neighbour"))).alias("near"))
-    placed = ranked(minority.withColumn("__h", shuffled(F.col("id"), seed)), ["repo_id"],
-                    [F.asc("__h"), F.asc("id")], rank="__rn")
+    ends = minority.select("repo_id", F.col("id").alias("neighbour"), F.array(*cols).alias("at"))
+    listed = near.join(ends, ["repo_id", "neighbour"]).groupBy("repo_id", "id").agg(
+        F.array_sort(F.collect_list(F.struct("place", "neighbour", "at"))).alias("near"))
+    hashed = ranked(minority.withColumn("__h", shuffled(F.col("id"), seed)), ["repo_id"], [F.asc("__h"), F.asc("id")], rank="__rn")
     extra = F.when(F.col("__rn") <= F.col("lacking") % F.col("m"), 1).otherwise(0)
-    copies = F.floor(F.col("lacking") / F.col("m")) + extra
-    shares = placed.withColumn("copies", copies).where("copies > 0").join(listed, ["repo_id", "id"])
+    placed = ranked(cut_lineage(hashed.withColumn("extra", extra).drop("__h", "__rn")), ["repo_id"], [F.asc("id")],
+                    rank="place", running={"extras": F.col("extra")})
+    each = F.floor(F.col("lacking") / F.col("m"))
+    # Searched once: what follows reads the result.
+    shares = cut_lineage(placed.withColumn("each", each).withColumn("copies", F.col("each") + F.col("extra")).where("copies > 0").join(listed, ["repo_id", "id"]))
     # A class of a few rows may need very many copies of each: blocks of copies are spread
     # over the cluster before they are unrolled.
     blocks = shares.withColumn(
         "first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"), F.lit(COPIES_BLOCK).cast("bigint"))))
+    drawn = _draw(F.col("id"), F.col("copy"), F.lit(f"{seed}n")) % F.col("k") + 1
     bases = (
         blocks.repartition("repo_id", "id", "first")
         .withColumn("copy", F.explode(F.sequence(
             F.col("first"), F.least(F.col("copies"), F.col("first") + (COPIES_BLOCK - 1)))))
-        .withColumn("pick", F.try_element_at(
-            "near", (_draw(F.col("id"), F.col("copy"), F.lit(f"{seed}n")) % F.col("k") + 1).cast("int"))["neighbour"])
+        .withColumn("to", F.try_element_at("near", drawn.cast("int")))
         .withColumn("gap", _draw(F.col("id"), F.col("copy"), F.lit(f"{seed}g")) / F.lit(4294967296.0)))
-    ends = minority.select("repo_id", F.col("id").alias("pick"), *[F.col(c).alias(f"__to_{c}") for c in cols])
-    return bases.join(ends, ["repo_id", "pick"]).select(
-        "repo_id", F.col("id").alias("base"), "copy", F.col("pick").alias("neighbour"), label,
-        *[(F.col(c) + F.col("gap") * (F.col(f"__to_{c}") - F.col(c))).alias(c) for c in cols])
+    number = F.when(F.col("copy") <= F.col("each"), (F.col("copy") - 1) * F.col("m") + F.col("place")).otherwise(F.col("each") * F.col("m") + F.col("extras"))
+    return bases.select(
+        "repo_id", F.col("id").alias("base"), "copy", F.col("to.neighbour").alias("neighbour"), label,
+        *[(F.col(c) + F.col("gap") * (F.col("to.at")[i] - F.col(c))).alias(c) for i, c in enumerate(cols)], number.alias("number"), "rows")
 
 
 def smote(df: DataFrame, cols: Sequence[str], label: str = "is_buggy", k: int = NEIGHBOURS, seed: int = SEED,
@@ -297,20 +311,21 @@ def smote(df: DataFrame, cols: Sequence[str], label: str = "is_buggy", k: int =
     """Rows of both classes in equal numbers per repository: the originals and `synthetic_rows`.
 
     `renumber` gives balanced repositories fresh `file_id`s from 0 and `synthetic_<i>` paths,
-    originals first; repositories left as they are keep theirs.
+    originals first; repositories left as they are keep theirs. Originals are numbered by
+    id, synthetic rows by formula: only the originals are ever sorted.
     """
-    new = synthetic_rows(df, cols, label, k, seed, min_rows, **knn_limits)
+    facts = cut_lineage(smote_facts(df, k, min_rows, label))
+    new = _synthetic(df, cols, facts, label, k, seed, knn_limits).withColumnRenamed("base", "id").drop("neighbour")
     kept = df.select("repo_id", "id", label, *[F.col(c).cast("double").alias(c) for c in cols],
-                     *[c for c in ("filepath",) if c in df.columns])
-    both = kept.withColumn("copy", F.lit(0).cast("bigint")).unionByName(
-        new.withColumnRenamed("base", "id").drop("neighbour"), allowMissingColumns=True)
+                     *[c for c in ("filepath",) if c in df.columns]).withColumn("copy", F.lit(0).cast("bigint"))
     if not renumber:
-        return both
-    touched = smote_facts(df, k, min_rows, label).select("repo_id", F.lit(True).alias("__balanced"))
-    numbered = ranked(both, ["repo_id"], [F.asc("copy"), F.asc("id")], rank="__rn").join(touched, "repo_id", "left")
-    balanced = F.coalesce("__balanced", F.lit(False))
-    fresh = F.col("__rn") - 1
-    return numbered.withColumns({
-        "file_id": F.when(balanced, fresh).otherwise(F.col("id")),
-        "filepath": F.when(balanced, F.concat(F.lit("synthetic_"), fresh.cast("string"))).otherwise(F.col("filepath")),
+        return kept.unionByName(new.drop("number", "rows"), allowMissingColumns=True)
+    fresh = F.col("rows") + F.col("number") - 1
+    new = new.withColumn("file_id", fresh).withColumn("filepath", F.concat(F.lit("synthetic_"), fresh.cast("string"))).drop("number", "rows")
+    numbered = ranked(kept, ["repo_id"], [F.asc("id")], rank="__rn").join(facts.select("repo_id", F.lit(True).alias("__balanced")), "repo_id", "left")
+    balanced, place = F.coalesce("__balanced", F.lit(False)), F.col("__rn") - 1
+    old = numbered.withColumns({
+        "file_id": F.when(balanced, place).otherwise(F.col("id")),
+        "filepath": F.when(balanced, F.concat(F.lit("synthetic_"), place.cast("string"))).otherwise(F.col("filepath")),
     }).drop("__rn", "__balanced")
+    return old.unionByName(new, allowMissingColumns=True)

@@ -175,3 +175,21 @@ def test_renumbered_dataset(spark):
     out = bal.smote(df, ["a", "b"], renumber=True).collect()
     assert sorted(r.file_id for r in out) == list(range(40))
     assert {r.filepath for r in out} == {f"synthetic_{i}" for i in range(40)}
+
+
+def test_synthetic_rows_are_numbered_by_copy_and_id(spark):
+    """The numbers that sorting originals and copies by (copy, id) gives, without sorting the copies."""
+    rows = rows_for_smote(7, 40)
+    out = bal.smote(spark.createDataFrame(rows, SMOTE).withColumn("filepath", F.lit("p")), ["a", "b"], renumber=True).collect()
+    for repo in {r.repo_id for r in out}:
+        own = sorted((r.copy, r.id, r.file_id) for r in out if r.repo_id == repo)
+        assert [n for *_, n in own] == list(range(len(own)))
+
+
+def test_copies_are_made_after_the_last_shuffle_and_the_search_runs_once(spark):
+    df = spark.createDataFrame(rows_for_smote(7, 400), SMOTE)
+    plan = bal.synthetic_rows(df, ["a", "b"])._jdf.queryExecution().sparkPlan().toString().split("\n")
+    copies = next(i for i, line in enumerate(plan) if "explode(sequence(first" in line)
+    # Above the copies there are only projections; below them no search, but what it has left.
+    assert not any(x in line for line in plan[:copies] for x in ("Exchange", "Join", "Aggregate", "Window", "Sort"))
+    assert not any(x in line for line in plan for x in ("Pandas", "Arrow"))
