@@ -29,13 +29,15 @@ from defectscope.llm.tables import bounded, wrapped
 from defectscope.session import written
 
 # Word starts of which one is a cut.
-WINDOW = 16
+WINDOW = 20
 # A chunk of fewer words is digested with the words after it, up to this number.
 DIGEST_WORDS = 6
 # Words of the shortest passage that is reported.
 MIN_WORDS = 40
-# Code points a hash looks at.
-REACH = 32
+# Code points a hash looks at: in its low bits are those alone.
+REACH = 16
+# Places of the bitmap of shared digests: 16 MB at most, in rows of 4 kB.
+BITMAP_BITS = 27
 CODE_POINTS_AT_ONCE = 1 << 20
 
 GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(31)).astype(np.uint32)
@@ -65,7 +67,7 @@ def cuts(points: np.ndarray, window: int = WINDOW) -> np.ndarray:
     starts, _ = words_of(points)
     if not len(starts):
         return starts
-    hashes = rolling(points)[np.minimum(starts + REACH - 1, len(points) - 1)]
+    hashes = rolling(points)[np.minimum(starts + REACH - 1, len(points) - 1)] << np.uint32(32 - REACH)
     size = min(window, len(starts))
     # The last of the lowest in each window.
     lowest = np.lib.stride_tricks.sliding_window_view(hashes, size)[:, ::-1].argmin(1)
@@ -195,7 +197,7 @@ def extended(text: Column, owner_text: Column, anchors: Column, min_words: int)
 def repeated_passages(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, start, end, n_words, kept_doc_ids): passages that stand in documents with smaller ids, in code points.
 
-    Every passage of three windows' words and more (48) of equal code points is found,
+    Every passage of 48 words and more (two windows and a hash's reach) of equal code points is found,
     with its true ends, in whole words, in the owner of its chunks; shorter ones of `min_words` are, if they hold a
     chunk. `kept_doc_ids` are those of the owners of its chunks that hold `min_words` of it
     at least and are not inside what another owner holds. Repeats inside one document are
@@ -210,23 +212,29 @@ def repeated_passages(docs: DataFrame, **options) -> DataFrame:
 def passages(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`repeated_passages` with the text's digest, which tells rows of one id apart."""
     pieces = written(chunks(docs, window, id_col, text_col), "chunks")
+    # All chunks of a row lie in one task, which leaves one row of them.
+    rows = written(pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_md5").alias("text_md5")), "rows")
     # One row a digest and task leaves the first aggregate, however often a passage occurs.
     owners = pieces.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     owners = owners.where((F.col("owner") < F.col("last")) | (F.col("unnamed") & F.col("owner").isNotNull())).select("digest", "owner")
     owners = written(owners, "owners")
-    shared = written(pieces.join(bounded(owners, owners.count()), "digest"), "shared")
-    own = F.col("doc_id") == F.col("owner")
+    # Most chunks stand in one document: a bitmap keeps them out of the shuffle.
+    own = F.coalesce(F.col("doc_id") == F.col("owner"), F.lit(False))
+    likely = in_bitmap(pieces.select("row", "doc_id", "start", "digest"), owners.select("digest"))
+    shared = written(likely.join(bounded(owners, owners.count()), "digest").select("row", "start", "digest", own.alias("own")), "shared")
     # The first and the last place in the owner: between them lie the others of a line that repeats.
-    places = shared.where(own).groupBy("digest", "row").agg(F.min("start").alias("least"), F.max("start").alias("most"), F.first("text_md5").alias("owner_md5"))
-    places = places.groupBy("digest").agg(F.min(F.struct("row", "least", "most", "owner_md5")).alias("place"))
-    places = places.select("digest", F.col("place.owner_md5").alias("owner_md5"), F.explode(F.array_distinct(F.array("place.least", "place.most"))).alias("owner_start"))
+    places = shared.where("own").groupBy("digest", "row").agg(F.min("start").alias("least"), F.max("start").alias("most"))
+    places = places.groupBy("digest").agg(F.min(F.struct("row", "least", "most")).alias("place"))
+    places = places.select("digest", F.col("place.row").alias("owner_row"), F.explode(F.array_distinct(F.array("place.least", "place.most"))).alias("owner_start"))
     places = written(places, "places")
-    met = shared.where(F.coalesce(~own, F.lit(True))).join(bounded(places, places.count()), "digest")
-    # One anchor for each way through two texts and stretch of it: those of one way differ by insertions only.
-    ways = met.groupBy("doc_id", "text_md5", "owner", "owner_md5", (F.col("start") - F.col("owner_start")).alias("way")).agg(
-        F.sort_array(F.collect_set("start")).alias("starts"))
+    met = shared.where("NOT own").join(bounded(places, places.count()), "digest")
+    # The anchors of one way through two texts, and all ways of two texts.
+    ways = met.groupBy("row", "owner_row", (F.col("start") - F.col("owner_start")).alias("way")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
     anchors = F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), (s - F.col("way")).alias("owner_start")))))
-    pairs = written(ways.groupBy("doc_id", "text_md5", "owner", "owner_md5").agg(anchors.alias("anchors")), "pairs")
+    pairs = ways.groupBy("row", "owner_row").agg(anchors.alias("anchors"))
+    known = bounded(rows, rows.count())
+    theirs = known.select(F.col("row").alias("owner_row"), F.col("doc_id").alias("owner"), F.col("text_md5").alias("owner_md5"))
+    pairs = written(pairs.join(known, "row").join(theirs, "owner_row").select("doc_id", "text_md5", "owner", "owner_md5", "anchors"), "pairs")
     texts = named(docs, id_col, text_col).select("text_md5", "text")
     wanted = pairs.select("text_md5").union(pairs.where(F.col("owner_md5") != F.col("text_md5")).select(F.col("owner_md5").alias("text_md5"))).distinct()
     wanted = written(wanted, "wanted")
@@ -261,6 +269,18 @@ def passages(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDO
     return merged.select("doc_id", "text_md5", "start", "end", (F.col("last") - F.col("first") + 1).alias("n_words"), F.array_sort("owners").alias("kept_doc_ids"))
 
 
+def in_bitmap(chunks: DataFrame, digests: DataFrame) -> DataFrame:
+    """Rows whose digest's place is taken by one of `digests`: all of those, and few others unless there are very many."""
+    def place(kind: str) -> Column:
+        return F.expr(f"{kind}(shiftrightunsigned(digest, {64 - BITMAP_BITS}) + 1)")
+
+    taken = digests.groupBy(place("bitmap_bucket_number").alias("part")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position(shiftrightunsigned(digest, {64 - BITMAP_BITS}) + 1))").alias("bits"))
+    met = chunks.withColumn("part", place("bitmap_bucket_number")).withColumn("bit", place("bitmap_bit_position"))
+    # At most 2 ** BITMAP_BITS bits.
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return met.join(F.broadcast(written(taken, "bitmap")), "part").where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).drop("part", "bit", "bits")
+
+
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with repeated passages cut out of their texts; all rows stay, those without passages as they are."""
     spans = passages(docs, id_col=id_col, text_col=text_col, **options).groupBy("doc_id", "text_md5").agg(
