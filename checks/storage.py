@@ -49,6 +49,30 @@ def write_landing(commits, path: str) -> None:
     ).alias("commit")).write.json(path)
 
 
+# One commit in ten is landed with each kind of fault, by its id.
+KIND = "CASE id % 10 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'no repository' WHEN 2 THEN 'no sha' WHEN 3 THEN 'no commit' WHEN 4 THEN 'unreadable' ELSE 'accepted' END"
+
+
+@query("quarantined_commits", f"""
+SELECT {KIND} AS outcome, count(*) AS n, min(CASE WHEN id % 10 > 4 THEN sha END) AS first_sha, CAST(count(*) FILTER (WHERE id % 10 > 4 AND lower(message) SIMILAR TO '.*(fix|bug|issue|error|patch).*') AS BIGINT) AS bugfixes
+FROM fx_commits GROUP BY 1""")
+def _(t):
+    """Landed lines of which some are cut short, have a text for a number, or lack a field: rejected by reason, the others read."""
+    path = scratch_path(t.spark, "landed")
+    broken = F.col("id") % 10
+    author = F.struct(F.col("author_name").alias("name"), F.lit("e").alias("email"), F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
+    line = F.to_json(F.struct(
+        F.when(broken != 1, F.col("repo_id")).alias("repo_id"), F.when(broken != 2, F.col("sha")).alias("sha"),
+        F.when(broken != 3, F.struct("message", author.alias("author"))).alias("commit")))
+    line = F.when(broken == 0, F.substring(line, 1, 40)).when(broken == 4, F.regexp_replace(line, '"repo_id":', '"repo_id":"x')).otherwise(line)
+    line = F.when(broken == 4, F.regexp_replace(line, '("repo_id":"x[0-9]+)', '$1"')).otherwise(line)
+    t.fx_commits.select(line.alias("value")).write.text(path)
+    commits, rejects = landing.read_commits_checked(t.spark, path)
+    accepted = commits.agg(F.lit("accepted").alias("outcome"), F.count(F.lit(1)).alias("n"), F.min("sha").alias("first_sha"), F.count_if("is_bugfix").alias("bugfixes"))
+    counts = landing.reject_counts(rejects).groupBy(F.col("reason").alias("outcome")).agg(F.sum("n").alias("n"))
+    return accepted.unionByName(counts.withColumns({"first_sha": F.lit(None).cast("string"), "bugfixes": F.lit(0).cast("bigint")}))
+
+
 @query("metric_upsert", """
 WITH old AS (SELECT repo_id, filepath, commit_sha, cyclomatic_complexity AS cc, wmc, cbo, code_smells_count AS smells, rfc, loc FROM fx_file_metrics
              WHERE created_at < TIMESTAMP '1995-01-01 00:00:00'),
