@@ -129,3 +129,39 @@ def test_flow_keeps_earlier_steps_when_training_fails(spark):
     result = fl.run_flow(spark, t.fx_file_metrics, t.fx_files, commits(t), cfg)
     assert [(s, r) for s, r, _ in result.steps] == [("features", "success"), ("training", "failed")]
     assert result.dataset.count() > 0 and result.plan is None
+
+
+def test_a_flow_resumes_at_the_step_that_failed(spark, tmp_path, monkeypatch):
+    from checks.relational import commits
+
+    t = Tables(spark, SF)
+    cfg = fl.FlowConfig(training=tr.TrainConfig(family="rf", n_trials=0, params=SMALL), store=str(tmp_path / "store"))
+
+    def run(cfg=cfg):
+        result = fl.run_flow(spark, t.fx_file_metrics, t.fx_files, commits(t), cfg)
+        return result, [(s, r) for s, r, _ in result.steps]
+
+    def stopped(*args, **options):
+        raise RuntimeError("stopped")
+
+    steps = ("features", "training", "prediction", "prioritization")
+    real = fl.sel.greedy_select
+    monkeypatch.setattr(fl.sel, "greedy_select", stopped)
+    first, status = run()
+    assert status == [*((s, "success") for s in steps[:3]), ("prioritization", "failed")]
+    monkeypatch.setattr(fl.sel, "greedy_select", real)
+    # From here on nothing may be built, fitted or scored again.
+    for name in ("build_dataset", "train_auto", "score"):
+        monkeypatch.setattr(fl, name, stopped)
+    second, status = run()
+    assert status == [(s, "success") for s in steps]
+    assert second.steps[:3] == first.steps[:3]
+    assert second.metrics.first() == first.metrics.first() and second.predictions.count() == first.predictions.count() == second.plan.count()
+    # A finished flow is read, and records no second run, model or dataset.
+    third, status = run()
+    assert status == [(s, "success") for s in steps] and sorted(third.plan.collect()) == sorted(second.plan.collect())
+    repos = second.plan.select("repo_id").distinct().count()
+    assert registry.read_runs(spark, f"{cfg.store}/runs").count() == repos and spark.read.parquet(f"{cfg.store}/registry").count() == 1
+    # Other settings are another flow.
+    _, status = run(fl.FlowConfig(training=tr.TrainConfig(family="rf", n_trials=0, params=SMALL, seed=1), store=cfg.store))
+    assert status == [("features", "failed")]
