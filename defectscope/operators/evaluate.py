@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from defectscope.functions.scoring import ratio_or_zero
-from defectscope.operators.ranking import ranked
+from defectscope.operators.ranking import ranked, small_side
 from defectscope.session import cut_lineage
 
 # The threshold grid and the fallback threshold.
@@ -61,9 +61,10 @@ def top_share(preds: DataFrame, table: DataFrame, k: float = TOP_SHARE, key: str
         F.max(F.when(is_cut, F.col("probability"))).alias("cut_probability"),
         F.max(F.when(is_cut, F.col("items") - F.col("before"))).alias("cut_rows"),
         F.max("total_pos").alias("total_pos"), F.max(wanted).alias("wanted"))
-    cuts = per_model.where("cut_rows IS NOT NULL").select(
-        key, F.col("cut_probability").alias("probability"), "cut_rows")
-    at_cut = preds.select(key, "id", "label", "probability").join(cuts, [key, "probability"])
+    # One row a model: counted, and broadcast so that raw predictions stay where they are.
+    cuts = cut_lineage(per_model.where("cut_rows IS NOT NULL").select(
+        key, F.col("cut_probability").alias("probability"), "cut_rows"))
+    at_cut = preds.select(key, "id", "label", "probability").join(small_side(cuts, cuts.count()), [key, "probability"])
     tied = (
         ranked(at_cut, [key], [F.asc("id")], rank="tie_place", **limits)
         .where(F.col("tie_place") <= F.col("cut_rows"))

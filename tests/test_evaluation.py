@@ -193,3 +193,10 @@ def test_copies_are_made_after_the_last_shuffle_and_the_search_runs_once(spark):
     # Above the copies there are only projections; below them no search, but what it has left.
     assert not any(x in line for line in plan[:copies] for x in ("Exchange", "Join", "Aggregate", "Window", "Sort"))
     assert not any(x in line for line in plan for x in ("Pandas", "Arrow"))
+
+
+def test_cuts_are_broadcast_to_the_raw_predictions(spark):
+    """Only rows at a cut leave their partitions."""
+    preds = spark.range(0, 3000, 1, 4).select((F.col("id") % 3).alias("model_id"), "id", (F.col("id") % 5 == 0).cast("int").alias("label"), ((F.col("id") * 37) % 50 / 50).alias("probability"))
+    plan = ev.top_share(preds, ev.score_table(preds))._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
