@@ -116,7 +116,10 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def scale(df: DataFrame, cols: Sequence[str], stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Standardized columns. Statistics over all rows are one row, hence safe to broadcast."""
+    """Standardized columns. Statistics over all rows are one row, hence safe to broadcast; those of groups need their `keys`."""
+    grouped = [c for c in stats.columns if c not in keys and not c.endswith(("__mean", "__std"))]
+    if grouped:
+        raise ValueError(f"the statistics are by {', '.join(grouped)}: name them as keys")
     joined = df.join(stats, list(keys)) if keys else df.join(F.broadcast(stats))
     return joined.withColumns(
         {c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in cols}

@@ -64,9 +64,10 @@ def greedy_select(
 ) -> DataFrame:
     """Walk items by score (ties by `pos`), take each one that still fits, skip the others.
 
-    Efforts are exact to the millionth; an item without an effort is never taken. Adds `selected`. Whether an item is taken depends on all taken before it, so a running
-    sum is not enough. Groups up to `limit` items are walked in one task each. A larger
-    group is narrowed down in rounds first, see `_narrow_hot_groups`.
+    Efforts are exact to the millionth; an item without an effort is never taken. Adds
+    `selected`. Whether an item is taken depends on all taken before it, so a running sum is
+    not enough. Groups up to `limit` items are walked in one task each. A larger group is
+    narrowed down in rounds first, see `_narrow_hot_groups`.
     """
     left = budget if isinstance(budget, Column) else F.lit(float(budget))
     # A name for each group, null keys included, that plain joins can use.

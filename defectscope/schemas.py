@@ -47,6 +47,7 @@ COMMITS = T.StructType([
     T.StructField("committed_at", T.TimestampNTZType()),
 ])
 
+# The columns of a stored CSV dataset, in their fixed order.
 DATASET_CSV = T.StructType(
     [T.StructField("file_id", T.LongType()), T.StructField("filepath", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for c in [

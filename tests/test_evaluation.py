@@ -200,3 +200,13 @@ def test_cuts_are_broadcast_to_the_raw_predictions(spark):
     preds = spark.range(0, 3000, 1, 4).select((F.col("id") % 3).alias("model_id"), "id", (F.col("id") % 5 == 0).cast("int").alias("label"), ((F.col("id") * 37) % 50 / 50).alias("probability"))
     plan = ev.top_share(preds, ev.score_table(preds))._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_statistics_of_groups_need_their_keys(spark):
+    from defectscope.operators import features as ft
+
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "repo_id bigint, a double")
+    stats = ft.fit_scaler(df, ["a"], ["repo_id"])
+    assert sorted(r.a for r in ft.scale(df, ["a"], stats, ["repo_id"]).collect()) == [-1.0, 0.0, 1.0]
+    with pytest.raises(ValueError, match="repo_id"):
+        ft.scale(df, ["a"], stats)
