@@ -180,6 +180,20 @@ def _(t):
     return plan(t).select("repo_id", "pos", "selected")
 
 
+@query("selection_gap", f"""
+WITH {CONSTRAINED}, free AS (SELECT repo_id, pos, score, effort, score / effort AS ratio, CAST(budget AS DOUBLE) AS budget FROM ruled WHERE NOT (ok AND (mandatory OR excluded)) AND score > 0),
+used AS (SELECT *, sum(effort) OVER (PARTITION BY repo_id ORDER BY ratio DESC, pos ROWS UNBOUNDED PRECEDING) AS used FROM free),
+parts AS (SELECT repo_id, sum(CASE WHEN used <= budget THEN score WHEN used - effort < budget THEN score * (budget - (used - effort)) / effort ELSE 0 END) AS worth FROM used GROUP BY repo_id),
+given AS (SELECT repo_id, coalesce(sum(score) FILTER (WHERE ok AND mandatory), 0) AS given FROM ruled GROUP BY repo_id),
+mine AS (SELECT repo_id, coalesce(sum(score) FILTER (WHERE selected), 0) AS mine FROM plan GROUP BY repo_id)
+SELECT repo_id, round(mine, 6) AS selected_score, round(given + coalesce(worth, 0), 6) AS bound, round(given + coalesce(worth, 0) - mine, 6) + 0e0 AS gap
+FROM mine JOIN given USING (repo_id) LEFT JOIN parts USING (repo_id)""")
+def _(t):
+    """The SQL fills the budget by descending ratio and cuts the last item; the operator prices effort."""
+    out = sel.selection_gap(plan(t), BUDGET)
+    return out.select("repo_id", *((F.round(c, 6) + 0.0).alias(c) for c in ("selected_score", "bound", "gap")))
+
+
 @query("plan_with_reasons", f"""
 WITH {CONSTRAINED}, ordered AS (
   SELECT *, row_number() OVER w AS "rank", sum(CASE WHEN selected THEN effort ELSE 0 END) OVER w AS used

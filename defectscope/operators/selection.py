@@ -156,19 +156,50 @@ def constrained_select(items: DataFrame, budget: float, score: str = "priority_s
     `mandatory` and `excluded` are boolean columns. Where the constraints cannot hold (an
     item is both, or the mandatory ones exceed the budget), they are ignored.
     """
+    ruled = _ruled(items, budget)
+    given = ruled.where("__fixed").withColumn("selected", F.coalesce("mandatory", F.lit(False))).drop("__left", "__fixed")
+    left = F.col("__left").cast("decimal(38,6)") / F.lit(UNITS)
+    free = greedy_select(ruled.where("NOT __fixed").withColumn("__budget", left).drop("__left", "__fixed"), F.col("__budget"), score, limit=limit)
+    return free.drop("__budget").unionByName(given)
+
+
+def _ruled(items: DataFrame, budget: float) -> DataFrame:
+    """The items with `__fixed`, whether a constraint decides on them, and `__left`, the millionths of effort for the others."""
     must, never = F.coalesce("mandatory", F.lit(False)), F.coalesce("excluded", F.lit(False))
     facts = items.groupBy("repo_id").agg(
         F.coalesce(F.sum(F.when(must, units(F.col("effort")))), F.lit(0)).alias("__must_effort"),
         F.max(must & never).alias("__clash"))
-    ruled = joined(items, facts, ["repo_id"]).withColumn(
-        "__ok", ~F.col("__clash") & (F.col("__must_effort") <= units(F.lit(float(budget)))))
-    fixed = F.col("__ok") & (must | never)
-    helpers = ["__must_effort", "__clash", "__ok"]
-    given = ruled.where(fixed).withColumn("selected", must).drop(*helpers)
-    left = units(F.lit(float(budget))) - F.when(F.col("__ok"), F.col("__must_effort")).otherwise(F.lit(0))
-    left = left.cast("decimal(38,6)") / F.lit(UNITS)
-    free = greedy_select(ruled.where(~fixed).withColumn("__budget", left), F.col("__budget"), score, limit=limit)
-    return free.drop("__budget", *helpers).unionByName(given)
+    whole = units(F.lit(float(budget)))
+    ok = ~F.col("__clash") & (F.col("__must_effort") <= whole)
+    return joined(items, facts, ["repo_id"]).withColumns({
+        "__fixed": ok & (must | never), "__left": whole - F.when(ok, F.col("__must_effort")).otherwise(F.lit(0))}).drop("__must_effort", "__clash")
+
+
+def selection_gap(plan: DataFrame, budget: float, score: str = "priority_score", **limits) -> DataFrame:
+    """(repo_id, selected_score, bound, gap): how far a selection can at most be from the best one.
+
+    `bound` is the least Lagrangian bound of the sum of scores under the budget and the
+    constraints: for a price p of effort, p * budget + sum of max(0, score - p * effort) over
+    the free items, next to the mandatory ones. It is least at the ratio of score to effort of the
+    first item, by descending ratio, that no longer fits, so one ranking finds the price of every
+    repository. No selection that keeps the budget has more, and cutting that one item would
+    reach it. Items without an effort, or with a score of 0 or less, add nothing.
+    """
+    ruled = _ruled(plan, budget)
+    mine = plan.groupBy("repo_id").agg(F.coalesce(F.sum(F.when(F.col("selected"), F.col(score))), F.lit(0.0)).alias("selected_score"))
+    given = F.when(F.col("__fixed") & F.coalesce("mandatory", F.lit(False)), F.col(score))
+    fixed = ruled.groupBy("repo_id").agg(F.coalesce(F.sum(given), F.lit(0.0)).alias("__given"), F.max("__left").alias("__left"))
+    free = ruled.where(~F.col("__fixed") & F.col("effort").isNotNull() & (F.col(score) > 0)).select(
+        "repo_id", "pos", F.col(score).alias("__score"), units(F.col("effort")).alias("__units"), "__left")
+    ratio = F.when(F.col("__units") > 0, F.col("__score") / F.col("__units")).otherwise(F.lit(float("inf")))
+    free = cut_lineage(free.withColumn("__ratio", ratio))
+    placed = ranked(free, ["repo_id"], [F.desc("__ratio"), F.asc("pos")], rank="__place", running={"__used": F.col("__units")}, **limits)
+    price = cut_lineage(placed.groupBy("repo_id").agg(F.coalesce(F.max(F.when(F.col("__used") > F.col("__left"), F.col("__ratio"))), F.lit(0.0)).alias("__price")))
+    over = F.greatest(F.lit(0.0), F.col("__score") - F.col("__price") * F.col("__units"))
+    worth = joined(free, price, ["repo_id"]).groupBy("repo_id").agg((F.max(F.col("__price") * F.col("__left")) + F.sum(over)).alias("__worth"))
+    bound = F.col("__given") + F.coalesce("__worth", F.lit(0.0))
+    return joined(joined(mine, fixed, ["repo_id"]), worth, ["repo_id"], "left").select(
+        "repo_id", "selected_score", bound.alias("bound"), (bound - F.col("selected_score")).alias("gap"))
 
 
 def rank_items(items: DataFrame, score: str = "priority_score", **limits) -> DataFrame:

@@ -210,3 +210,37 @@ def test_statistics_of_groups_need_their_keys(spark):
     assert sorted(r.a for r in ft.scale(df, ["a"], stats, ["repo_id"]).collect()) == [-1.0, 0.0, 1.0]
     with pytest.raises(ValueError, match="repo_id"):
         ft.scale(df, ["a"], stats)
+
+
+def test_selection_bound_is_above_every_selection(spark):
+    """Against all subsets of small groups, with constraints, ties, free items and missing efforts."""
+    from itertools import product
+
+    from defectscope.operators import selection as sel
+
+    own = random.Random(4)
+    rows = []
+    for repo in range(12):
+        for pos in range(9):
+            effort = own.choice([0.0, 10.0, 25.5, 40.0, 70.0, None]) if repo % 3 else float(own.randint(5, 60))
+            rows.append((repo, pos, f"i{pos}", own.choice([0.0, 0.3, 0.5, 1.7, 2.0, -0.4]), effort, repo % 4 == 1 and pos < 2, repo % 4 == 2 and pos == 4))
+    rows.append((99, 0, "x", 0.0, None, False, False))
+    items = spark.createDataFrame(rows, "repo_id bigint, pos bigint, id string, priority_score double, effort double, mandatory boolean, excluded boolean")
+    for limits in ({}, {"limit": 4}):
+        found = {r.repo_id: r for r in sel.selection_gap(sel.constrained_select(items, 100.0), 100.0, **limits).collect()}
+        assert len(found) == 13
+        for repo in range(12):
+            own_rows = [r for r in rows if r[0] == repo]
+            ok = sum(r[4] or 0 for r in own_rows if r[5]) <= 100
+            best = 0.0
+            for picks in product((0, 1), repeat=9):
+                taken = [r for r, p in zip(own_rows, picks) if p]
+                if any(r[4] is None and not (ok and r[5]) for r in taken) or sum(r[4] or 0 for r in taken) > 100:
+                    continue
+                if ok and (any(r[6] for r in taken) or any(r[5] for r, p in zip(own_rows, picks) if not p)):
+                    continue
+                best = max(best, sum(r[3] for r in taken))
+            r = found[repo]
+            largest = max((x[3] for x in own_rows), default=0)
+            assert r.bound >= best - 1e-9 and r.bound >= r.selected_score - 1e-9 and r.gap >= -1e-9
+            assert r.bound <= best + largest + 1e-9  # one item cut
