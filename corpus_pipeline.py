@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,27 +12,46 @@ from defectscope.llm.queries import RANKS, WORD_TOKENIZER
 from defectscope.llm.tables import read
 from defectscope.session import written
 
+# Rows of texts that a Python worker gets at once: whole texts are long.
+ROWS_AT_ONCE = "2000"
+
+
+def with_small_batches(stage):
+    """The stage in a session that hands Python workers few rows at once, which bounds what they hold."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@with_small_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the network learned from the labelled ones; `und` and unsure ones go."""
     return languages.keep_languages(docs, languages.fit(docs))
 
 
+@with_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 or more of their five-word shingles shared): the one with the smallest id."""
     return simhash.one_of_each_group(docs, grouped=simhash.like_groups)
 
 
+@with_small_batches
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
+@with_small_batches
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced and their lengths kept true."""
     return secrets.redacted(docs, RANKS, public_tokenizers.PATTERN)
 
 
+@with_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in sequences of 2048, in the corpus's proportions of sources."""
     return packing.pack(docs, WORD_TOKENIZER)
