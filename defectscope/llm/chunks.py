@@ -238,7 +238,8 @@ def passages(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDO
     texts = named(docs, id_col, text_col).select("text_md5", "text")
     wanted = pairs.select("text_md5").union(pairs.where(F.col("owner_md5") != F.col("text_md5")).select(F.col("owner_md5").alias("text_md5"))).distinct()
     wanted = written(wanted, "wanted")
-    texts = written(texts.join(bounded(wanted, wanted.count()), "text_md5", "left_semi").groupBy("text_md5").agg(F.first("text").alias("text")), "texts")
+    # One shuffle of these texts serves both joins: it is by their digest.
+    texts = texts.join(bounded(wanted, wanted.count()), "text_md5", "left_semi").groupBy("text_md5").agg(F.first("text").alias("text"))
     theirs = texts.select(F.col("text_md5").alias("owner_md5"), F.col("text").alias("owner_text"))
     same = F.col("owner_md5") == F.col("text_md5")
     # Copies of one text and owner are compared once.
