@@ -39,6 +39,8 @@ REACH = 16
 # Places of the bitmap of shared digests: 16 MB at most, in rows of 4 kB.
 BITMAP_BITS = 27
 CODE_POINTS_AT_ONCE = 1 << 20
+# Pairs of texts compared at once.
+PAIRS_AT_ONCE = "1000"
 
 GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(31)).astype(np.uint32)
 SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
@@ -246,7 +248,14 @@ def passages(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDO
     ways_of = pairs.groupBy("text_md5", "owner_md5").agg(F.first("anchors").alias("anchors"))
     both = ways_of.join(texts, "text_md5").join(theirs, "owner_md5").select(
         "text_md5", "owner_md5", extended(F.col("text"), F.when(~same, F.col("owner_text")), F.col("anchors"), min_words).alias("spans"))
-    both = written(both.where(F.size("spans") > 0), "spans")
+    spark, rows_at_once = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_at_once)
+    # Two whole texts a row: few rows at once bound what a Python worker holds.
+    spark.conf.set(rows_at_once, PAIRS_AT_ONCE)
+    try:
+        both = written(both.where(F.size("spans") > 0), "spans")
+    finally:
+        spark.conf.set(rows_at_once, before)
     found = pairs.select("doc_id", "text_md5", "owner", "owner_md5").join(bounded(both, both.count(), 20_000), ["text_md5", "owner_md5"])
     found = found.select("doc_id", "text_md5", "owner", F.inline("spans"))
     ordered = F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "first", "last", F.col("owner").alias("owner"))))
