@@ -11,10 +11,12 @@ from defectscope.operators import balance as bal
 from defectscope.operators import changes as ch
 from defectscope.operators import features as ft
 from defectscope.schemas import METRIC_COLUMNS
+from defectscope.session import written
 
 
 def labeled(t):
-    return ft.fill_metrics(ch.with_bug_labels(t.fx_file_metrics, changes(t)))
+    # Read several times by what follows: joined and written once.
+    return written(ft.fill_metrics(ch.with_bug_labels(t.fx_file_metrics, changes(t))), "labeled")
 
 
 DISTANCE = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in METRIC_COLUMNS)

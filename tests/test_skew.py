@@ -110,6 +110,48 @@ def test_neighbours_by_cells_equal_brute_force(spark, seed, copies):
     assert got == knn(rows, 4)
 
 
+@pytest.mark.parametrize("cell_rows", [8, 30])
+def test_neighbours_by_boxes_equal_brute_force(spark, cell_rows):
+    """Many boxes, ties across them, a far row, a group of one value, and vectors that are not finite."""
+    rng = random.Random(3)
+    rows = [(1, i, (float(rng.randint(0, 12)), float(rng.randint(0, 12)), 5.0)) for i in range(300)] + [(1, 900, (1e6, -1e6, 0.0))]
+    rows += [(2, 2000 + i, (3.0, 3.0, 3.0)) for i in range(120)] + [(2, 2500, (4.0, 3.0, 3.0))]
+    df = spark.createDataFrame([(g, i, *v) for g, i, v in rows] + [(1, 5000, float("nan"), 0.0, 0.0)], "repo_id bigint, id bigint, a double, b double, c double")
+    got = {}
+    for r in sorted(bal.minority_knn(df, ["a", "b", "c"], 4, group_limit=3, block_rows=50, cell_rows=cell_rows).collect(), key=lambda r: (r.id, r.place)):
+        got.setdefault(r.id, []).append((r.neighbour, r.d2))
+    assert got == knn(rows, 4)
+
+
+def test_neighbours_of_many_axes_stay_packed(spark):
+    """Where boxes rule nothing out, all cells meet, and what the search hands on is a row for a pair of cells, not for a query and cell."""
+    rng = random.Random(4)
+    rows = [(1, i, tuple(rng.gauss(0, 1) for _ in range(24))) for i in range(200)]
+    cols = [f"e{i}" for i in range(24)]
+    df = spark.createDataFrame([(g, i, *v) for g, i, v in rows], "repo_id bigint, id bigint, " + ", ".join(f"{c} double" for c in cols))
+    handed = []
+    visits = bal._visits()
+
+    def counted(frames):
+        for frame in visits(frames):
+            handed.append(len(frame))
+            yield frame
+
+    cells = bal._own_cell(3)
+    import numpy as np
+    import pandas as pd
+
+    packed = pd.concat([cells(pd.DataFrame({"repo_id": [1], "cell": [c], "ids": [np.array([r[1] for r in rows[c::4]]).tobytes()], "vecs": [np.array([r[2] for r in rows[c::4]]).tobytes()],
+                                            "heads": [np.ones(50, bool).tobytes()]})) for c in range(4)])
+    boxes = [packed[["cell", "low", "high"]].to_dict("records")] * 4
+    list(counted(iter([packed.assign(boxes=boxes)])))
+    assert len(handed) <= 12 and set(handed) == {1}
+    got = {}
+    for r in sorted(bal.minority_knn(df, cols, 3, group_limit=50, block_rows=60, cell_rows=50).collect(), key=lambda r: (r.id, r.place)):
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == {i: [j for j, _ in near] for i, near in knn(rows, 3).items()}
+
+
 def test_top_share_cuts_through_ties_in_id_order(spark):
     rng = random.Random(3)
     rows = [("m", i, float(rng.randint(0, 3)) / 4, rng.randint(0, 1)) for i in range(97)]
