@@ -39,6 +39,22 @@ def test_commits_are_inserted_once(spark, tmp_path):
     assert sc.read_table(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_batch_writes_one_file_a_month(spark, tmp_path, monkeypatch):
+    """State keeps adaptive execution off, so that months must be brought together without it; large ones still go to several files."""
+    landing, table = tmp_path / "in", tmp_path / "table"
+    landing.mkdir()
+    with open(landing / "1.json", "w") as out:
+        for i in range(400):
+            date = f"2024-{i % 4 + 1:02d}-02T03:04:05Z"
+            out.write(json.dumps({"repo_id": i % 3, "sha": f"s{i}", "commit": {"message": "m", "author": {"name": "a", "email": None, "date": date}}}) + "\n")
+    sc.stream_commits(spark, str(landing), str(table), str(tmp_path / "progress")).awaitTermination()
+    assert len(list(table.rglob("*.parquet"))) == 4 and sc.read_table(spark, str(table)).count() == 400
+    monkeypatch.setattr(sc, "FILE_ROWS", 30)
+    sc.stream_commits(spark, str(landing), str(tmp_path / "other"), str(tmp_path / "more")).awaitTermination()
+    files = len(list((tmp_path / "other").rglob("*.parquet")))
+    assert 4 < files <= 16 and sc.read_table(spark, str(tmp_path / "other")).count() == 400
+
+
 def test_other_checkpoints_and_sources_keep_stored_commits(spark, tmp_path):
     table = str(tmp_path / "table")
 
