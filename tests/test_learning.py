@@ -43,6 +43,17 @@ def test_training_without_a_test_frame(spark, split):
     assert 0 < row.tn + row.fp + row.fn + row.tp < split[0].count()
 
 
+def test_a_fit_reads_even_partitions_on_every_core(spark, split, model):
+    train = tr.prepared(split[0], FEATURE_COLUMNS).coalesce(1)
+    cores, rows = spark.sparkContext.defaultParallelism, train.count()
+    sizes = [len(part) for part in tr.dealt(train, FEATURE_COLUMNS, rows).select("label").rdd.glom().collect()]
+    assert len(sizes) == cores and sum(sizes) == rows and max(sizes) - min(sizes) <= cores
+    assert tr.dealt(train, FEATURE_COLUMNS, cores * tr.PARTITION_ROWS + 1).rdd.getNumPartitions() == 2 * cores
+    # Kept node numbers are bounded.
+    assert model.stages[-1].getCacheNodeIds()
+    assert not tr.make_estimator("rf", {"n_estimators": 400}, tr.KEPT_NODES // 400 + 1).getCacheNodeIds()
+
+
 def test_tuning_is_repeatable_and_survives_bad_trials(spark, split):
     train = tr.prepared(split[0], FEATURE_COLUMNS)
     best, trials = tr.tune(train, FEATURE_COLUMNS, "rf", n_trials=2, folds=2, fixed={"n_estimators": 3, "max_depth": 3})
