@@ -74,6 +74,28 @@ def test_search_is_the_same_in_one_block_and_in_many(spark):
         assert 0.5 < a[repo].cv_auc <= 1
 
 
+def test_search_of_many_blocks_begins_near_its_optima_and_is_spread(spark, monkeypatch):
+    frame, states, tables, written, spread_out = rows(spark, repos=2, n=1500), [], {}, rm.written, rm._spread_out
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    def watched(*given):
+        states.append(spread_out(*given))
+        return states[-1]
+
+    monkeypatch.setattr(rm, "written", kept)
+    monkeypatch.setattr(rm, "_spread_out", watched)
+    found = rm.fit_repo_models(frame.where("repo_id < 2"), COLS, n_trials=4, folds=3, block_rows=100)
+    assert {r.converged for r in found.collect()} == {True}
+    guide, search, final = (s.agg(F.count(F.lit(1)), F.max("iterations"), F.min("done")).first() for s in states)
+    assert (guide[0], search[0], final[0]) == (2, 2 * 4 * 3, 2) and guide[2] and search[2] and final[2]
+    assert search[1] < guide[1] and final[1] < guide[1]
+    # Few bytes, a lot of arithmetic: one small file would be one task.
+    assert len(tables["blocks"].inputFiles()) > 4
+
+
 def test_search_takes_the_best_trial(spark):
     from defectscope.operators.features import clean_numeric, with_folds
 
