@@ -33,6 +33,9 @@ from defectscope.session import scratch_path
 # Sequences of one mixture window: within so many sequences the target proportions hold.
 WINDOW_SEQUENCES = 32
 
+# Bytes of texts encoded at once: their units and ids take many times as much.
+TEXT_BYTES = 1 << 21
+
 TOKENS = "part bigint, row bigint, doc_id {id}, queue string, position bigint, doc_tokens bigint, ids binary"
 
 
@@ -40,7 +43,7 @@ def _tokenize(tokenizer_path: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, sent = TaskContext.get().partitionId(), 0, {}
         for whole in batches:
-            for batch in batches_of(whole, "text"):
+            for batch in batches_of(whole, "text", TEXT_BYTES):
                 n = batch.num_rows
                 ids, ends = encoder(tokenizer_path).ids(batch.column("text"))
                 ids, counts = np.insert(ids, ends[1:], end_id), np.diff(ends) + 1

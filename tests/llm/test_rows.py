@@ -230,3 +230,25 @@ def test_empty_tables(spark):
     assert secrets.find_secrets(empty, RANKS, PATTERN).count() == 0
     assert secrets.redacted(empty, RANKS, PATTERN).count() == 0
     assert token_counts.count_tokens(empty, WORD_TOKENIZER, scratch_path(spark, "cache")).count() == 0
+
+
+def test_packing_encodes_few_bytes_at_once(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from defectscope.llm import packing
+
+    seen = []
+
+    def ids(texts):
+        seen.append(sum(map(len, texts.to_pylist())))
+        return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+
+    monkeypatch.setattr(packing, "encoder", lambda path: SimpleNamespace(ids=ids))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": ["x" * 100_000] * 60, "queue": ["q"] * 60})
+    out = pa.Table.from_batches(packing._tokenize("", 1)([batch]))
+    assert out["row"].to_pylist() == out["doc_id"].to_pylist() == out["position"].to_pylist() == list(range(60))
+    assert sum(seen) == 6_000_000 and max(seen) <= 1 << 21
