@@ -215,7 +215,7 @@ def passages(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDO
     """`repeated_passages` with the text's digest, which tells rows of one id apart."""
     pieces = written(chunks(docs, window, id_col, text_col), "chunks")
     # All chunks of a row lie in one task, which leaves one row of them.
-    rows = written(pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_md5").alias("text_md5")), "rows")
+    rows = written(pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_md5").alias("text_md5"), F.max("start").alias("reach")), "rows")
     # One row a digest and task leaves the first aggregate, however often a passage occurs.
     owners = pieces.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     owners = owners.where((F.col("owner") < F.col("last")) | (F.col("unnamed") & F.col("owner").isNotNull())).select("digest", "owner")
@@ -230,24 +230,25 @@ def passages(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDO
     places = places.select("digest", F.col("place.row").alias("owner_row"), F.explode(F.array_distinct(F.array("place.least", "place.most"))).alias("owner_start"))
     places = written(places, "places")
     met = shared.where("NOT own").join(bounded(places, places.count()), "digest")
-    # The anchors of one way through two texts, and all ways of two texts.
-    ways = met.groupBy("row", "owner_row", (F.col("start") - F.col("owner_start")).alias("way")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    # The anchors of one way through two texts, and all ways of two texts: one shuffle serves both.
+    ways = met.repartition("row", "owner_row").groupBy("row", "owner_row", (F.col("start") - F.col("owner_start")).alias("way")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
     anchors = F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), (s - F.col("way")).alias("owner_start")))))
-    pairs = ways.groupBy("row", "owner_row").agg(anchors.alias("anchors"))
+    anchored = written(ways.groupBy("row", "owner_row").agg(anchors.alias("anchors")), "anchors")
+    # Without the anchors, which are wide.
     known = bounded(rows, rows.count())
-    theirs = known.select(F.col("row").alias("owner_row"), F.col("doc_id").alias("owner"), F.col("text_md5").alias("owner_md5"))
-    pairs = written(pairs.join(known, "row").join(theirs, "owner_row").select("doc_id", "text_md5", "owner", "owner_md5", "anchors"), "pairs")
+    theirs = known.select(F.col("row").alias("owner_row"), F.col("doc_id").alias("owner"), F.col("text_md5").alias("owner_md5"), F.col("reach").alias("owner_reach"))
+    pairs = written(anchored.select("row", "owner_row").join(known, "row").join(theirs, "owner_row"), "pairs")
     texts = named(docs, id_col, text_col).select("text_md5", "text")
     wanted = pairs.select("text_md5").union(pairs.where(F.col("owner_md5") != F.col("text_md5")).select(F.col("owner_md5").alias("text_md5"))).distinct()
     wanted = written(wanted, "wanted")
     # One shuffle of these texts serves both joins: it is by their digest.
     texts = texts.join(bounded(wanted, wanted.count()), "text_md5", "left_semi").groupBy("text_md5").agg(F.first("text").alias("text"))
-    theirs = texts.select(F.col("text_md5").alias("owner_md5"), F.col("text").alias("owner_text"))
-    same = F.col("owner_md5") == F.col("text_md5")
-    # Copies of one text and owner are compared once.
-    ways_of = pairs.groupBy("text_md5", "owner_md5").agg(F.first("anchors").alias("anchors"))
-    both = ways_of.join(texts, "text_md5").join(theirs, "owner_md5").select(
-        "text_md5", "owner_md5", extended(F.col("text"), F.when(~same, F.col("owner_text")), F.col("anchors"), min_words).alias("spans"))
+    sent = texts.select(F.col("text_md5").alias("sent_md5"), F.col("text").alias("sent_text"))
+    home = texts.select(F.col("text_md5").alias("home_md5"), F.col("text").alias("home_text"))
+    both = meetings(pairs).join(anchored, ["row", "owner_row"]).drop("row", "owner_row").join(sent, "sent_md5").join(home, "home_md5")
+    own_sent, same = F.col("sent_md5") == F.col("text_md5"), F.col("owner_md5") == F.col("text_md5")
+    text, owner_text = F.when(own_sent, F.col("sent_text")).otherwise(F.col("home_text")), F.when(own_sent, F.col("home_text")).otherwise(F.col("sent_text"))
+    both = both.select("text_md5", "owner_md5", extended(text, F.when(~same, owner_text), F.col("anchors"), min_words).alias("spans"))
     spark, rows_at_once = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(rows_at_once)
     # Two whole texts a row: few rows at once bound what a Python worker holds.
@@ -279,6 +280,17 @@ def passages(docs: DataFrame, *, min_words: int = MIN_WORDS, window: int = WINDO
     return merged.select("doc_id", "text_md5", "start", "end", (F.col("last") - F.col("first") + 1).alias("n_words"), F.array_sort("owners").alias("kept_doc_ids"))
 
 
+def meetings(pairs: DataFrame) -> DataFrame:
+    """(text_md5, owner_md5, row, owner_row, sent_md5, home_md5): each two texts of `pairs` once, with one pair of their rows.
+
+    The text that ends earlier is sent to where the other one lies.
+    """
+    once = pairs.groupBy("text_md5", "owner_md5").agg(
+        F.min(F.struct("row", "owner_row")).alias("rows"), F.first(F.col("reach") < F.col("owner_reach")).alias("shorter"))
+    sent, home = (F.when(F.col("shorter"), F.col(x)).otherwise(F.col(y)) for x, y in (("text_md5", "owner_md5"), ("owner_md5", "text_md5")))
+    return once.select("text_md5", "owner_md5", "rows.*", sent.alias("sent_md5"), home.alias("home_md5"))
+
+
 def in_bitmap(chunks: DataFrame, digests: DataFrame) -> DataFrame:
     """Rows whose digest's place is taken by one of `digests`: all of those, and few others unless there are very many."""
     def place(kind: str) -> Column:

@@ -90,6 +90,14 @@ def test_repeated_passages_match_all_pairs(spark):
     assert {i: t for i, t in cut if i in (40, 41, 43, 22)} == {i: t for i, t, *_ in rows if i in (40, 41, 43, 22)}
 
 
+def test_the_shorter_text_of_a_pair_is_sent(spark):
+    """Each two texts meet once, where the longer one lies."""
+    rows = [(1, 9, b"a", b"b", 10, 700), (2, 9, b"a", b"b", 10, 700), (3, 9, b"c", b"b", 900, 700), (4, 9, b"b", b"b", 700, 700)]
+    pairs = spark.createDataFrame(rows, "row bigint, owner_row bigint, text_md5 binary, owner_md5 binary, reach int, owner_reach int")
+    found = {(bytes(r.text_md5), bytes(r.owner_md5), r.row, r.owner_row, bytes(r.sent_md5), bytes(r.home_md5)) for r in chunks.meetings(pairs).collect()}
+    assert found == {(b"a", b"b", 1, 9, b"a", b"b"), (b"c", b"b", 3, 9, b"b", b"c"), (b"b", b"b", 4, 9, b"b", b"b")}
+
+
 def test_text_ids_and_true_ends(spark):
     passage = prose(1, 70)
     rows = [("b", f"x{passage} end"), ("c", f"start {passage}y"), ("a", "nothing here"), (None, passage), ("c", f"start {passage}y")]
