@@ -231,6 +231,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "x string, y string"), "x", "y").count() == 0
 
 
+def test_components_of_few_edges_fill_few_files(spark):
+    """With a part for each shuffle partition, rounds over few edges would write mostly files."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.createDataFrame([(k, k + 1) for k in range(0, 400, 2)] + [(1, 2)], "x bigint, y bigint"), "x", "y")
+        assert len(found.inputFiles()) == 1
+        assert found.count() == 400 and found.agg(F.sum("component")).first()[0] == sum(range(4, 400, 2)) * 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_running_total(spark):
     frame = spark.range(0, 5000, 1, 7).select(F.pmod(F.xxhash64("id"), F.lit(100)).alias("k"), "id", (F.col("id") % 13).alias("n"))
     rows = sorted(running_total(frame, [F.col("k"), F.col("id")], "n", "at").collect(), key=lambda r: (r.k, r.id))
