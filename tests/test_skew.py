@@ -226,3 +226,49 @@ def test_a_large_top_is_ranked(spark):
     top = top_rows(df, ["k"], [F.asc("v")], 2000, rank="place").collect()
     want = sorted((r.k, r.v) for r in df.collect())
     assert sorted((r.k, r.v) for r in top) == sorted(x for k in (0, 1) for x in [w for w in want if w[0] == k][:2000])
+
+
+def test_settled_neighbours_are_not_ranked_again(spark):
+    """Queries whose neighbours all lie in their own cell leave it as finished lists; the others stay rows."""
+    rng = random.Random(4)
+    rows = [(1, c * 1000 + i, (c * 1e6 + rng.randint(0, 50), c * 1e6 + rng.randint(0, 50))) for c in range(4) for i in range(100)]
+    df = spark.createDataFrame([(g, i, list(v), True) for g, i, v in rows], "repo_id bigint, id bigint, vec array<double>, head boolean")
+    settled, ranked_rows = bal._by_cells(df, 3, 50, 100)
+    found = {r.q: [(x.id, x.d2) for x in r.near] for r in settled.collect()}
+    assert ranked_rows.count() == 4 * (400 - len(found)) and len(found) >= 300
+    want = knn(rows, 3)
+    assert all(near[0] == (q, 0.0) or (q, 0.0) in near for q, near in found.items())
+    assert all([x for x in near if x[0] != q][:3] == want[q] for q, near in found.items() if near[0][1] == 0 and near[1][1] > 0)
+
+
+@pytest.mark.parametrize("group_limit", [20, 5000])
+def test_neighbours_with_copies_and_repeated_ids(spark, group_limit):
+    """Copies beyond those that can be neighbours, ids that stand twice, and null ids and repositories."""
+    rng = random.Random(6)
+    rows = [(1, i, (float(rng.randint(0, 6)), float(rng.randint(0, 6)))) for i in range(200)]
+    schema = "repo_id bigint, id bigint, a double, b double"
+    df = spark.createDataFrame([(g, i, *v) for g, i, v in rows] + [(None, 900, 1.0, 1.0)], schema)
+    got = {}
+    for r in sorted(bal.minority_knn(df, ["a", "b"], 3, group_limit=group_limit, block_rows=40, cell_rows=16).where("repo_id = 1").collect(), key=lambda r: (r.id, r.place)):
+        got.setdefault(r.id, []).append((r.neighbour, r.d2))
+    assert got == knn(rows, 3)
+    twice = df.where("repo_id = 1").unionByName(df.where("id = 7"))
+    again = bal.minority_knn(twice, ["a", "b"], 3, group_limit=group_limit, block_rows=40, cell_rows=16)
+    assert {(r.id, r.place) for r in again.collect()} == {(i, p) for i in range(200) for p in (1, 2, 3)} and again.count() == 600
+
+
+def test_rows_do_not_move_to_meet_the_facts_of_their_repository(spark):
+    """A row a repository is broadcast: a join of all rows by repository would bring each to a few tasks."""
+    rows = [(g, g * 100 + i, int(i % 4 == 0), float(i)) for g in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "repo_id bigint, id bigint, is_buggy int, a double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bal.minority_rows(df)._jdf.queryExecution().executedPlan().toString()
+        balanced = bal.smote(df, ["a"])
+        counts = {(r.repo_id, r.is_buggy): r["count"] for r in balanced.groupBy("repo_id", "is_buggy").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert counts == {(g, b): 30 for g in range(3) for b in (0, 1)}
+    assert bal.minority_rows(df).count() == 30
