@@ -15,8 +15,9 @@ from defectscope.session import written
 
 
 def labeled(t):
-    # Read several times by what follows: joined and written once.
-    return written(ft.fill_metrics(ch.with_bug_labels(t.fx_file_metrics, changes(t))), "labeled")
+    # Read several times by what follows: joined and written once, with the columns that are used.
+    rows = ft.fill_metrics(ch.with_bug_labels(t.fx_file_metrics, changes(t)))
+    return written(rows.select("repo_id", "id", "filepath", *METRIC_COLUMNS, "is_buggy"), "labeled")
 
 
 DISTANCE = " + ".join(f"(a.{c} - b.{c}) ** 2" for c in METRIC_COLUMNS)
@@ -33,10 +34,7 @@ near AS (SELECT a.repo_id, a.id, b.id AS neighbour, {DISTANCE} AS d2,
 
 @query("minority_neighbours", f"WITH {MINORITY} SELECT repo_id, id, place, neighbour, d2 FROM near")
 def _(t):
-    rows = labeled(t)
-    facts = bal.smote_facts(rows, 5, 5).select("repo_id", "minority")
-    minority = rows.join(facts, "repo_id").where(F.col("is_buggy") == F.col("minority"))
-    return bal.minority_knn(minority, METRIC_COLUMNS, 5)
+    return bal.minority_knn(bal.minority_rows(labeled(t), 5, 5), METRIC_COLUMNS, 5)
 
 
 @query("embedding_neighbours", """

@@ -272,3 +272,18 @@ def test_rows_do_not_move_to_meet_the_facts_of_their_repository(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert counts == {(g, b): 30 for g in range(3) for b in (0, 1)}
     assert bal.minority_rows(df).count() == 30
+
+
+def test_labels_need_no_sort_of_the_metric_rows(spark):
+    metrics = spark.createDataFrame([(1, i, f"f{i}") for i in range(9)], "repo_id bigint, id bigint, filepath string")
+    changes = spark.createDataFrame([(1, "f1", True), (1, "f1", True), (1, "f2", False)], "repo_id bigint, filepath string, is_bugfix boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ch.with_bug_labels(metrics, changes)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.is_buggy for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert got == {i: int(i == 1) for i in range(9)}
