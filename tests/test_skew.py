@@ -287,3 +287,24 @@ def test_labels_need_no_sort_of_the_metric_rows(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert got == {i: int(i == 1) for i in range(9)}
+
+
+def test_feature_table_reads_the_metrics_once(spark):
+    """The history before each row measures its groups, then counts: the metric rows behind it are worked out once."""
+    from defectscope.plans.dataset import feature_table
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    metrics = spark.createDataFrame([(1, i, f"f{i % 3}", 1.0) for i in range(6)], "repo_id bigint, id bigint, filepath string, wmc double")
+    metrics = metrics.mapInArrow(counted, metrics.schema).withColumn("created_at", F.lit("2024-01-02").cast("timestamp_ntz"))
+    files = spark.createDataFrame([(1, 1, "f1")], "commit_id bigint, repo_id bigint, filepath string")
+    commits = spark.createDataFrame([(1, 1, "x", True)], "id bigint, repo_id bigint, author_name string, is_bugfix boolean")
+    commits = commits.withColumn("committed_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = {r.id: (r.bug_history, r.is_buggy) for r in feature_table(metrics, files, commits).collect()}
+    assert got == {i: (1, 1) if i % 3 == 1 else (0, 0) for i in range(6)}
+    assert seen.value == 6
