@@ -176,3 +176,26 @@ def test_a_flow_resumes_at_the_step_that_failed(spark, tmp_path, monkeypatch):
     # Other settings are another flow.
     _, status = run(fl.FlowConfig(training=tr.TrainConfig(family="rf", n_trials=0, params=SMALL, seed=1), store=cfg.store))
     assert status == [("features", "failed")]
+
+
+def test_a_logistic_fit_is_its_optimum(spark, split, tmp_path):
+    from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+    from pyspark.ml.feature import VectorAssembler
+
+    cols = ["change_frequency", "author_count", "fan_in"]
+    train = tr.prepared(split[0], cols)
+    n = train.count()
+    model = tr.fit(train, cols, "logreg", {"C": 0.05})
+    own = model.stages[-1]
+    assert isinstance(own, LogisticRegressionModel) and own.getRegParam() == pytest.approx(1 / (0.05 * n)) and own.numFeatures == 3
+    data = VectorAssembler(inputCols=cols, outputCol="features").transform(train)
+    theirs = LogisticRegression(regParam=1 / (0.05 * n), maxIter=1000, tol=1e-12, standardization=False).fit(data)
+    assert own.coefficients.toArray() == pytest.approx(theirs.coefficients.toArray(), abs=1e-5) and own.intercept == pytest.approx(theirs.intercept, abs=1e-5)
+    # Spark's search has no part in it: a search that may not move still gives the optimum.
+    assert tr.fit_logistic(train, cols, LogisticRegression(maxIter=0), 0.05).coefficients.toArray() == pytest.approx(own.coefficients.toArray())
+    registry.save_model(model, str(tmp_path / "m"), cols, 0.5)
+    loaded = registry.load_model(spark, str(tmp_path / "m"))[0]
+    assert sorted(tr.score(split[1], loaded, 0.5, cols).collect()) == sorted(tr.score(split[1], model, 0.5, cols).collect())
+    # One class has no optimum: left to Spark.
+    assert tr.fit_logistic(train.where("label = 1"), cols, LogisticRegression(), 1.0) is None
+    assert tr.fit(train.where("label = 1"), cols, "logreg").transform(tr.prepared(split[1], cols)).where("prediction = 0").count() == 0

@@ -143,3 +143,48 @@ def test_no_jobs_for_each_repository(spark):
         rm.fit_repo_models(frame, COLS, n_trials=3, folds=3).write.format("noop").mode("overwrite").save()
         jobs.append(spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before)
     assert abs(jobs[0] - jobs[1]) <= 2
+
+
+def test_areas_of_many_pieces_are_exact(spark, monkeypatch):
+    """Scores in pieces by value, with ties and a fold of one class."""
+    from defectscope.operators import evaluate as ev
+    from defectscope.session import written
+
+    monkeypatch.setattr(rm, "SCORES_A_PIECE", 7)
+    own, out, models = np.random.default_rng(3), [], []
+    for repo, n in ((1, 90), (2, 300)):
+        x = np.round(own.normal(0, 1, (n, 2)), 1 if repo == 1 else 6)
+        y, fold = (x[:, 0] + own.normal(0, 1, n) > 0).astype(int), own.integers(0, 3, n)
+        if repo == 1:
+            y[fold == 2] = 1
+        out += [(repo, k % 4, 4, int(k), [float(v) for v in x[k]], int(y[k]), int(fold[k])) for k in range(n)]
+        models += [(repo, m, m % 3, np.array([0.1, *own.normal(0, 1, 2)]).tobytes()) for m in range(6)]
+    rows_ = spark.createDataFrame(out, "repo_id bigint, block bigint, blocks bigint, id bigint, x array<double>, y int, fold int")
+    blocks = written(rows_.groupBy("repo_id", "block").applyInPandas(
+        rm.packed, "repo_id bigint, block bigint, blocks bigint, n bigint, x binary, y binary, fold binary"), "blocks")
+    known = spark.createDataFrame(models, "repo_id bigint, model int, fold int, accepted binary").groupBy("repo_id").agg(
+        F.sort_array(F.collect_list(F.struct("model", "fold", "accepted"))).alias("models"))
+    found = {(r.repo_id, r.model): r.roc_auc for r in rm._areas(blocks, known, 100, 3).collect()}
+    scores = [(f"{repo}|{m}", int(k), float(np.array([1.0, *x]) @ np.frombuffer(beta)), y)
+              for repo, m, f, beta in models for r, _, _, k, x, y, fold in out if r == repo and fold == f]
+    preds = spark.createDataFrame(scores, "model_id string, id bigint, probability double, label int")
+    want = {r.model_id: r.roc_auc for r in ev.roc_auc(ev.score_table(preds), one_class=float("nan")).collect() if r.roc_auc == r.roc_auc}
+    assert {f"{repo}|{m}" for repo, m in found} == set(want) and len(want) == 10
+    assert all(a == pytest.approx(want[f"{repo}|{m}"], abs=1e-12) for (repo, m), a in found.items())
+
+
+def test_scores_are_packed(spark, monkeypatch):
+    """A row a piece of a model, never a row a score; the pieces of one model are cut by value."""
+    monkeypatch.setattr(rm, "SCORES_A_PIECE", 50)
+    seen, pairs = [], rm._pairs
+
+    def watched(parts):
+        assert {len(set(own["piece"])) for _, own in parts.groupby("model")} == {1}
+        return pairs(parts)
+
+    monkeypatch.setattr(rm, "_pairs", watched)
+    real = rm._areas
+    monkeypatch.setattr(rm, "_areas", lambda *given: seen.append(real(*given)) or seen[-1])
+    frame = rows(spark, repos=2, n=1500).where("repo_id < 2")
+    assert rm.fit_repo_models(frame, COLS, n_trials=4, folds=3, block_rows=100).count() == 2
+    assert seen[0].count() == 2 * 4 * 3
